@@ -12,8 +12,8 @@ band meet in groups, in blocks of bounded size, where exact similarities of the
 A group sends a spanning forest of its links, not its pairs. Links are then connected.
 
 Defined results: null texts and texts without a word link with nothing and stay (class_id = doc_id);
-rows with equal doc_id count as one document, whose greatest text is taken; an empty table gives no
-row; other columns of the input are not read.
+rows with equal doc_id count as one document that has all of their texts; rows without a doc_id link
+with nothing and give one row; an empty table gives no row; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -192,12 +192,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = written(texts, "near-texts")
     members = texts.select("id", F.posexplode("bands").alias("band", "hash"))
     body = docs.select(F.col("doc_id").alias("id"), "text")
-    body = body.groupBy("id").agg(F.max("text").alias("text")) if False else body
     links = written(near_duplicate_links(body, members, similarity, block).distinct(), "near-links")
     classes = connected_components(links, "near-classes")
     of_text = texts.join(classes, "id", "left").select("text_key", F.coalesce("component_id", "id").alias("class_id"))
     out = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("text_key")).alias("text_key")).join(of_text, "text_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id") <=> F.col("class_id"))
+    out = out.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

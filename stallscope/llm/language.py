@@ -55,7 +55,7 @@ class Pieces:
         self.probes = 1
         for k, name in enumerate(self.names, 1):
             h = _hashes(np.array([name]), len(name))[len(name) - 1][0, -1]
-            at, tries = int(_slot(h)), 1
+            at, tries = int(_slot(h)[0]), 1
             while self.slot_id[at]:
                 at, tries = (at + 1) % _SLOTS, tries + 1
             self.slot_hash[at], self.slot_id[at] = h, k
@@ -71,6 +71,7 @@ class Pieces:
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
+    h = np.atleast_1d(h)  # wraps around silently, unlike a scalar
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import dart_minhash, language, packing, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_language": language.op2_language,
+        "op3_nnls_packing": packing.op3_nnls_packing,
+        "op6_dart_minhash": dart_minhash.op6_dart_minhash,
         "op10_token_files": token_files.op10_token_files,
     }
 
