@@ -179,3 +179,30 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
         raise RuntimeError("components did not settle")
     least = e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
     return least.union(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+
+
+def summed_arrays(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums rows (chunk int, values binary of float32) by chunk; what arrives is one array per chunk.
+
+    Rows are dealt and sorted by chunk and added up one by one, so a task holds one sum however many
+    tasks have sent a part.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total = None, None
+        for batch in batches:
+            for c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != chunk:
+                    if total is not None:
+                        yield _summed(chunk, total)
+                    chunk, total = c, np.zeros(len(v) // 4)
+                total += np.frombuffer(v, "<f4")
+        if total is not None:
+            yield _summed(chunk, total)
+
+    dealt = parts.repartition(shuffle_partitions(parts.sparkSession), "chunk").sortWithinPartitions("chunk")
+    return {r[0]: np.frombuffer(r[1], "<f8") for r in dealt.mapInArrow(add, "chunk int, values binary").collect()}
+
+
+def _summed(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "values"])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, language, packing, token_files
+from . import dart_minhash, decontamination, embeddings, language, packing, personal_data, token_files
 
 
 def queries() -> dict:
     return {
         "op2_language": language.op2_language,
         "op3_nnls_packing": packing.op3_nnls_packing,
+        "op4_pstable_vectors": embeddings.op4_pstable_vectors,
         "op6_dart_minhash": dart_minhash.op6_dart_minhash,
+        "op7_contained_items": decontamination.op7_contained_items,
+        "op8_personal_data": personal_data.op8_personal_data,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_contained_items": decontamination.oracle()}

@@ -1,0 +1,101 @@
+import hashlib
+import re
+
+from stallscope.llm.personal_data import find_spans, op8_personal_data, redact
+from tests.llm import edges
+
+DIGIT = re.compile("[0-9]")
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(map(int, reversed(digits))):
+        d = d * 2 if k % 2 else d
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def valid(kind, hit):
+    digits = DIGIT.findall(hit)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in hit.split("."))
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def expected(text):
+    out = []
+    for rank, (kind, p) in enumerate(PLAIN.items()):
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(p, text or "") if valid(kind, m[0])]
+    return sorted(out)
+
+
+TEXTS = [
+    None,
+    "",
+    "a@b.c@d.e x@y a.b+c@d-e.f.g. @no.where z@q..r",
+    "a@b.c_d@e.f a@b.c.d@e.f %@a.b",
+    "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3.256.1.1.1.1 0001.002.03.255 1.2.3",
+    "4111 1111 1111 1111 4111-1111-1111-1111 41111111111111112 4111  111111111111",
+    "x4111111111111111y 4111 1111 1111 1111 4111 1 5500 0000 0000 0004-1 378282246310005",
+    "+1 (988) 555-2485 +1 555 +44 20 7946 0958, +123456789012345678 ++1 234 567 8901-- +1(((",
+    "\U0001f600 é a@b.cd \U0001f600 10.0.0.1\n+1 (316) 555-2485 4111111111111111",
+    "٣.٣.٣.٣ 1٣.1.1.1.1",
+    "9" * 20_000 + " " + "1 " * 20_000 + "a." * 10_000 + "@" + "a." * 10_000,
+    "+" * 1000 + "1" * 1000 + "." * 1000 + " ".join(["a@b.co"] * 3000),
+]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(TEXTS)], edges.DOCS)
+    got = {r.doc_id: r for r in op8_personal_data(spark, edges.saved(docs, tmp_path)).collect()}
+    assert len(got) == len(TEXTS)
+    for k, t in enumerate(TEXTS):
+        spans = expected(t)
+        text = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        assert [got[k][f"n_{kind}"] for kind in PLAIN] == [sum(s[2] == kind for s in spans) for kind in PLAIN], k
+        assert got[k].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(got[k].spans.split(",")) or not text
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op8_personal_data(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        text = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in expected(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_contexts_of_seeds_find_what_no_pattern_knows(spark):
+    seeds = [(k, f"word{k} please dial number 10.1.{k}.7 today") for k in range(8)]
+    rows = [*seeds, (100, "also please dial number 10-1-9-7, friend"), (101, "the year 1999 was fine"), (102, "the year 10.1.1.1 was odd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_spans(docs, ["doc_id"]).collect()}
+    assert [(s.kind, s.start, s.end, s.is_base) for s in got[100]] == [("ip", 24, 33, False)]
+    assert got[101] == []
+    assert [s.is_base for s in got[102]] == [True]
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.cd now", 1), (1, "none here", 2), (2, None, 3), (3, "\U0001f600 10.0.0.1, 4111 1111 1111 1111", 4), (None, "x@y.zz", 5), (None, "x@y.zz", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans long")
+    got = {r.spans: r.text for r in redact(docs).collect()}
+    assert got == {1: "mail [EMAIL] now", 2: "none here", 3: None, 4: "\U0001f600 [IP], [CARD]", 5: "[EMAIL]", 6: "[EMAIL]"}
+
+
+def test_awkward_rows(spark, tmp_path):
+    docs = edges.documents(spark)
+    got = op8_personal_data(spark, edges.saved(docs, tmp_path)).collect()
+    assert len(got) == 12 and all(r.spans == "" for r in got)
+    assert op8_personal_data(spark, edges.saved(edges.empty(spark), tmp_path / "none")).count() == 0
+    assert redact(docs).columns == docs.columns
+    assert redact(docs).count() == 12
