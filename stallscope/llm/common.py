@@ -54,6 +54,14 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of narrow rows, with the hint to broadcast it if they are, as counted, few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

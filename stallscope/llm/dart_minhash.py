@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, table, whole_runs, written
+from .common import connected_components, shuffle_partitions, small, table, whole_runs, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -200,5 +200,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` but for those of all documents of a class except the first; rows repeated with their id and text stay once."""
+    classes = written(near_duplicates(docs, similarity), "near-result")
+    gone = classes.where("not kept").select("doc_id")
+    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again")
+    n = again.count()
+    if n:
+        left = left.join(small(again, n), "doc_id", "left_anti").unionByName(left.join(small(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(*docs.columns)
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

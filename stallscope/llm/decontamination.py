@@ -11,8 +11,8 @@ cannot contain an item without one of the signature's hashes among its own: the
 and its cost does not depend on how short an item is beside a document. Documents that meet a signature
 are verified by exact containment of the shingles' words.
 
-The signatures and the items' shingles are broadcast up to ``BROADCAST_ROWS`` rows and joined by a
-shuffle beyond that.
+The signatures and the items' shingles are broadcast up to a bound of rows and joined by a shuffle
+beyond it (``common.small``).
 
 Defined results: null or empty texts contain nothing, and items without a word are found nowhere; rows
 without doc_id or item_id are not searched; rows with equal doc_id count as one document that has all
@@ -24,11 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 WORDS = 5
 CONTAINMENT = 0.8
-BROADCAST_ROWS = 1_000_000
 SPACE = r"[ \t\n\r\f\x0B]+"
 
 
@@ -47,11 +46,6 @@ def with_shingles(df: DataFrame, text: str, words: int, hashed: bool) -> DataFra
     return rows.select(*kept, s.alias("s"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with the hint to broadcast it if ``rows``, as counted, are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def signatures(items: DataFrame, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
     """(item_id, q, size_class, s): the least hashes of each item's shingles."""
     hashes = with_shingles(items.select("item_id", "text"), "text", words, hashed=True).distinct()
@@ -82,6 +76,12 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     return out.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
+def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` that contain no item."""
+    found = written(contained_items(docs, items, containment).select("doc_id").distinct(), "items-found")
+    return docs.join(small(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -174,7 +174,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets; overlapping spans become one.
 
-    Rows without a span, and all other columns, stay as they are.
+    Rows without a span, and all other columns, stay as they are, but for n_chars, which follows its text.
     """
     key = "_pii_text_key"
     keyed = docs.withColumn(key, F.md5("text"))
@@ -189,4 +189,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.aggregate("_pii_spans", start, step, lambda state: F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text"))))
-    return met.withColumn("text", F.when(F.col("_pii_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    changed = F.col("_pii_spans").isNotNull()
+    met = met.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return met.select(*docs.columns)
