@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +82,14 @@ class ChunkedTokenizer:
 
     A chunk is what lies between two places where any pre-tokenizer of the two supported files cuts
     (before a space that follows a non-space), so the ids of a text are those of its chunks in a row.
-    Texts with white space before a space are encoded whole.
+    Texts with white space before a space are encoded whole. Arrow cuts many texts into chunks and
+    numbers the different ones; unseen chunks are encoded many at a time, with a separator between them
+    that is always one id of its own; numpy puts the ids of all chunks in a row.
     """
 
-    CACHE = 400_000
+    CACHE = 1_500_000
+    TOGETHER = 64
+    CHARACTERS = 16_000_000  # of texts that are cut together
 
     def __init__(self, path: str, leading_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,37 +99,104 @@ class ChunkedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.leading_space = leading_space
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.leading_space:
-            return text.replace("\n", " ").split(" ")
-        if " " not in text:
-            return [text]
-        if _SPACE_RUN.search(text):
-            return [text]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-
-    def _learn(self, chunks: set[str]) -> None:
-        todo = list(chunks)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.asarray(e.ids, dtype=self.kind).tobytes()
+        # A line break parts words of the one file and is an id; a tilde between spaces is one of the other.
+        self.mark, self.between = ("\n", "\n") if leading_space else ("~", " ~ ")
+        self.mark_id = self._ids([f"a{self.between}a"])[0][1]
+        self._forget()
+
+    @classmethod
+    def shared(cls, path: str, leading_space: bool) -> ChunkedTokenizer:
+        """One for all tasks that a Python worker runs, which keeps its memory of chunks."""
+        if (path, leading_space) not in _tokenizers:
+            _tokenizers[path, leading_space] = cls(path, leading_space)
+        return _tokenizers[path, leading_space]
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, chunk: str) -> bool:
+        """Whether the chunk is sure to stand apart from a separator beside it."""
+        return self.mark not in chunk and chunk[-1:].strip() != "" and (chunk[1:2].strip() != "" or len(chunk) == 1)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.ids.append(ids)
+        self.sizes.append(sizes.astype(np.int32))
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain, alone = [], []
+        for c in chunks:
+            (plain if self._plain(c) else alone).append(c)
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        for at in range(0, len(groups), 256):
+            some = groups[at : at + 256]
+            for group, ids in zip(some, self._ids([self.between.join(g) for g in some]), strict=True):
+                coded = np.array(ids, dtype=self.kind)
+                inner = coded != self.mark_id
+                cuts = np.flatnonzero(~inner)
+                if len(cuts) != len(group) - 1:
+                    alone += group
+                    continue
+                self._add(group, coded[inner], np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1)
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            found = self._ids(part)
+            self._add(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(ids) for ids in found]))
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\0") if self.leading_space else pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        numbered = pc.dictionary_encode(cut.flatten())
+        chunks = numbered.dictionary.to_pylist()
+        slots = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
+        new = np.flatnonzero(slots < 0).tolist()
+        self._learn([chunks[k] for k in new])
+        slots[new] = [self.known[chunks[k]] for k in new]
+        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        ids, sizes = self.ids[0], self.sizes[0]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        slots = slots[numbered.indices.to_numpy()]
+        held = sizes[slots]
+        ends = np.cumsum(held, dtype=np.int64)
+        kind = np.int32 if len(ids) + ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((starts[slots] - (ends - held)).astype(kind), held)
+        place += np.arange(len(place), dtype=kind)
+        raw = ids[place].tobytes()
+        last = np.concatenate([[0], ends])[cut.offsets.to_numpy()] * self.kind.itemsize
+        return [raw[a:b] for a, b in itertools.pairwise(last.tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text the ids as little-endian integers of ``self.kind``; null counts as empty."""
-        split = [self._chunks(t or "") for t in texts]
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        unseen: set[str] = set()
-        for chunks in split:
-            unseen.update(chunks)
-        self._learn(unseen.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
-
+        out: list[bytes] = [b""] * len(texts)
+        held: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            if len(self.known) > self.CACHE:
+                self._forget()
+            for k, ids in zip(held, self._encode_cut([texts[k] for k in held]), strict=True):
+                out[k] = ids
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if self.leading_space and ("\0" in text or _SPACE_RUN.search(text)):
+                out[k] = np.array(self._ids([text])[0], self.kind).tobytes()
+                continue
+            held.append(k)
+            size += len(text)
+            if size >= self.CHARACTERS:
+                flush()
+                held, size = [], 0
+        if held:
+            flush()
+        return out
+
+
+_tokenizers: dict[tuple[str, bool], ChunkedTokenizer] = {}
 _SPACE_RUN = re.compile(r"\s ")
 
 

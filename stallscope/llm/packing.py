@@ -145,11 +145,11 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str | None
     shards = max(1, -(-docs.count() // shard_docs))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkedTokenizer(file, leading_space=False)
+        coder = ChunkedTokenizer.shared(file, leading_space=False)
         end = np.array([end_id], coder.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 5000):
+                some = batch.slice(at, 5000)
                 ids = [np.frombuffer(x + end, coder.kind).astype("<u2" if coder.kind.itemsize == 2 else "<u4").tobytes() for x in coder.encode(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([coder.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "shard", "width", "ids"])
 
