@@ -2,8 +2,9 @@
 
 The pieces are those of a fixed public vocabulary. A language is a distribution over pieces; the
 probability of a word is the sum over all its segmentations into pieces, by a forward pass. Expected
-piece counts per language come from all training texts by expectation maximisation: each task runs the
-forward and backward passes over its distinct words and sends one vector of piece counts per language.
+piece counts per language come from all training texts by expectation maximisation: words are counted
+per language once, and in each round every task runs the forward and backward passes over its share of
+the distinct words and sends one vector of piece counts per language.
 
 Words are runs of letters, in lower case. A text that is null or has no letter is ``und`` with score 0.
 Ties go to the language that sorts first. Without any training text all texts are ``und``. Rows with
@@ -13,6 +14,7 @@ equal doc_id are predicted each on its own. Other columns of the input are not r
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, vocabulary
+from .common import id_remainder, table, vocabulary, written
 
 LONGEST_PIECE = 10
 LONGEST_WORD = 40  # longer words are scored in spans of this many letters
@@ -50,26 +52,41 @@ class Pieces:
         kept = {model.id_to_piece(k).lstrip("▁").lower() for k in range(model.get_piece_size())}
         self.names = sorted(p for p in kept if len(p) <= LONGEST_PIECE and _WORD.fullmatch(p))
         self.size = len(self.names) + 1
-        self.slot_hash = np.zeros(_SLOTS, np.uint64)
-        self.slot_id = np.zeros(_SLOTS, np.int32)
-        self.probes = 1
+        self.slot = np.zeros(_SLOTS, np.int32)
+        self.hash = np.zeros(self.size, np.uint64)
         for k, name in enumerate(self.names, 1):
-            h = _hashes(np.array([name]), len(name))[len(name) - 1][0, -1]
-            at, tries = int(_slot(h)[0]), 1
-            while self.slot_id[at]:
-                at, tries = (at + 1) % _SLOTS, tries + 1
-            self.slot_hash[at], self.slot_id[at] = h, k
-            self.probes = max(self.probes, tries)
+            self.hash[k] = h = _hashes(np.array([name]), len(name))[len(name) - 1][0, -1]
+            at = int(_slot(h)[0])
+            while self.slot[at]:
+                at = (at + 1) % _SLOTS
+            self.slot[at] = k
+
+    @classmethod
+    def shared(cls, path: str) -> Pieces:
+        """One for all tasks that a Python worker runs."""
+        if path not in _pieces:
+            _pieces[path] = cls(path)
+        return _pieces[path]
 
     def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, 0 where there is none."""
         at = _slot(h)
-        found = np.where(self.slot_hash[at] == h, self.slot_id[at], 0)
-        for _ in range(self.probes - 1):
-            at = (at + 1) % _SLOTS
-            found = np.where(self.slot_hash[at] == h, self.slot_id[at], found)
+        found = self.slot[at]
+        k = np.nonzero(found)
+        wrong = self.hash[found[k]] != h[k]
+        k = tuple(x[wrong] for x in k)
+        while len(k[0]):  # slots that others have taken: go on to the next
+            at[k] = (at[k] + 1) % _SLOTS
+            found[k] = self.slot[at[k]]
+            wrong = (found[k] != 0) & (self.hash[found[k]] != h[k])
+            k = tuple(x[wrong] for x in k)
         return found
 
 
+_pieces: dict[str, Pieces] = {}
+_seen_words: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     h = np.atleast_1d(h)  # wraps around silently, unlike a scalar
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
@@ -101,10 +118,11 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
             k = which[at : at + 20_000]
             h = _hashes(np.array([words[i] for i in k]), int(n))
             ids = [pieces.find(x) for x in h]
-            single = ids[0]
-            p = [probability[x] for x in ids]  # word x place x language
-            for j in range(1, len(p)):
-                p[j] *= (ids[j] > 0)[:, :, None]
+            p = [probability[ids[0]]]  # word x place x language; letters that are no piece have the probability of piece 0
+            for x in ids[1:]:
+                hit = np.nonzero(x)
+                p.append(np.zeros((*x.shape, probability.shape[1])))
+                p[-1][hit] = probability[x[hit]]
             alpha = np.zeros((len(k), n + 1, probability.shape[1]))
             alpha[:, 0] = 1
             for e in range(1, n + 1):
@@ -126,7 +144,6 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
                 hit = (of > 0) if size > 1 else np.ones_like(of, bool)
                 for lang in range(weight.shape[2]):
                     expected[:, lang] += np.bincount(of[hit], weight[:, :, lang][hit], minlength=pieces.size)
-            del single
     return logs, expected
 
 
@@ -138,38 +155,64 @@ def train(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str],
     langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
     size = Pieces(path).size
     probability = np.full((size, max(1, len(langs))), 1 / size)
-    for _ in range(rounds if langs else 0):
-        probability = _round(docs, path, langs, probability)
+    if langs:
+        words = written(_word_counts(docs, langs), "language-words")
+        for _ in range(rounds):
+            probability = _round(words, path, probability)
     return langs, probability
 
 
-def _round(docs: DataFrame, path: str, langs: list[str], probability: np.ndarray) -> np.ndarray:
-    sent = docs.sparkSession.sparkContext.broadcast(probability)
+def _word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, lang, n) over all texts; lang is a place in ``langs``."""
     place = {x: k for k, x in enumerate(langs)}
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        total = np.zeros((pieces.size, len(langs)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in langs]
 
-        def flush() -> None:
-            words = sorted(set().union(*seen))
-            if words:
-                counts = np.array([[c[w] for c in seen] for w in words], float)
-                total[:] += segment(pieces, words, sent.value, counts)[1]
-            for c in seen:
-                c.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, c in enumerate(seen):
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([k] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "lang", "n"])
+                    c.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[place[lang]].update(words_of(text))
-            if sum(map(len, seen)) > 400_000:
-                flush()
-        flush()
+                if sum(map(len, seen)) > 400_000:
+                    yield from flush()
+        yield from flush()
+
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "word string, lang int, n long")
+    return rows.groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+
+def _round(words: DataFrame, path: str, probability: np.ndarray) -> np.ndarray:
+    sent = words.sparkSession.sparkContext.broadcast(probability)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.shared(path)
+        total = np.zeros_like(sent.value)
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(held)
+            word = rows.column("word").combine_chunks().dictionary_encode()
+            counts = np.zeros((len(word.dictionary), total.shape[1]))
+            np.add.at(counts, (word.indices.to_numpy(), rows.column("lang").to_numpy()), rows.column("n").to_numpy())
+            total[:] += segment(pieces, word.dictionary.to_pylist(), sent.value, counts)[1]
+
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= 100_000:
+                add(held)
+                held, waiting = [], 0
+        if waiting:
+            add(held)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full_like(probability, FLOOR)
     counts[rows["piece"], rows["lang"]] += rows["n"]
     sent.unpersist()
@@ -179,21 +222,25 @@ def _round(docs: DataFrame, path: str, langs: list[str], probability: np.ndarray
 def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str) -> DataFrame:
     """Adds lang_pred and score, the posterior of that language, to every row of (doc_id, text, ...)."""
     sent = docs.sparkSession.sparkContext.broadcast(probability)
+    model = uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        known: dict[str, int] = {}
-        logs = np.zeros((0, max(1, len(langs))))
+        pieces = Pieces.shared(path)
+        if model not in _seen_words:  # words that this worker's earlier tasks have scored by the same model
+            _seen_words.clear()
+            _seen_words[model] = {}, np.zeros((0, max(1, len(langs))))
+        known, logs = _seen_words[model]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 split = [words_of(t) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
-                if len(known) > 400_000:
+                if len(known) > 1_000_000:
                     known, logs = {}, logs[:0]
-                fresh = sorted(set().union(*split).difference(known))
+                fresh = list(set().union(*split).difference(known))
                 if fresh:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     logs = np.concatenate([logs, segment(pieces, fresh, sent.value)[0]])
+                _seen_words[model] = known, logs
                 names, scores = [], []
                 for words in split:
                     if not words or not langs:
