@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = ChunkedTokenizer(file, leading_space=True)
+        coder = ChunkedTokenizer.shared(file, leading_space=True)
         seq = done = size = 0
         doc_ids: list = []
         held: list[np.ndarray] = []
@@ -126,8 +126,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         end = np.array([end_id], np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 5000):
+                some = batch.slice(at, 5000)
                 for i, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
                     held.append(np.concatenate([np.frombuffer(ids, coder.kind).astype(np.uint64), end]))
                     doc_ids.append(i)
