@@ -47,17 +47,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     v = np.zeros(blocks * BLOCK, np.uint64)
     v[:n] = ids
     v[escape_at] = 0
-    width = np.searchsorted(_POWERS, v, side="right").astype(np.uint8).reshape(blocks, BLOCK)
+    # An exponent is the number of bits, and exact below 2^52.
+    bits = np.frexp(v.astype(np.float64))[1] if v.max() < _POWERS[52] else np.searchsorted(_POWERS, v, side="right")
+    width = np.zeros((blocks, BLOCK + 240), np.uint8)  # what is past a block fits anywhere
+    width[:, :BLOCK] = bits.reshape(blocks, BLOCK)
     v = v.reshape(blocks, BLOCK)
-    place = np.arange(BLOCK, dtype=np.int16)
     choice = np.full((blocks, BLOCK), 15, np.uint8)
+    widest, held = width[:, :BLOCK].copy(), 1  # of so many ids from a place on
     for s in range(14, -1, -1):  # a selector of more ids overrides one of fewer
-        wide = width > BITS[s]
-        if wide.all():
-            break  # nor does any narrower one fit
-        # the next place from here on whose id is too wide, or the end of the block
-        stop = np.minimum.accumulate(np.where(wide, place, np.int16(BLOCK))[:, ::-1], axis=1)[:, ::-1]
-        fits = (stop - place >= COUNTS[s]) | (stop == BLOCK)
+        for k in range(held, COUNTS[s]):
+            np.maximum(widest, width[:, k : k + BLOCK], out=widest)
+        held = COUNTS[s]
+        fits = widest <= BITS[s]
+        if not fits.any():
+            break  # nor do more ids of fewer bits
         choice[fits] = s
     at = np.zeros(blocks, np.int64)
     rows = np.arange(blocks)
