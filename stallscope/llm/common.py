@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,44 @@ def vocabulary(name: str, path: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
+
+
+class _Memory:
+    """Ids of the strings seen."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = [np.zeros(0, kind)], [np.zeros(0, np.int32)]
+
+    def add(self, some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        self.ids.append(ids)
+        self.sizes.append(sizes.astype(np.int32))
+
+    def gather(self, lists: pa.Array, learn: Callable[[_Memory, pa.Array], None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings of the lists in a row, and where those of each list begin and end; ``learn`` adds the unseen."""
+        numbered = pc.dictionary_encode(lists.flatten())
+        strings = _strings(numbered.dictionary)
+        slots = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), np.int32, len(strings))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            learn(self, numbered.dictionary.take(pa.array(new)))
+            slots[new] = np.fromiter(map(self.known.__getitem__, map(strings.__getitem__, new.tolist())), np.int32, len(new))
+        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        ids, sizes = self.ids[0], self.sizes[0]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        slots = slots[numbered.indices.to_numpy()]
+        held = sizes[slots]
+        ends = np.cumsum(held, dtype=np.int64)
+        kind = np.int32 if len(ids) + ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((starts[slots] - (ends - held)).astype(kind), held)
+        place += np.arange(len(place), dtype=kind)
+        return ids[place], np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+
+
 class ChunkedTokenizer:
     """Ids of whole texts by the tokenizers library, with a bounded memory of encoded chunks.
 
@@ -84,7 +122,9 @@ class ChunkedTokenizer:
     (before a space that follows a non-space), so the ids of a text are those of its chunks in a row.
     Texts with white space before a space are encoded whole. Arrow cuts many texts into chunks and
     numbers the different ones; unseen chunks are encoded many at a time, with a separator between them
-    that is always one id of its own; numpy puts the ids of all chunks in a row.
+    that is always one id of its own; numpy puts the ids of all chunks in a row. Where spaces lead words,
+    unseen chunks are first cut once more, between a letter and a sign and around a line break, so that a
+    word is encoded once whatever signs follow it.
     """
 
     CACHE = 1_500_000
@@ -112,8 +152,7 @@ class ChunkedTokenizer:
         return _tokenizers[path, leading_space]
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
+        self.chunks, self.pieces = _Memory(self.kind), _Memory(self.kind)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,14 +161,11 @@ class ChunkedTokenizer:
         """Whether the chunk is sure to stand apart from a separator beside it."""
         return self.mark not in chunk and chunk[-1:].strip() != "" and (chunk[1:2].strip() != "" or len(chunk) == 1)
 
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        self.ids.append(ids)
-        self.sizes.append(sizes.astype(np.int32))
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain, alone = [], []
-        for c in chunks:
+    def _learn(self, memory: _Memory, chunks: pa.Array) -> None:
+        """Adds the ids of unseen chunks to the memory, encoded by the tokenizer."""
+        sure = pc.match_substring_regex(chunks, _SURE)
+        plain, alone = _strings(chunks.filter(sure)), []
+        for c in _strings(chunks.filter(pc.invert(sure))):
             (plain if self._plain(c) else alone).append(c)
         groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
         for at in range(0, len(groups), 256):
@@ -141,32 +177,27 @@ class ChunkedTokenizer:
                 if len(cuts) != len(group) - 1:
                     alone += group
                     continue
-                self._add(group, coded[inner], np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1)
+                memory.add(group, coded[inner], np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1)
         for at in range(0, len(alone), 20_000):
             part = alone[at : at + 20_000]
             found = self._ids(part)
-            self._add(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(ids) for ids in found]))
+            memory.add(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(ids) for ids in found]))
+
+    def _learn_by_pieces(self, memory: _Memory, chunks: pa.Array) -> None:
+        """Adds the ids of unseen chunks to the memory, put together from those of their pieces."""
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(chunks, _SIGN_AFTER, "\\1\0\\2"), _BREAK_WITHIN, "\\1\0\n\0\\2")
+        ids, ends = self.pieces.gather(pc.split_pattern(cut, "\0"), self._learn)
+        memory.add(_strings(chunks), ids, np.diff(ends))
 
     def _encode_cut(self, texts: list[str]) -> list[bytes]:
-        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\0") if self.leading_space else pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
-        numbered = pc.dictionary_encode(cut.flatten())
-        chunks = numbered.dictionary.to_pylist()
-        slots = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
-        new = np.flatnonzero(slots < 0).tolist()
-        self._learn([chunks[k] for k in new])
-        slots[new] = [self.known[chunks[k]] for k in new]
-        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        ids, sizes = self.ids[0], self.sizes[0]
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        slots = slots[numbered.indices.to_numpy()]
-        held = sizes[slots]
-        ends = np.cumsum(held, dtype=np.int64)
-        kind = np.int32 if len(ids) + ends[-1] < 1 << 31 else np.int64
-        place = np.repeat((starts[slots] - (ends - held)).astype(kind), held)
-        place += np.arange(len(place), dtype=kind)
-        raw = ids[place].tobytes()
-        last = np.concatenate([[0], ends])[cut.offsets.to_numpy()] * self.kind.itemsize
-        return [raw[a:b] for a, b in itertools.pairwise(last.tolist())]
+        texts = pa.array(texts, pa.large_string())
+        if self.leading_space:
+            cut = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        else:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ids, ends = self.chunks.gather(cut, self._learn_by_pieces if self.leading_space else self._learn)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in itertools.pairwise((ends * self.kind.itemsize).tolist())]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text the ids as little-endian integers of ``self.kind``; null counts as empty."""
@@ -175,7 +206,7 @@ class ChunkedTokenizer:
         size = 0
 
         def flush() -> None:
-            if len(self.known) > self.CACHE:
+            if len(self.chunks.known) > self.CACHE:
                 self._forget()
             for k, ids in zip(held, self._encode_cut([texts[k] for k in held]), strict=True):
                 out[k] = ids
@@ -198,6 +229,11 @@ class ChunkedTokenizer:
 
 _tokenizers: dict[tuple[str, bool], ChunkedTokenizer] = {}
 _SPACE_RUN = re.compile(r"\s ")
+# Letters and signs of which every version of Unicode says the same; apostrophes can belong to what follows.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_SIGN_AFTER = f"([{_LETTERS}])([{_SIGNS}])"
+_BREAK_WITHIN = f"([{_LETTERS}{_SIGNS}])\n([{_LETTERS}])"
+_SURE = f"^ ?[{_LETTERS}]+$"  # chunks that stand apart from any separator
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
