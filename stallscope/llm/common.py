@@ -129,7 +129,7 @@ class ChunkedTokenizer:
 
     CACHE = 1_500_000
     TOGETHER = 64
-    CHARACTERS = 16_000_000  # of texts that are cut together
+    CHARACTERS = 8_000_000  # of texts that are cut together
 
     def __init__(self, path: str, leading_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,7 +142,7 @@ class ChunkedTokenizer:
         # A line break parts words of the one file and is an id; a tilde between spaces is one of the other.
         self.mark, self.between = ("\n", "\n") if leading_space else ("~", " ~ ")
         self.mark_id = self._ids([f"a{self.between}a"])[0][1]
-        self._forget()
+        self.chunks, self.pieces = _Memory(self.kind), _Memory(self.kind)
 
     @classmethod
     def shared(cls, path: str, leading_space: bool) -> ChunkedTokenizer:
@@ -152,7 +152,12 @@ class ChunkedTokenizer:
         return _tokenizers[path, leading_space]
 
     def _forget(self) -> None:
-        self.chunks, self.pieces = _Memory(self.kind), _Memory(self.kind)
+        """Starts a memory afresh that holds more than its share."""
+        most = self.CACHE * 2 // 3 if self.leading_space else self.CACHE  # two memories, or one
+        if len(self.chunks.known) > most:
+            self.chunks = _Memory(self.kind)
+        if len(self.pieces.known) > most:
+            self.pieces = _Memory(self.kind)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -206,8 +211,7 @@ class ChunkedTokenizer:
         size = 0
 
         def flush() -> None:
-            if len(self.chunks.known) > self.CACHE:
-                self._forget()
+            self._forget()
             for k, ids in zip(held, self._encode_cut([texts[k] for k in held]), strict=True):
                 out[k] = ids
 
