@@ -6,8 +6,8 @@ pages: pages that mark their content themselves, by one ``article`` or ``main``
 and tags lie inside and which outside. A feature's weight is the logarithm of the odds of its rates
 inside and outside, kept positive for words and negative for tags, and small enough that no single tag
 outweighs a paragraph. Words inside elements that hold no content of the page (menus, page headers,
-footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) score as the tags
-around them do and are never part of the text; scripts, styles, markup declarations and the head are
+footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) are never part of
+the text, and neither they nor their tags score, so that the text goes on behind them; scripts, styles, markup declarations and the head are
 not even scored. The labels only weigh; the scan alone decides where the text begins and ends.
 
 The text's character references are decoded, white space inside a block becomes one space, blocks are
@@ -97,6 +97,9 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if out_depth:
             if name == out_name:
                 out_depth += -1 if end else 1
+                if not out_depth:
+                    yield name, "", True, bool(content)
+                    continue
             elif end and (name in ("body", "html") or name in ("article", "main") and out_content):
                 out_depth = 0  # its own end is missing
             elif name in ("article", "main") and not end and not out_content and name != out_name:
@@ -162,18 +165,16 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     start = first = last = 0  # of parts: where the sum at hand, and the best one, begins; where that ends
     for tag, text, outside, _ in pieces(page):
         if tag:
-            total += weights.get(_feature(tag), TAG)
-            if not outside and tag not in _INLINE:
+            # What is left out anyway must not end the text around it.
+            total += 0.0 if outside else weights.get(_feature(tag), TAG)
+            if tag not in _INLINE:
                 parts.append(" ")
         else:
             if text.isspace():
                 words = 0
-            elif outside:
-                words = len(text.split())
-                total -= word * words
             else:
                 words = len(text.split())
-                total += word * words
+                total += 0.0 if outside else word * words
             if not outside:
                 parts.append(text)
             elif words:

@@ -30,6 +30,17 @@ def test_region_is_the_best_contiguous_one():
     assert best[0] == 9 * WORD
 
 
+def test_long_parts_without_content_inside_an_article():
+    first, last = " ".join(["first"] * 60), " ".join(["last"] * 80)
+    words = "word " * 100
+    links = "<ul>" + "<li><a href=x>a link</a></li>" * 100 + "</ul>"
+    for weights in (WEIGHTS, {"": 0.5, "aside": -3.0, "form": -3.0, "div": -3.0, "li": -3.0, "a": -3.0}):
+        for inner in (words, links, f"<div>{links}</div>"):
+            for part in (f"<aside>{inner}</aside>", f"<form>{inner}</form>", f"<div class=comments>{inner}</div>", f"<div class='ad'>{inner}</div>"):
+                assert extract(f"<nav>{links}</nav><article><p>{first}</p>{part}<p>{last}</p></article><footer>{words}</footer>", weights) == f"{first} {last}"
+                assert extract(f"<body><p>{first}</p>{part}<p>{last}</p></body>", weights) == f"{first} {last}"
+
+
 def test_broken_markup():
     assert extract(None, WEIGHTS) == extract("", WEIGHTS) == extract("<p></p>", WEIGHTS) == ""
     assert extract("just text", WEIGHTS) == "just text"
