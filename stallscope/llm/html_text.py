@@ -7,8 +7,11 @@ and tags lie inside and which outside. A feature's weight is the logarithm of th
 inside and outside, kept positive for words and negative for tags, and small enough that no single tag
 outweighs a paragraph. Words inside elements that hold no content of the page (menus, page headers,
 footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) are never part of
-the text, and neither they nor their tags score, so that the text goes on behind them; scripts, styles, markup declarations and the head are
-not even scored. The labels only weigh; the scan alone decides where the text begins and ends.
+the text, and neither they nor their tags score, so that the text goes on behind them; scripts, styles, markup declarations, drawings
+and the title are not even read. An element ends where a browser ends it: at its end tag, at its parent's, or at a
+start tag that implies its end (``p``, ``li``, ``td`` and the like); the head needs no end. A class, id or role tells an element without
+content only if it names the element itself (``site-header``, ``cookie-bar``), not a layout (``no-sidebar``, ``with-nav``),
+a part of the content (``article-header``) or a heading, and ids of common words inside the content are anchors. The labels only weigh; the scan alone decides where the text begins and ends.
 
 The text's character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space. Inline tags do not part words; line breaks and all other tags do.
@@ -35,7 +38,9 @@ from .common import table
 WORD, TAG = 1.0, -0.5
 LEAST_WORD, MOST_WORD, LEAST_TAG, MOST_TAG = 0.5, 3.0, -3.0, -0.05
 # Elements whose text is never shown as text.
-HIDDEN = ("head", "script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "map", "title")
+HIDDEN = ("script", "style", "template", "noscript", "iframe", "title")
+# Likewise, but these end like other elements, and the first two may close themselves.
+EMBEDDED = ("svg", "math", "object", "canvas", "audio", "video", "map")
 # Elements that hold no content.
 ASIDE = ("nav", "footer", "aside", "form", "button", "select", "textarea", "input", "fieldset", "dialog", "menu")
 # Elements that do not part words.
@@ -50,7 +55,39 @@ MARKS = (
     "comment", "comments", "disqus", "respond", "replies", "reply", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "alert",
     "share", "sharing", "social", "related", "recommended", "recommendations", "copyright", "legal", "disclaimer", "skip",
 )
-_HIDDEN, _ASIDE, _INLINE, _VOID, _MARKS = map(frozenset, (HIDDEN, ASIDE, INLINE, VOID, MARKS))
+# Marks that stand for the whole page's part only beside words of PAGE, and those that are also common ids of a section's subject.
+PLACED = ("header", "footer", "masthead", "banner")
+SUBJECTS = ("promotion", "navigation", "menu", "tabs", "search", "login", "signup", "form", "notice", "notices", "consent", "alert", "share", "sharing", "social", "related", "recommended", "recommendations", "copyright", "legal", "disclaimer", "complementary", "subscribe", "newsletter", "advertising", "header", "footer", "cookies")
+PAGE = ("site", "page", "global", "main", "top", "bottom", "primary", "secondary", "blog", "web", "website", "app", "wp", "sticky", "fixed", "mobile", "desktop", "l", "c", "m", "o", "u", "js", "id")
+# Words behind a mark that leave its sense.
+SHAPES = (
+    "container", "wrapper", "wrap", "box", "block", "area", "section", "inner", "outer", "bar", "list", "item", "items", "link", "links", "left", "right", "top", "bottom", "main", "primary", "secondary",
+    "mobile", "desktop", "slot", "unit", "group", "row", "col", "column", "panel", "icons", "icon", "button", "buttons", "btn", "media", "posts", "post", "articles", "stories", "news", "label", "text", "body", "title", "message", "info", "policy", "law", "dialog", "thread",
+)
+# Words that make of a mark a state of the layout.
+STATES = ("no", "not", "non", "without", "with", "has", "have", "hide", "show", "toggle", "layout", "grid", "enabled", "disabled", "free", "open", "opened", "closed", "collapsed", "expanded", "active", "visible", "on", "off", "above", "below", "under", "after", "before", "beside")
+# A class, id or role that names the content, whatever else is said.
+CONTENT = ("content", "article", "entry", "story", "main", "maincontent", "main-content", "page-content", "site-content", "post-content", "entry-content", "article-content", "article-body", "post-body", "story-body")
+# Marks that have one sense only, whatever follows.
+LEADING = ("ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsored", "sidebar", "navbar", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "gdpr")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
+_ASIDE, _INLINE, _VOID, _MARKS, _EMBEDDED, _PLACED, _SUBJECTS, _PAGE, _SHAPES, _STATES, _CONTENT = map(frozenset, (ASIDE, INLINE, VOID, MARKS, EMBEDDED, PLACED, SUBJECTS, PAGE, SHAPES, STATES, CONTENT))
+_NEVER = frozenset(("html", "head", "body", "main", "article", *HEADINGS))
+# Start tags that imply the end of open elements: (these, unless one of those is open inside them).
+_CELLS = ("td", "th", "caption", "table")
+_P = ("p",), (*_CELLS, "button", "object")
+_IMPLIED = dict.fromkeys(("address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"), (_P,))
+_IMPLIED |= {
+    "li": ((("li",), ("ul", "ol", "menu", *_CELLS)), _P),
+    **dict.fromkeys(("dd", "dt"), ((("dd", "dt"), ("dl", *_CELLS)), _P)),
+    **dict.fromkeys(("td", "th"), ((("td", "th", "caption"), ("table",)),)),
+    "tr": ((("tr", "caption"), ("table",)),),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ((("tbody", "thead", "tfoot", "tr", "caption"), ("table",)),)),
+    "option": ((("option",), ("select", "optgroup")),),
+    "optgroup": ((("optgroup", "option"), ("select",)),),
+}
+# End tags do not reach out of a cell; these do.
+_FAR = frozenset(("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "article", "main", "body", "html"))
 _PIECE = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(" + "|".join(HIDDEN) + r")(?=[\s/>])[^>]*+>(?:.*?</\1(?=[\s/>])[^>]*+>|.*\Z)"
@@ -64,57 +101,121 @@ _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _BREAK = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _named(words: list[str], anchor: bool) -> bool:
+    """Whether the words of one class, id or role name an element without content; anchor: an id that may just be a link's target."""
+    if not _STATES.isdisjoint(words):
+        return False
+    if words and words[0] in LEADING:
+        return True
+    last = len(words)
+    while last and words[last - 1] not in _MARKS and (words[last - 1] in _SHAPES or words[last - 1].isdigit()):
+        last -= 1
+    if not last or words[last - 1] not in _MARKS or anchor and words[last - 1] in _SUBJECTS:
+        return False
+    return words[last - 1] not in _PLACED or all(w in _PAGE or w in _MARKS for w in words[: last - 1])
+
+
 def _no_content(name: str, attributes: str, in_content: bool) -> bool:
     if name in _ASIDE:
         return True
     if name == "header" and not in_content:
         return True
-    if name in ("html", "body", "main", "article") or not attributes or not _MARKED.search(attributes):
+    if name in _NEVER or not attributes or not _MARKED.search(attributes):
         return False
     if _UNSEEN.search(attributes):
         return True
+    found = False
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        words = {w.lower() for w in _BREAK.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()) if w}
-        if words & _MARKS:
-            return True
-    return False
+        anchor = m[1].lower() == "id" and (in_content or name == "section")
+        for value in (m[2] or m[3] or m[4] or "").split():
+            if value.lower() in _CONTENT:
+                return False
+            found = found or _named([w for w in _BREAK.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()) if w], anchor)
+    return found
+
+
+class _Open:
+    """The open elements of a page, outermost first."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}  # of each name: its places
+        self.blocks: list[int] = []  # places of elements that are not inline
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, place: int) -> None:
+        while len(self.names) > place:
+            self.at[self.names.pop()].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def imply(self, name: str) -> None:
+        """Ends what the start tag ``name`` ends."""
+        for ended, walls in _IMPLIED.get(name, ()):
+            wall = self.last(walls)
+            while (place := self.last(ended)) > wall:
+                self.cut(place)
+
+    def start(self, name: str) -> None:
+        if name not in _INLINE:
+            self.blocks.append(len(self.names))
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def end(self, name: str) -> None:
+        """Ends the innermost element of that name with all inside it; inline tags end nothing around a block, others nothing around a cell."""
+        place = self.last((name,))
+        if place < 0:
+            return
+        if name in _INLINE:
+            wall = self.blocks[-1] if self.blocks else -1
+        elif name in _FAR:
+            wall = self.last(("table",)) if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else -1
+        else:
+            wall = self.last(("td", "th", "caption"))
+        if place > wall:
+            self.cut(place)
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(tag, text, outside, inside): in page order each tag (text empty) or text (tag empty); outside: in an element without content; inside: in an article or main."""
+    """(tag, text, outside, inside): in page order each tag (text empty) or text (tag empty); outside: in or of an element without content; inside: in an article or main."""
     at = 0
-    content = 0  # open article and main elements
-    out_name, out_depth, out_content = "", 0, 0  # the element without content that is open
+    tree = _Open()
+    articles, mains = tree.at.setdefault("article", []), tree.at.setdefault("main", [])
+    out, out_content, unread = -1, False, False  # place of the open element without content, whether that is in content, and whether it is embedded
     for m in _PIECE.finditer(page):
-        if m.start() > at:
-            yield "", page[at : m.start()], bool(out_depth), bool(content)
+        if m.start() > at and not unread:
+            yield "", page[at : m.start()], out >= 0, bool(articles or mains)
         at = m.end()
         name = m[3]
         if not name:
             continue
-        name, end = name.lower(), bool(m[2])
-        if out_depth:
-            if name == out_name:
-                out_depth += -1 if end else 1
-                if not out_depth:
-                    yield name, "", True, bool(content)
-                    continue
-            elif end and (name in ("body", "html") or name in ("article", "main") and out_content):
-                out_depth = 0  # its own end is missing
-            elif name in ("article", "main") and not end and not out_content and name != out_name:
-                out_depth = 0  # likewise: content begins
-        elif not end and name not in _VOID and _no_content(name, m[4], bool(content)):
-            out_name, out_depth, out_content = name, 1, content
-            yield name, "", True, bool(content)
-            continue
-        if name in ("article", "main"):
-            yield name, "", bool(out_depth), False
-            content = max(0, content + (-1 if end else 1))
-            continue
-        yield name, "", bool(out_depth), bool(content)
-    if at < len(page):
-        yield "", page[at:], bool(out_depth), bool(content)
+        name, attributes, end = name.lower(), m[4], bool(m[2])
+        outside = out >= 0
+        if end:
+            tree.end(name)
+        elif not unread:
+            tree.imply(name)
+        if out >= len(tree.names):
+            out, unread = -1, False
+        content = bool(articles or mains)
+        if not end:
+            if name in ("svg", "math") and attributes.endswith("/"):
+                continue
+            if name in ("article", "main"):
+                if not out_content:
+                    out, unread = -1, False  # the end of what was open is missing: content begins
+            elif out < 0 and name not in _VOID and (name in _EMBEDDED or _no_content(name, attributes, content)):
+                out, out_content, unread = len(tree.names), content, name in _EMBEDDED
+            if name not in _VOID:
+                tree.start(name)
+            outside = out >= 0
+        if not unread and not (end and name in _EMBEDDED):
+            yield name, "", outside, content
+    if at < len(page) and not unread:
+        yield "", page[at:], out >= 0, bool(articles or mains)
 
 
 KNOWN = frozenset((*ASIDE, *INLINE, *VOID, "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))

@@ -41,6 +41,46 @@ def test_long_parts_without_content_inside_an_article():
                 assert extract(f"<body><p>{first}</p>{part}<p>{last}</p></body>", weights) == f"{first} {last}"
 
 
+def test_marks_name_the_element_itself():
+    text = "Words of the content that must not be lost"
+    for start in ("div class='content no-sidebar'", "div class='container with-nav'", "div class=\"layout has-sidebar\"", "h2 id='legal'", "section id='related'", "div class='article-header'", "div class='entry-header clearfix'", "div class=search-results", "h1 class=header"):
+        tag = start.split()[0]
+        assert extract(f"<body><{start}>{text}</{tag}></body>", WEIGHTS) == text, start
+        assert extract(f"<article><p>{text}</p><{start}>{text}</{tag}><p>{text}</p></article>", WEIGHTS) == " ".join([text] * 3), start
+    assert extract(f"<article><div class='article-header'><h1>Title here</h1></div><p>{text}</p></article>", WEIGHTS) == f"Title here {text}"
+    marks = ("class=ad", "class='ad-300x250'", "class=adBanner", "class='box related-posts'", "id=comments", "class='main-nav'", "class='site-footer'", "class='page-header'", "id='cookie-bar'", "role=navigation", "class='sidebar-content'", "class='share-buttons'", "id=disqus_thread")
+    for mark in marks:
+        assert extract(f"<body><p>{text}</p><div {mark}>not this</div><p>{text}</p></body>", WEIGHTS) == f"{text} {text}", mark
+
+
+def test_elements_without_end_tags():
+    text = "Words of the content that must not be lost"
+    for page in (
+        f"<p class=ad>buy this<p>{text}</p>",
+        f"<article><p class=ad>buy this<p>{text}</p><p>{text}</p></article><p>x",
+        f"<article><p class=ad>buy this<div>{text}</div></article>",
+        f"<article><p class=ad>buy <b>this<h2>{text}</h2></article>",
+        f"<article><div><p class=ad>buy this</div>{text}</article>",
+        f"<ul><li class=notice>a notice<ul><li>inside it<li>too</ul><li>{text}</ul>",
+        f"<ul><li class=notice>a notice</ul>{text}",
+        f"<table><tr><td class=ad>buy this<table><tr><td>inside<td>it</table><td>{text}</table>",
+        f"<table><tr><td class=ad>buy this<tr><td>{text}</table>",
+        f"<dl><dt>{text}<dd class=ad>buy this<dt>{text}</dl>",
+        f"<div><div class=ad>a <aside>b</b></aside> c</div>{text}</div>",
+        f"<nav><p>menu<p>more</nav>{text}",
+        f"<html><head><meta charset=utf-8><title>t</title><script>x='<p>'</script><body><p>{text}</p></body>",
+        f"<html><head><title>t</title><p>{text}</p>",
+        f"<p><svg viewBox='0 0 1 1'/></p><p>{text}</p>",
+        f"<p><svg><path d=x></p><p>{text}</p>",
+        f"<math/><p>{text}</p>",
+    ):
+        got = extract(page, WEIGHTS)
+        assert text in got and got.replace(text, "").strip() in ("", "x"), page
+    assert extract(f"<p>{text}<svg><title>t</title><text>drawn</text></svg>s</p>", WEIGHTS) == text + "s"
+    # Time grows with the page alone.
+    assert extract("<section><td>" + "<div><b>" * 60_000 + "</section></i>" * 60_000 + text, WEIGHTS) == text
+
+
 def test_broken_markup():
     assert extract(None, WEIGHTS) == extract("", WEIGHTS) == extract("<p></p>", WEIGHTS) == ""
     assert extract("just text", WEIGHTS) == "just text"
