@@ -4,9 +4,11 @@ Tokens: words between ASCII white space with A-Z in lower case, and one end afte
 training tokens are gathered over the corpus. The frequent ones (at most ``HEAD``, by a power of two as
 least count) reach the tasks as a table; the others meet their counts in a join.
 
-The model is a gated recurrent unit with a class-factored softmax: the ``MODELLED`` most frequent tokens
-are cut into classes of about equal mass, and a token's probability is that of its class times its own
-within the class, both given the state. All other tokens are one more class, inside which the smoothed
+The model is a gated recurrent unit with a class-factored softmax: the most frequent tokens, as many as
+half the root of the number of training tokens and ``MODELLED`` at least, are cut into classes of about
+equal mass, and a token's probability is that of its class times its own within the class, both given the
+state. The number of classes is the one that makes the softmax cheapest, about the root of the modelled
+tokens, and the state takes four more units each time these have grown fourfold. All other tokens are one more class, inside which the smoothed
 base probability holds, so the model gives a proper probability to every token, known or not.
 
 Training is by truncated backpropagation in numpy over all training texts, each seen once: first a tenth
@@ -22,6 +24,7 @@ its doc_id; an empty table gives no row; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -37,9 +40,7 @@ END = b"\n"  # no word holds white space
 SMOOTHING = 0.1
 HEAD = 1 << 17
 LONGEST_HEAD_WORD = 256
-MODELLED = 768
-CLASSES = 20
-STATE = 12
+MODELLED, CLASSES, STATE = 768, 20, 12  # at least
 TOP_LOGIT = np.float32(60)  # exp stays finite
 WINDOW = 32
 STREAM = 1024
@@ -82,13 +83,16 @@ class Vocabulary:
         self.counts = np.array(counts, dtype=np.float64)
         self.total, self.distinct = total, distinct
         self.norm = total + SMOOTHING * (distinct + 1)
-        self.modelled = min(MODELLED, len(words))
+        self.modelled = min(max(MODELLED, math.isqrt(total) // 2), len(words))
+        self.state = STATE + 4 * max(0, round(math.log(max(1, self.modelled) / MODELLED, 4)))
         top = self.counts[: self.modelled]
         self.base = np.log10((self.counts + SMOOTHING) / self.norm)
         self.rest = (total - top.sum() + SMOOTHING * (distinct + 1 - self.modelled)) / self.norm
         # Classes: runs of about equal sums of the roots of counts.
         mass = np.cumsum(np.sqrt(top)) if len(top) else top
-        cut = np.minimum(mass / mass[-1] * CLASSES, CLASSES - 1).astype(int) if len(top) else np.zeros(0, int)
+        # With k such classes a token costs k and, inside its class, mass^2 / (k total) in the mean.
+        wanted = max(CLASSES, round(mass[-1] / math.sqrt(total))) if len(top) else CLASSES
+        cut = np.minimum(mass / mass[-1] * wanted, wanted - 1).astype(int) if len(top) else np.zeros(0, int)
         self.class_of = np.unique(cut, return_inverse=True)[1] if len(top) else cut
         self.classes = int(self.class_of[-1]) + 1 if len(top) else 0
         self.first = np.searchsorted(self.class_of, np.arange(self.classes + 1))
@@ -122,24 +126,24 @@ class Model:
 
     def __init__(self, v: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
-        m, c = v.modelled, v.classes
-        self.first, self.class_of, self.rest = v.first, np.append(v.class_of, c).astype(np.uint8), m  # bytes sort fast
+        m, c, s = v.modelled, v.classes, v.state
+        self.first, self.class_of, self.rest, self.state = v.first, np.append(v.class_of, c).astype(np.uint8 if c < 256 else np.uint16), m, s  # short ones sort fast
         self.start = m + 1
 
         def normal(*shape: int) -> np.ndarray:
-            return (rng.standard_normal(shape) / np.sqrt(STATE)).astype(np.float32)
+            return (rng.standard_normal(shape) / np.sqrt(s)).astype(np.float32)
 
         top = v.counts[:m]
         inside = np.append(np.bincount(v.class_of, top, minlength=c), max(v.total - top.sum(), 1.0))
         self.p = {
-            "embed": normal(m + 2, STATE),
-            "w": normal(STATE, 3 * STATE),
-            "u": normal(STATE, 2 * STATE),
-            "un": normal(STATE, STATE),
-            "b": np.zeros(3 * STATE, np.float32),
-            "cw": normal(STATE, c + 1) * np.float32(0.1),
+            "embed": normal(m + 2, s),
+            "w": normal(s, 3 * s),
+            "u": normal(s, 2 * s),
+            "un": normal(s, s),
+            "b": np.zeros(3 * s, np.float32),
+            "cw": normal(s, c + 1) * np.float32(0.1),
             "cb": np.log(inside / inside.sum()).astype(np.float32),
-            "vw": normal(m, STATE) * np.float32(0.1),
+            "vw": normal(m, s) * np.float32(0.1),
             "vb": np.log(np.maximum(top, 1) / np.maximum(inside[v.class_of], 1)).astype(np.float32) if m else np.zeros(0, np.float32),
         }
 
@@ -154,7 +158,7 @@ class Model:
 
     def run(self, inputs: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """States (time x stream) of a window; at time t the first ``active[t]`` streams go on."""
-        p, s = self.p, STATE
+        p, s = self.p, self.state
         x = p["embed"][inputs] @ p["w"] + p["b"]
         states = np.zeros((*inputs.shape, s), np.float32)
         trail = []
@@ -177,12 +181,15 @@ class Model:
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of each target's class and place in it, given its state; with ``gradients`` also of the states."""
         p = self.p
-        logits = np.minimum(h @ p["cw"] + p["cb"], TOP_LOGIT)
-        e = np.exp(logits)
-        total = e @ np.ones(e.shape[1], e.dtype)
         of = self.class_of[targets]
         rows = np.arange(len(targets))
-        out = logits[rows, of] - np.log(total)
+        e = h @ p["cw"]  # in place from here on: these are the largest arrays
+        e += p["cb"]
+        np.minimum(e, TOP_LOGIT, out=e)
+        out = e[rows, of]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        out -= np.log(total)
         back = None
         if gradients is not None:
             d = e
@@ -199,12 +206,15 @@ class Model:
             if not len(k) or hi - lo < 2:
                 continue
             own = h[k]
-            x = np.minimum(own @ p["vw"][lo:hi].T + p["vb"][lo:hi], TOP_LOGIT)
-            e = np.exp(x)
-            total = e @ np.ones(hi - lo, e.dtype)
+            e = own @ p["vw"][lo:hi].T
+            e += p["vb"][lo:hi]
+            np.minimum(e, TOP_LOGIT, out=e)
             place = targets[k] - lo
             rows = np.arange(len(k))
-            out[k] += x[rows, place] - np.log(total)
+            met = e[rows, place]
+            np.exp(e, out=e)
+            total = e @ np.ones(hi - lo, e.dtype)
+            out[k] += met - np.log(total)
             if gradients is not None:
                 d = e
                 d *= (1 / total)[:, None]
@@ -216,7 +226,7 @@ class Model:
 
     def window_gradients(self, inputs: np.ndarray, targets: np.ndarray, active: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over one window, truncated at its start, and the state at its end."""
-        p, s = self.p, STATE
+        p, s = self.p, self.state
         g = {k: np.zeros_like(x) for k, x in p.items()}
         states, h, trail = self.run(inputs, active, h, True)
         on = np.arange(inputs.shape[1])[None, :] < active[:, None]
@@ -285,7 +295,7 @@ def train_on(model: Model, texts: Iterator[np.ndarray], rate: float = RATE, size
         runs = list(batches_of(streams, model.start, size, WINDOW))
         for k in np.random.default_rng(len(streams)).permutation(len(runs)):
             which, windows = runs[k]
-            h = np.zeros((len(which), STATE), np.float32)
+            h = np.zeros((len(which), model.state), np.float32)
             for inputs, targets, active in windows:
                 g, h = model.window_gradients(inputs, targets, active, h[: inputs.shape[1]])
                 norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
@@ -345,7 +355,7 @@ def score_texts(model: Model, texts: list[np.ndarray], size: int = 1024) -> np.n
     """Natural log-likelihood of each whole text, the state running through it."""
     out = np.zeros(len(texts))
     for which, windows in batches_of(texts, model.start, size, WINDOW):
-        h = np.zeros((len(which), STATE), np.float32)
+        h = np.zeros((len(which), model.state), np.float32)
         for inputs, targets, active in windows:
             h = h[: inputs.shape[1]]
             states, h, _ = model.run(inputs, active, h, False)

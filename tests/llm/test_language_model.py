@@ -53,6 +53,30 @@ def test_probabilities_of_all_tokens_sum_to_one():
     assert abs(v.rest + ((v.counts[: v.modelled] + 0.1) / v.norm).sum() - 1) < 1e-9
 
 
+def test_model_grows_with_the_corpus():
+    sizes = []
+    for distinct in (1_000, 20_000, 100_000):
+        counts = [max(1, 40 * distinct // (k + 1)) for k in range(distinct)]
+        v = lm.Vocabulary([b"%d" % k for k in range(distinct)], counts, sum(counts), distinct)
+        assert v.modelled == len(v.class_of) >= lm.MODELLED and v.first[-1] == v.modelled
+        assert lm.Model(v).p["embed"].shape == (v.modelled + 2, v.state)
+        sizes.append((v.modelled, v.classes, v.state, sum(counts[: v.modelled]) / sum(counts)))
+    (a, ca, sa, _), (b, cb, sb, _), (c, cc, sc, _) = sizes
+    assert a < b < c and ca <= cb < cc and sa <= sb < sc
+    # The share of tokens with a probability of their own does not fall to that of a fixed number of words.
+    assert sizes[2][3] > sum(counts[:768]) / sum(counts) + 0.1
+
+
+def test_more_than_255_classes(monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 300)
+    v = vocabulary([" ".join(f"w{k}" for k in range(700))])
+    model = lm.Model(v)
+    h = np.random.default_rng(0).standard_normal((2, v.state)).astype(np.float32)
+    assert v.classes > 255
+    total = sum(np.exp(model.log_probabilities(h, np.full(2, t))[0]) for t in range(v.modelled + 1))
+    assert np.allclose(total, 1, atol=1e-4)
+
+
 def test_state_runs_through_windows_of_any_length(monkeypatch):
     v = vocabulary(["a b c d e f g h a b c a b a"] * 3)
     model = lm.Model(v)
