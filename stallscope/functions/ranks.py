@@ -27,6 +27,13 @@ def spread(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long")
 
 
+def join_blocks(held: DataFrame, of_blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``held`` with what ``of_blocks`` says of each key and ``_block`` (there named ``_of_`` and the name); nulls are keys too."""
+    names = [*keys, "_block"]
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in names]
+    return held.join(of_blocks, same).drop(*(f"_of_{k}" for k in names))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, block: Column, weight: Column | None = None) -> DataFrame:
     """Adds ``name``: the 1-based rank of each row in its key by ``order``; with ``weight`` the running total, this row included.
 
@@ -40,6 +47,6 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, block: C
         local, total = F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.sum(weight)
     sums = held.groupBy(*keys, "_block").agg(total.alias("_held"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_block", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    out = held.withColumn("_local", local).join(sums, [*keys, "_block"])
+    sums = sums.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_block")), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
+    out = join_blocks(held.withColumn("_local", local), sums, keys)
     return out.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_local", "_before", "_block")

@@ -63,11 +63,10 @@ def group_slots(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS)
     return roots.withColumn("root_ts", F.col("ts")).select(*columns).unionByName(members)
 
 
-def group_ordinals(trace: DataFrame, comm: DataFrame) -> DataFrame:
+def group_ordinals(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Calls with the number g of their instance, n the calls it has; the more robust reading, not the default."""
     calls = with_expected_size(trace, comm)
-    g = F.row_number().over(W.partitionBy("comm_id", "op", "root", "pid").orderBy("ts", "idx")).cast("long")
-    rows = calls.withColumn("g", g)
+    rows = ranked(calls, ["comm_id", "op", "root", "pid"], ["ts", "idx"], "g", spread(calls, "ts", block_rows))
     whole = W.partitionBy("comm_id", "op", "root", "g")
     return rows.select("comm_id", "op", "root", "g", "idx", "pid", "ts", "end_ts", "comm_size", F.count(F.lit(1)).over(whole).alias("n"), F.max(F.when(F.col("pid") == F.col("root"), F.col("ts"))).over(whole).alias("root_ts"))
 

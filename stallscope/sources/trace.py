@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import NO_ROOT, SENDS, is_collective
+from ..functions.ranks import BLOCK_ROWS, join_blocks, spread
 
 TRACE = "idx long, op int, ts long, end_ts long, pid long, src long, dst long, tag long, root long, comm_id long"
 RAW = "seq long, pid long, kind string, ts long, peer long, tag long, coll_op string, root long, comm_id long"
@@ -46,15 +47,21 @@ def collective_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(COLLECTIVES.items(), key=lambda x: x[1]), "coll_op string, op int")
 
 
-def pair_collectives(raw: DataFrame) -> DataFrame:
+def pair_collectives(raw: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Ends of collective calls with the time of their begin.
 
     A begin overwrites one that is pending; an end counts if a begin is pending and clears it. So an
-    end pairs exactly if the row before it, among the begins and ends of its process, is a begin.
+    end pairs exactly if the row before it, among the begins and ends of its process, is a begin. The
+    rows of a process are sorted in blocks of time; the row before a block's first is the last of the
+    block before it.
     """
     calls = raw.where(F.col("kind").isin("coll_begin", "coll_end"))
-    order = W.partitionBy("pid").orderBy("ts", "seq")
-    calls = calls.withColumn("before", F.lag(F.struct("kind", "ts")).over(order))
+    calls = calls.withColumn("_block", spread(calls, "ts", block_rows))
+    last = calls.groupBy("pid", "_block").agg(F.max(F.struct("ts", "seq", "kind")).alias("last"))
+    prior = F.lag("last").over(W.partitionBy("pid").orderBy("_block"))
+    last = last.select(F.col("pid").alias("_of_pid"), F.col("_block").alias("_of__block"), F.struct(prior["kind"].alias("kind"), prior["ts"].alias("ts")).alias("carried"))
+    order = W.partitionBy("pid", "_block").orderBy("ts", "seq")
+    calls = join_blocks(calls.withColumn("before", F.lag(F.struct("kind", "ts")).over(order)), last, ["pid"]).withColumn("before", F.coalesce("before", "carried"))
     paired = calls.where((F.col("kind") == "coll_end") & (F.col("before.kind") == "coll_begin"))
     return paired.select("seq", "pid", "coll_op", F.col("before.ts").alias("begin_ts"), F.col("ts").alias("end_ts"), "root", "comm_id")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stallscope.operators import collectives, messages, statistics, waits
 from stallscope.plans.engine import analyze, format_report
-from stallscope.sources.trace import COMM, TRACE
+from stallscope.sources.trace import COMM, RAW, TRACE, pair_collectives
 
 
 def trace(spark, rows):
@@ -105,6 +105,32 @@ def test_group_durations(spark, op, times, metric, expected):
     assert sorted(r.dur_ps for r in rows) == expected and {r.metric for r in rows} == {metric}
 
 
+@pytest.mark.parametrize("block_rows", [1, 7, 1 << 20])
+def test_ordinals_and_pairs_in_blocks(spark, block_rows):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([8, 9]), rng.choice([None, *range(30)]), 0, rng.randrange(2), 0, 0, 0, rng.choice([0, None]), rng.choice([0, None])) for k in range(200)]
+    comm = spark.createDataFrame([(0, [0, 1])], COMM)
+    expected, seen = set(), {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        key = (r[9], r[1], r[8], r[4])
+        seen[key] = seen.get(key, 0) + 1
+        expected.add((r[0], seen[key]))
+    trace = spark.createDataFrame(rows, TRACE)
+    grouped = collectives.group_ordinals(trace, comm, block_rows)
+    assert {(r.idx, r.g) for r in grouped.collect()} == expected and grouped.count() == len(rows)
+
+    raw = [(k, rng.choice([None, 0, 1]), rng.choice(["coll_begin", "coll_end", "send"]), rng.choice([None, *range(0, 900, 9)]), None, None, "bcast", 0, 0) for k in range(300)]
+    pending, expected = {}, set()
+    for seq, pid, kind, ts, *_ in sorted(raw, key=lambda r: (r[3] is not None, r[3] or 0, r[0])):
+        if kind == "coll_begin":
+            pending[pid] = (ts,)
+        elif kind == "coll_end" and pid in pending:
+            expected.add((seq, pid, pending.pop(pid)[0], ts))
+    paired = pair_collectives(spark.createDataFrame(raw, RAW), block_rows)
+    assert {(r.seq, r.pid, r.begin_ts, r.end_ts) for r in paired.collect()} == expected
+    assert paired.count() == len(expected) > 20
+
+
 def test_statistics(spark):
     rows = [("a", int(x * 1e12)) for x in (1, 2, 3, 4)] + [("b", 5 * 10**12)]
     rows += [(f"n{n}", k * 1000) for n in range(1, 10) for k in range(n)]
