@@ -1,13 +1,13 @@
 """Benchmark items inside documents (operator 7), by functions of Spark SQL alone.
 
 Items and documents are sets of shingles of five words (lower case; white space separates words; a
-shorter text is one shingle). An item of q shingles is contained in a document to the degree of the
+shorter text is one shingle, so an item of one to four words is found only in documents that are as short). An item of q shingles is contained in a document to the degree of the
 share of its shingles that the document has.
 
 Items are partitioned by size: class c holds those of 2^c to 2^(c+1) - 1 shingles. The signature of an
 item is its k least shingle hashes (bottom-k MinHash), k being set by its class: one more than the most
 shingles that any item of the class may miss at the threshold. So whatever the length of a document, it
-cannot contain an item without one of the signature's hashes among its own: the search loses nothing,
+cannot contain an item, as defined here, without one of the signature's hashes among its own: the search loses nothing,
 and its cost does not depend on how short an item is beside a document. Documents that meet a signature
 are verified by exact containment of the shingles' words.
 
