@@ -159,16 +159,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         for batch in batches:
             n = batch.num_rows
             h = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4").reshape(n, tables)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(h.reshape(-1))], names=["id", "band", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(h.reshape(-1)), pa.array(np.repeat(batch.column(2).to_numpy(), tables))], names=["id", "band", "hash", "dim"])
 
-    members = chosen.select("id", "buckets").mapInArrow(exploded, "id long, band int, hash int")
-    groups = members.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    # Vectors of different lengths never share a bucket, even where their hashes clash.
+    members = chosen.select("id", "buckets", F.length("vector").alias("dim")).mapInArrow(exploded, "id long, band int, hash int, dim int")
+    groups = members.groupBy("band", "hash", "dim").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    met = members.join(groups, ["band", "hash"]).select("id", "band", "hash", blocks.alias("blocks"))
+    met = members.join(groups, ["band", "hash", "dim"]).select("id", "band", "hash", "dim", blocks.alias("blocks"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit_key = F.xxhash64("band", "hash", F.least("mine", "other"), F.greatest("mine", "other"))
+    unit_key = F.xxhash64("band", "hash", "dim", F.least("mine", "other"), F.greatest("mine", "other"))
     # side: of the two blocks of a unit, whether a row is in the higher one.
-    met = met.select("id", "band", unit_key.alias("unit"), (F.col("mine") > F.col("other")).alias("side"))
+    met = met.select("id", "band", "dim", unit_key.alias("unit"), (F.col("mine") > F.col("other")).alias("side"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, ["unit"]):
@@ -176,11 +177,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
             copies, bands = run.column("copies").to_numpy(), run.column("band").to_numpy()
             side = run.column("side").to_numpy()
             vector, h = run.column("vector").to_pylist(), run.column("buckets").to_pylist()
-            cuts = np.flatnonzero(np.diff(units)) + 1
+            cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(run.column("dim").to_numpy()) != 0)) + 1
             a_out, b_out, n_out = [], [], []
             for a, b in zip([0, *cuts], [*cuts, len(units)], strict=True):
-                if b - a < 2 or len({len(v) for v in vector[a:b]}) > 1:
-                    continue  # different lengths meet only by a clash of hashes
+                if b - a < 2:
+                    continue
                 x = np.frombuffer(b"".join(vector[a:b]), "<f8").reshape(b - a, -1)
                 g = np.frombuffer(b"".join(h[a:b]), "<i4").reshape(b - a, tables)
                 link, new = _compare(x, g, int(bands[a]), side[a:b], cosine)
@@ -194,8 +195,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(n_out, pa.int64())], names=["a", "b", "n"])
 
-    dealt = met.join(chosen, "id").repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "id")
-    found = written(dealt.select("unit", "id", "copies", "band", "side", "vector", "buckets").mapInArrow(compared, "a long, b long, n long"), "vectors-found")
+    dealt = met.join(chosen, "id").repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "dim", "id")
+    found = written(dealt.select("unit", "dim", "id", "copies", "band", "side", "vector", "buckets").mapInArrow(compared, "a long, b long, n long"), "vectors-found")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     classes = connected_components(found.where("b is not null").select("a", "b"), "vectors-classes")
     of_key = distinct.join(counts, "id", "left").join(classes, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

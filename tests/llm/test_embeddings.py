@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from stallscope.llm import embeddings
 from stallscope.llm.embeddings import near_vectors, op4_pstable_vectors
 from tests.llm import edges
 
@@ -48,6 +49,16 @@ def test_large_groups_in_blocks(spark, block):
     assert got == brute(rows)[0]
 
 
+def test_lengths_that_clash_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "buckets", lambda x, cells, tables: np.zeros((len(x), tables), np.int32))
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal(8), rng.standard_normal(12)
+    rows = [(k, (base + 0.05 * rng.standard_normal(len(base))).tolist()) for k, base in enumerate([a, b] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4, 512):
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=block).collect()} == brute(rows)[0]
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(8)
     rows = []
