@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, table, vocabulary, written
 
-LONGEST_PIECE = 10
 LONGEST_WORD = 40  # longer words are scored in spans of this many letters
 FLOOR = 0.1  # added to each expected count
 ROUNDS = 2
@@ -50,12 +49,13 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kept = {model.id_to_piece(k).lstrip("▁").lower() for k in range(model.get_piece_size())}
-        self.names = sorted(p for p in kept if len(p) <= LONGEST_PIECE and _WORD.fullmatch(p))
+        self.names = sorted(p for p in kept if _WORD.fullmatch(p))
+        self.longest = max(map(len, self.names), default=1)
         self.size = len(self.names) + 1
         self.slot = np.zeros(_SLOTS, np.int32)
         self.hash = np.zeros(self.size, np.uint64)
         for k, name in enumerate(self.names, 1):
-            self.hash[k] = h = _hashes(np.array([name]), len(name))[len(name) - 1][0, -1]
+            self.hash[k] = h = _hashes(np.array([name]), len(name), len(name))[len(name) - 1][0, -1]
             at = int(_slot(h)[0])
             while self.slot[at]:
                 at = (at + 1) % _SLOTS
@@ -92,11 +92,11 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
 
 
-def _hashes(words: np.ndarray, n: int) -> list[np.ndarray]:
-    """Of words of n letters: at [k][:, j] the hash of the k + 1 letters that end at place j (from place k on)."""
+def _hashes(words: np.ndarray, n: int, longest: int) -> list[np.ndarray]:
+    """Of words of n letters, up to the longest piece: at [k][:, j] the hash of the k + 1 letters that end at place j (from place k on)."""
     code = np.ascontiguousarray(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
     out = [code * _BASE]
-    for k in range(1, min(n, LONGEST_PIECE)):
+    for k in range(1, min(n, longest)):
         prior = out[-1]
         h = prior.copy()
         h[:, 1:] = (prior[:, :-1] ^ (prior[:, :-1] >> np.uint64(31))) * _BASE + code[:, 1:]
@@ -116,7 +116,7 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
         which = np.flatnonzero(sizes == n)
         for at in range(0, len(which), 20_000):
             k = which[at : at + 20_000]
-            h = _hashes(np.array([words[i] for i in k]), int(n))
+            h = _hashes(np.array([words[i] for i in k]), int(n), pieces.longest)
             ids = [pieces.find(x) for x in h]
             p = [probability[ids[0]]]  # word x place x language; letters that are no piece have the probability of piece 0
             for x in ids[1:]:
@@ -126,7 +126,7 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
             alpha = np.zeros((len(k), n + 1, probability.shape[1]))
             alpha[:, 0] = 1
             for e in range(1, n + 1):
-                for size in range(1, min(e, LONGEST_PIECE) + 1):
+                for size in range(1, min(e, pieces.longest) + 1):
                     alpha[:, e] += alpha[:, e - size] * p[size - 1][:, e - 1]
             total = np.maximum(alpha[:, n], 1e-300)
             logs[k] = np.log(total)
@@ -135,10 +135,10 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
             beta = np.zeros_like(alpha)
             beta[:, n] = 1
             for e in range(n, 0, -1):
-                for size in range(1, min(e, LONGEST_PIECE) + 1):
+                for size in range(1, min(e, pieces.longest) + 1):
                     beta[:, e - size] += beta[:, e] * p[size - 1][:, e - 1]
             share = counts[k] / total
-            for size in range(1, min(n, LONGEST_PIECE) + 1):
+            for size in range(1, min(n, pieces.longest) + 1):
                 of = ids[size - 1][:, size - 1 :]
                 weight = alpha[:, : n - size + 1] * p[size - 1][:, size - 1 :] * beta[:, size:] * share[:, None, :]
                 hit = (of > 0) if size > 1 else np.ones_like(of, bool)

@@ -34,6 +34,16 @@ def test_forward_sum_is_that_of_all_segmentations():
     assert np.allclose(total, expected)
 
 
+def test_pieces_of_any_length():
+    pieces = Pieces(PATH)
+    assert pieces.longest == max(map(len, pieces.names)) > 10
+    word = max(pieces.names, key=len)
+    p = np.full((pieces.size, 1), 1e-9)
+    p[pieces.names.index(word) + 1] = 0.5
+    logs, expected = segment(pieces, [word], p, np.ones((1, 1)))
+    assert np.allclose(np.exp(logs), 0.5) and np.allclose(expected[pieces.names.index(word) + 1], 1)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
