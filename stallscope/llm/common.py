@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,32 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own if all tasks run on this machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="stallscope-"))
     return _own_folder[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the application ends, if not before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where, system = _on_disk(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def _on_disk(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, which cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing will read again."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            where, system = _on_disk(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def id_remainder(column: str, modulus: int) -> Column:
@@ -56,12 +70,35 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
+_OF_FIXED_WIDTH = 16  # bytes counted for a value, of whatever width, beside those of its text
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, of plain columns, with the hint to broadcast it if its rows, as counted and measured, are small enough; the join's rows are the same either way."""
+    texts = [F.coalesce(F.sum(F.octet_length(f.name).cast("long")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    held = F.count(F.lit(1)) * (_OF_FIXED_WIDTH * len(df.columns))
+    for x in texts:
+        held = held + x
+    return F.broadcast(df) if df.agg(held).first()[0] <= most else df
+
+
+MOST_HEAVY, LEAST_HEAVY = 10_000, 1000
+
 
+def join_hot(rows: DataFrame, sized: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``sized`` (keys, count, ...), one row for each key that says how many of the rows have it.
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of narrow rows, with the hint to broadcast it if they are, as counted, few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    Keys of more than a ten-thousandth of all rows (``total``, or the sum of the counts) are at most
+    ``MOST_HEAVY``, so they are broadcast and their rows stay where they are; only the others are dealt by key.
+    """
+    if total is None:
+        total = sized.agg(F.sum(count)).first()[0] or 0
+    heavy = sized.where(F.col(count) > max(LEAST_HEAVY, total // MOST_HEAVY))
+    if total <= LEAST_HEAVY or heavy.isEmpty():
+        return rows.join(sized, keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(sized, keys)
+    return rows.join(F.broadcast(heavy), keys).select(*light.columns).unionByName(light)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -82,37 +119,44 @@ def _strings(array: pa.Array) -> list[str]:
 
 
 class _Memory:
-    """Ids of the strings seen."""
+    """Ids of the strings seen, in Arrow and numpy arrays of a bounded number of bytes."""
 
     def __init__(self, kind: np.dtype):
         self.kind = kind
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = [np.zeros(0, kind)], [np.zeros(0, np.int32)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int32)
+
+    def held(self) -> int:
+        """Bytes, those of the table that looks strings up among them."""
+        return self.known.nbytes + self.ids.nbytes + self.sizes.nbytes + 40 * len(self.known)
 
-    def add(self, some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-        self.ids.append(ids)
-        self.sizes.append(sizes.astype(np.int32))
+    def add(self, some: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, some.cast(pa.large_string())])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
 
     def gather(self, lists: pa.Array, learn: Callable[[_Memory, pa.Array], None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all strings of the lists in a row, and where those of each list begin and end; ``learn`` adds the unseen."""
         numbered = pc.dictionary_encode(lists.flatten())
-        strings = _strings(numbered.dictionary)
-        slots = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), np.int32, len(strings))
-        new = np.flatnonzero(slots < 0)
+        found = pc.index_in(numbered.dictionary, value_set=self.known)
+        new = numbered.dictionary.filter(pc.is_null(found))
+        slots = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).copy()
         if len(new):
-            learn(self, numbered.dictionary.take(pa.array(new)))
-            slots[new] = np.fromiter(map(self.known.__getitem__, map(strings.__getitem__, new.tolist())), np.int32, len(new))
-        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        ids, sizes = self.ids[0], self.sizes[0]
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+            before = len(self.known)
+            learn(self, new)
+            slots[slots < 0] = pc.index_in(new, value_set=self.known.slice(before)).to_numpy(zero_copy_only=False) + before
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         slots = slots[numbered.indices.to_numpy()]
-        held = sizes[slots]
+        held = self.sizes[slots]
         ends = np.cumsum(held, dtype=np.int64)
-        kind = np.int32 if len(ids) + ends[-1] < 1 << 31 else np.int64
+        last = ends[-1] if len(ends) else 0
+        kind = np.int32 if len(self.ids) + last < 1 << 31 else np.int64
         place = np.repeat((starts[slots] - (ends - held)).astype(kind), held)
         place += np.arange(len(place), dtype=kind)
-        return ids[place], np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return self.ids[place], np.concatenate([[0], ends])[lists.offsets.to_numpy()]
 
 
 class ChunkedTokenizer:
@@ -127,9 +171,9 @@ class ChunkedTokenizer:
     word is encoded once whatever signs follow it.
     """
 
-    CACHE = 1_500_000
+    MEMORY = 40 << 20  # bytes of each memory of chunks, beyond which it starts afresh
     TOGETHER = 64
-    CHARACTERS = 8_000_000  # of texts that are cut together
+    BYTES = 2 << 20  # of texts that are cut together
 
     def __init__(self, path: str, leading_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,14 +195,6 @@ class ChunkedTokenizer:
             _tokenizers[path, leading_space] = cls(path, leading_space)
         return _tokenizers[path, leading_space]
 
-    def _forget(self) -> None:
-        """Starts a memory afresh that holds more than its share."""
-        most = self.CACHE * 2 // 3 if self.leading_space else self.CACHE  # two memories, or one
-        if len(self.chunks.known) > most:
-            self.chunks = _Memory(self.kind)
-        if len(self.pieces.known) > most:
-            self.pieces = _Memory(self.kind)
-
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -175,64 +211,66 @@ class ChunkedTokenizer:
         groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
         for at in range(0, len(groups), 256):
             some = groups[at : at + 256]
-            for group, ids in zip(some, self._ids([self.between.join(g) for g in some]), strict=True):
-                coded = np.array(ids, dtype=self.kind)
+            done: list[str] = []
+            ids, sizes = [], []
+            for group, found in zip(some, self._ids([self.between.join(g) for g in some]), strict=True):
+                coded = np.array(found, dtype=self.kind)
                 inner = coded != self.mark_id
                 cuts = np.flatnonzero(~inner)
                 if len(cuts) != len(group) - 1:
                     alone += group
                     continue
-                memory.add(group, coded[inner], np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1)
+                done += group
+                ids.append(coded[inner])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(coded)]])) - 1)
+            if done:
+                memory.add(pa.array(done, pa.large_string()), np.concatenate(ids), np.concatenate(sizes))
         for at in range(0, len(alone), 20_000):
             part = alone[at : at + 20_000]
             found = self._ids(part)
-            memory.add(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(ids) for ids in found]))
+            memory.add(pa.array(part, pa.large_string()), np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(ids) for ids in found]))
 
     def _learn_by_pieces(self, memory: _Memory, chunks: pa.Array) -> None:
         """Adds the ids of unseen chunks to the memory, put together from those of their pieces."""
         cut = pc.replace_substring_regex(pc.replace_substring_regex(chunks, _SIGN_AFTER, "\\1\0\\2"), _BREAK_WITHIN, "\\1\0\n\0\\2")
         ids, ends = self.pieces.gather(pc.split_pattern(cut, "\0"), self._learn)
-        memory.add(_strings(chunks), ids, np.diff(ends))
+        memory.add(chunks, ids, np.diff(ends))
 
-    def _encode_cut(self, texts: list[str]) -> list[bytes]:
-        texts = pa.array(texts, pa.large_string())
+    def _encode_cut(self, texts: pa.Array) -> list[np.ndarray]:
+        for memory in (self.chunks, self.pieces):
+            if memory.held() > self.MEMORY:
+                memory.forget()
+        texts = texts.cast(pa.large_string())
         if self.leading_space:
             cut = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         else:
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         ids, ends = self.chunks.gather(cut, self._learn_by_pieces if self.leading_space else self._learn)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in itertools.pairwise((ends * self.kind.itemsize).tolist())]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text the ids as little-endian integers of ``self.kind``; null counts as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        held: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            self._forget()
-            for k, ids in zip(held, self._encode_cut([texts[k] for k in held]), strict=True):
-                out[k] = ids
-
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if self.leading_space and ("\0" in text or _SPACE_RUN.search(text)):
-                out[k] = np.array(self._ids([text])[0], self.kind).tobytes()
+        return [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Per text the ids, of type ``self.kind``; null counts as empty."""
+        out: list[np.ndarray] = []
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + self.BYTES, side="right")))
+            some = pc.fill_null(texts.slice(at, upto - at), "")
+            at = upto
+            whole = pc.match_substring_regex(some, _SPACE_RUN) if self.leading_space else None
+            if whole is None or not pc.any(whole).as_py():
+                out += self._encode_cut(some)
                 continue
-            held.append(k)
-            size += len(text)
-            if size >= self.CHARACTERS:
-                flush()
-                held, size = [], 0
-        if held:
-            flush()
+            rest = iter(self._encode_cut(some.filter(pc.invert(whole))))
+            for k, alone in enumerate(whole.to_pylist()):
+                out.append(np.array(self._ids([some[k].as_py()])[0], self.kind) if alone else next(rest))
         return out
 
 
 _tokenizers: dict[tuple[str, bool], ChunkedTokenizer] = {}
-_SPACE_RUN = re.compile(r"\s ")
+# A space behind white space of whatever kind, or the mark that cuts.
+_SPACE_RUN = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}] |\x{0}"
 # Letters and signs of which every version of Unicode says the same; apostrophes can belong to what follows.
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
 _SIGN_AFTER = f"([{_LETTERS}])([{_SIGNS}])"
@@ -274,24 +312,27 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(id, component_id): for each id in an edge (a, b) the least id that it reaches.
 
-    Alternates large-star and small-star steps, each a pre-aggregated minimum and a join that Spark
-    can split where a star is large; every round is written to the shared folder.
+    Alternates large-star and small-star steps, each a pre-aggregated minimum and a join in which the
+    edges of a large star stay where they are; every round is written to the shared folder.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least, "u")
+    def star(pairs: DataFrame, most: int) -> DataFrame:
+        sized = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        return join_hot(pairs, sized, ["u"], "n", most).select("u", "v", "m")
+
+    def sum_of(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
-    before = None
+    before = sum_of(e)
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        down = star(large)
+        large = written(star(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), name)
+        down = star(large, before[0])
         small = down.select("u", F.col("m").alias("v")).union(down.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = written(small, name)
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(e)
+        now = sum_of(after)
+        dropped(e, large)
         e = after
         if now == before:
             break
@@ -302,28 +343,38 @@ def connected_components(edges: DataFrame, name: str, rounds: int = 60) -> DataF
     return least.union(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
 
+_BUCKETS = 64
+
+
 def summed_arrays(parts: DataFrame) -> dict[int, np.ndarray]:
     """Sums rows (chunk int, values binary of float32) by chunk; what arrives is one array per chunk.
 
-    Rows are dealt and sorted by chunk and added up one by one, so a task holds one sum however many
-    tasks have sent a part.
+    A tree of two levels: the parts of a chunk are first summed in ``_BUCKETS`` buckets, by the task that
+    has sent them. Rows are dealt and sorted and added up one by one, so a task holds one sum however
+    many tasks have sent a part.
     """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total = None, None
-        for batch in batches:
-            for c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c != chunk:
-                    if total is not None:
-                        yield _summed(chunk, total)
-                    chunk, total = c, np.zeros(len(v) // 4)
-                total += np.frombuffer(v, "<f4")
-        if total is not None:
-            yield _summed(chunk, total)
-
-    dealt = parts.repartition(shuffle_partitions(parts.sparkSession), "chunk").sortWithinPartitions("chunk")
-    return {r[0]: np.frombuffer(r[1], "<f8") for r in dealt.mapInArrow(add, "chunk int, values binary").collect()}
-
-
-def _summed(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "values"])
+    spark = parts.sparkSession
+
+    def level(some: DataFrame, keys: list[str], kind: str) -> DataFrame:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = None, None
+            for batch in batches:
+                for *k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if k != key:
+                        if total is not None:
+                            yield _summed(key, total)
+                        key, total = k, np.zeros(len(v) // np.dtype(kind).itemsize)
+                    total += np.frombuffer(v, kind)
+            if total is not None:
+                yield _summed(key, total)
+
+        dealt = some.select("chunk", "bucket", "values").repartition(shuffle_partitions(spark), *keys).sortWithinPartitions("chunk", "bucket")
+        return dealt.mapInArrow(add, "chunk int, bucket int, values binary")
+
+    once = level(parts.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(_BUCKETS))), ["chunk", "bucket"], "<f4")
+    twice = level(once.withColumn("bucket", F.lit(0)), ["chunk"], "<f8")
+    return {r["chunk"]: np.frombuffer(r["values"], "<f8") for r in twice.collect()}
+
+
+def _summed(key: list[int], total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "bucket", "values"])

@@ -11,7 +11,7 @@ cannot contain an item, as defined here, without one of the signature's hashes a
 and its cost does not depend on how short an item is beside a document. Documents that meet a signature
 are verified by exact containment of the shingles' words.
 
-The signatures and the items' shingles are broadcast up to a bound of rows and joined by a shuffle
+The signatures and the items' shingles are broadcast up to a bound of bytes and joined by a shuffle
 beyond it (``common.small``).
 
 Defined results: null or empty texts contain nothing, and items without a word are found nowhere; rows
@@ -63,23 +63,23 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     items = items.select("item_id", "text").where("item_id is not null")
     signed = written(signatures(items, containment, words), "items-signed")
     places = with_shingles(docs, "text", words, hashed=True)
-    met = places.join(small(signed.select("item_id", "s"), signed.count()), "s").select("doc_id", "item_id").distinct()
+    met = places.join(small(signed.select("item_id", "s")), "s").select("doc_id", "item_id").distinct()
     met = written(met, "items-met")
     # Verification reads again the documents that were met, and no others.
     ids = met.select("doc_id").distinct()
-    again = docs.join(small(ids, ids.count()), "doc_id", "left_semi")
+    again = docs.join(small(ids), "doc_id", "left_semi")
     in_docs = with_shingles(again, "text", words, hashed=False).distinct()
     in_items = written(with_shingles(items, "text", words, hashed=False).distinct(), "items-shingles")
     sizes = in_items.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    shared = in_docs.join(small(in_items, in_items.count()), "s").join(met, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    out = shared.join(small(sizes, items.count()), "item_id").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    shared = in_docs.join(small(in_items), "s").join(met, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    out = shared.join(small(sizes), "item_id").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     return out.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9).select("doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
 def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
     found = written(contained_items(docs, items, containment).select("doc_id").distinct(), "items-found")
-    return docs.join(small(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,13 @@
 Every document becomes its ids and an end id. What fills whole windows is cut off; the rest, shorter
 than a window, is packed. Per shard of documents: the histogram of rest lengths, the shallow
 combinations of these lengths that fill a window exactly, their non-negative repeat counts by least
-squares against the histogram, rounded down, and the residual rests greedily, the piece that meets the
-end of a window being cut there. So only the last window of a shard is short; it is padded.
+squares against the histogram, rounded (to one where less and its parts are there), and the same again
+over what that leaves, a few times; then the residual rests greedily, the piece that meets the end of a
+window being cut there. So only the last window of a shard is short; it is padded.
+
+A shard is what a task reads until it holds ``SHARD_IDS`` ids, so nothing is shuffled, equal rows meet
+nowhere, and a lost task is simply done again. Tables of many tiny partitions pad the last window of
+each; coalesce them first.
 
 Null texts count as empty and hold the end id alone. Rows with equal or null doc_id are packed each on
 its own. An empty table gives no piece. Other columns of the input are not read.
@@ -13,11 +18,10 @@ its own. An empty table gives no piece. Other columns of the input are not read.
 from __future__ import annotations
 
 import bisect
-import zlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +30,25 @@ from .common import ChunkedTokenizer, table, vocabulary
 
 WINDOW = 2048
 END_ID = 1
-SHARD_DOCS = 2048
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SHARD_IDS = 1 << 22
+ROUNDS = 4
+LEAST = 0.02  # of repeats, below which a combination is not tried
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def combinations(lengths: np.ndarray, window: int, depth: int = 6) -> list[tuple[tuple[int, int], ...]]:
-    """The exact fillings of a window by at most ``depth`` pieces of one or two of the lengths, and by three lengths whose two shorter ones are among the commonest; each as (length, times) pairs."""
+    """The exact fillings of a window, each as (length, times) pairs, from lengths in order of their frequency.
+
+    By at most ``depth`` pieces of one or two of the lengths, by three lengths of which two are among the
+    96 commonest, and by four of which three are among the 24 commonest.
+    """
     present = np.zeros(window + 1, bool)
     present[lengths] = True
     found: list[tuple[tuple[int, int], ...]] = []
-    for times in range(1, depth):
-        for more in range(0, depth - times + 1):
-            if more == 0:
-                if window % times == 0 and present[window // times]:
-                    found.append(((window // times, times),))
-                continue
+    for times in range(1, depth + 1):
+        if window % times == 0 and present[window // times]:
+            found.append(((window // times, times),))
+        for more in range(1, depth - times + 1):
             rest = window - times * lengths
             ok = (rest > 0) & (rest % more == 0)
             a, b = lengths[ok], rest[ok] // more
@@ -48,15 +56,16 @@ def combinations(lengths: np.ndarray, window: int, depth: int = 6) -> list[tuple
             if times == more:
                 ok &= a < b
             found += [((int(x), times), (int(y), more)) for x, y in zip(a[ok], b[ok], strict=True)]
-    for i, a in enumerate(lengths[:24]):
-        for b in lengths[i + 1 : 24]:
-            c = window - a - b
-            if c > 0 and present[c] and c not in (a, b):
-                found.append(tuple((int(x), 1) for x in (a, b, c)))
+    for size, among in ((2, 96), (3, 24)):
+        some = np.array(list(itertools.combinations(lengths[:among].tolist(), size)), np.int64).reshape(-1, size)
+        last = window - some.sum(axis=1)
+        ok = (last > 0) & present[np.maximum(last, 0)] & (some != last[:, None]).all(axis=1)
+        rows = np.unique(np.sort(np.column_stack([some[ok], last[ok]]), axis=1), axis=0)
+        found += [tuple((x, 1) for x in row) for row in rows.tolist()]
     return found
 
 
-def non_negative_least_squares(kinds: list[tuple[tuple[int, int], ...]], histogram: np.ndarray, steps: int = 300) -> np.ndarray:
+def non_negative_least_squares(kinds: list[tuple[tuple[int, int], ...]], histogram: np.ndarray, steps: int = 120) -> np.ndarray:
     """x >= 0 that minimises |A x - histogram|, A's columns being the combinations; accelerated projected gradient."""
     if not kinds:
         return np.zeros(0)
@@ -97,23 +106,27 @@ def plan(tokens: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int,
         d = waiting[length].pop()
         pieces.append((d, int(tokens[d]) - length, length, n, offset))
 
-    histogram = np.zeros(window + 1)
-    for length, of in waiting.items():
-        histogram[length] = len(of)
-    lengths = np.array(sorted(waiting, key=lambda x: (-len(waiting[x]), x)), dtype=np.int64)
-    kinds = combinations(lengths, window)
-    times = non_negative_least_squares(kinds, histogram)
-    for k in np.argsort(-times, kind="stable"):
-        if times[k] < 0.5:
+    for _ in range(ROUNDS):
+        histogram = np.zeros(window + 1)
+        for length, of in waiting.items():
+            histogram[length] = len(of)
+        lengths = np.array(sorted((x for x in waiting if waiting[x]), key=lambda x: (-len(waiting[x]), x)), dtype=np.int64)
+        kinds = combinations(lengths, window)
+        times = non_negative_least_squares(kinds, histogram)
+        before = n
+        for k in np.argsort(-times, kind="stable"):
+            if times[k] < LEAST:
+                break
+            can = min(len(waiting[length]) // m for length, m in kinds[k])
+            for _ in range(min(can, max(1, round(times[k])))):
+                offset = 0
+                for length, m in kinds[k]:
+                    for _ in range(m):
+                        put(length, offset)
+                        offset += length
+                n += 1
+        if (n - before) * 100 < histogram.sum():
             break
-        can = min(len(waiting[length]) // m for length, m in kinds[k])
-        for _ in range(min(can, int(times[k] + 1e-6) or 1)):
-            offset = 0
-            for length, m in kinds[k]:
-                for _ in range(m):
-                    put(length, offset)
-                    offset += length
-            n += 1
     # The residual: largest first, then the largest that still fits; the shortest is cut where none does.
     left = sorted((length, d) for length, of in waiting.items() for d in of)
     offset = 0
@@ -139,43 +152,47 @@ def plan(tokens: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The pieces of all documents, with their ids; a shard of about ``shard_docs`` documents is packed by one task."""
+def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """The pieces of all documents, with their ids (little-endian unsigned 32-bit); documents are packed by the task that reads them, about ``shard_ids`` ids at a time."""
     file = vocabulary("word_bpe_49k.json", tokenizer)
-    shards = max(1, -(-docs.count() // shard_docs))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder = ChunkedTokenizer.shared(file, leading_space=False)
-        end = np.array([end_id], coder.kind).tobytes()
+        end = np.array([end_id], coder.kind)
+        first = TaskContext.get().partitionId() << 40
+        doc_ids: list[int | None] = []
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal first
+            sizes = np.array([len(x) for x in held], np.int64)
+            got = plan(sizes, window)
+            for at in range(0, len(got), 2000):
+                doc, start, length, sequence, offset = np.array(got[at : at + 2000], np.int64).T
+                ids = [held[d][s : s + k].astype("<u4").tobytes() for d, s, k in zip(doc, start, length, strict=True)]
+                columns = [pa.array([doc_ids[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(sizes[doc]), pa.array(sequence + first), pa.array(offset)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            first += max(x[3] for x in got) + 1
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                some = batch.slice(at, 5000)
-                ids = [np.frombuffer(x + end, coder.kind).astype("<u2" if coder.kind.itemsize == 2 else "<u4").tobytes() for x in coder.encode(some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([coder.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "shard", "width", "ids"])
-
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "ids"], kind="stable", ignore_index=True)
-        width = int(group["width"].iloc[0])
-        ids = group["ids"].tolist()
-        sizes = np.array([len(x) // width for x in ids], np.int64)
-        got = plan(sizes, window)
-        out = pd.DataFrame(got, columns=["doc", "start", "length", "sequence_id", "offset"])
-        out["doc_id"] = group["doc_id"].astype("Int64").take(out["doc"]).array
-        out["doc_tokens"] = sizes[out["doc"]]
-        out["sequence_id"] += int(group["shard"].iloc[0]) << 32
-        out["ids"] = [np.frombuffer(ids[d], f"<u{width}")[s : s + k].astype("<u4").tobytes() for d, s, k, _, _ in got]
-        return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
-
-    # Dealt by the text too, so that rows of one id do not all meet in one shard.
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    coded = docs.select("doc_id", "text", shard.alias("shard")).mapInArrow(tokens, "doc_id long, shard long, width int, ids binary")
-    return coded.groupBy("shard").applyInPandas(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                for i, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), strict=True):
+                    doc_ids.append(i)
+                    held.append(np.concatenate([ids, end]))
+                    waiting += len(held[-1])
+                    if waiting >= shard_ids:
+                        yield from flush()
+                        doc_ids, held, waiting = [], [], 0
+        if held:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PIECES)
 
 
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -13,8 +13,6 @@ An empty table gives no segment. Other columns of the input are not read.
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkedTokenizer, shared_folder, shuffle_partitions, table, vocabulary
+from .common import ChunkedTokenizer, new_path, shuffle_partitions, table, vocabulary
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 18
@@ -129,10 +127,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         end = np.array([end_id], np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                some = batch.slice(at, 5000)
-                for i, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist()), strict=True):
-                    held.append(np.concatenate([np.frombuffer(ids, coder.kind).astype(np.uint64), end]))
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                for i, ids in zip(some.column(0).to_pylist(), coder.encode(some.column(1)), strict=True):
+                    held.append(np.concatenate([ids.astype(np.uint64), end]))
                     doc_ids.append(i)
                     size += len(held[-1])
                     if size >= SEGMENT_IDS:
@@ -168,10 +166,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

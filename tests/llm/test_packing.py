@@ -52,12 +52,30 @@ def test_awkward_rows(spark, tmp_path):
 
 def test_smaller_window_and_shards(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = pack_documents(docs, window=128, shard_docs=50).collect()
+    rows = pack_documents(docs, window=128, shard_ids=20_000).collect()
     fill = defaultdict(int)
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 128
-    assert sum(v < 128 for v in fill.values()) <= 4
+    assert 1 < sum(v < 128 for v in fill.values()) <= sum(fill.values()) / 20_000 + 1
+
+
+def test_equal_rows_are_packed_each_on_its_own(spark):
+    rows = [(None, "a b c")] * 300 + [(7, "a b c d e f")] * 300 + [(7, None)] * 50
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=64).collect()
+    assert sum(r.start == 0 for r in got) == len(rows) and sum(r.doc_tokens == 1 for r in got) == 50
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def test_combinations_fill_most_windows():
+    sizes = np.maximum(1, np.random.default_rng(1).lognormal(6, 0.8, 8000)).astype(np.int64)
+    windows = defaultdict(list)
+    for d, start, length, sequence, _ in plan(sizes):
+        windows[sequence].append((d, start, length))
+    shared = [w for w in windows.values() if w[0][2] < 2048]
+    whole = [w for w in shared if all(start % 2048 == 0 and start + length == sizes[d] for d, start, length in w)]
+    assert len(whole) > 0.9 * len(shared)
+    assert sum(length for w in windows.values() for _, _, length in w) == sizes.sum()
 
 
 def test_combinations_fill_and_solution_is_least_squares():
