@@ -7,9 +7,15 @@ element's weight reaches it. A signature keeps, per coordinate, the earliest dar
 coordinate with the probability of their weighted Jaccard similarity. Darts are thrown up to a rank
 that about fills the coordinates; where one stays empty the rank is doubled.
 
-Texts that are equal are first reduced to one. Bands of the signature are joined; texts that share a
-band meet in groups, in blocks of bounded size, where exact similarities of the shingle sets decide.
-A group sends a spanning forest of its links, not its pairs. Links are then connected.
+An element weighs as often as it occurs, in signatures and in the similarities that decide.
+
+Texts that are equal are first reduced to one. Bands of the signature are joined. Texts that share a
+band are a group; it is cut into blocks of bounded size and bytes, each of which also has the group's
+first text. Exact similarities are found inside a block, which sends a spanning forest of its links, not
+its pairs, and the links of all blocks are connected. That joins a group of near copies at the cost of its
+members alone. Where a group of several blocks is then still of more than one class, all its texts outside its
+largest class are compared with all its texts of other classes, in pairs of blocks, so that no link is lost.
+Only texts that met are read again and shuffled.
 
 Defined results: null texts and texts without a word link with nothing and stay (class_id = doc_id);
 rows with equal doc_id count as one document that has all of their texts; rows without a doc_id link
@@ -26,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, small, table, whole_runs, written
+from .common import connected_components, dropped, join_hot, shuffle_partitions, small, table, whole_runs, written
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,8 +103,14 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, text_key, bands) of every row; ``weighted``: an element weighs as often as it occurs, else 1. Empty texts have no bands."""
+def weighted_set(text: str | None, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles in ascending order and their weights: how often each occurs, or 1."""
+    elements, times = np.unique(shingles(text), return_counts=True)
+    return elements, times.astype(float) if weighted else np.ones(len(elements))
+
+
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
+    """(doc_id, text_key, size, bands) of every row, size in bytes; empty texts have no bands."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,42 +118,51 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
                 some = batch.slice(at, 2000)
                 out: list = []
                 for text in some.column(1).to_pylist():
-                    found = shingles(text)
-                    if not len(found):
-                        out.append(None)
-                        continue
-                    elements, times = np.unique(found, return_counts=True)
-                    weights = times.astype(float) if weighted else np.ones(len(elements))
-                    out.append(bands_of(signature(elements, weights, bands * rows), bands, rows))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
-
-    return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_key")).mapInArrow(signed, "doc_id long, text_key binary, bands array<long>")
-
-
-def forest(owner: np.ndarray, sets: list[np.ndarray], similarity: float, first: int | None = None) -> list[tuple[int, int]]:
+                    elements, weights = weighted_set(text, weighted)
+                    out.append(bands_of(signature(elements, weights, bands * rows), bands, rows) if len(elements) else None)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text_key", "size", "bands"])
+
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("text_key"), F.octet_length("text").cast("long").alias("size"))
+    return rows_in.mapInArrow(signed, "doc_id long, text_key binary, size long, bands array<long>")
+
+
+class Sets:
+    """Weighted sets, of which one is compared with many others at a time."""
+
+    def __init__(self, texts: list[str], weighted: bool):
+        found = [weighted_set(t, weighted) for t in texts]
+        self.elements = [x for x, _ in found]
+        self.weights = [w for _, w in found]
+        self.totals = np.array([w.sum() for w in self.weights])
+
+    def near(self, at: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of the others whose weighted Jaccard similarity to one reaches the threshold."""
+        total = self.totals[at]
+        # Sets of too different a size cannot be similar.
+        some = others[(self.totals[others] >= similarity * total - 1e-9) & (self.totals[others] * similarity <= total + 1e-9)]
+        if not len(some):
+            return some
+        flat = np.concatenate([self.elements[k] for k in some])
+        own = self.elements[at]
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.where(own[place] == flat, np.minimum(self.weights[at][place], np.concatenate([self.weights[k] for k in some])), 0.0)
+        lengths = np.array([len(self.elements[k]) for k in some])
+        shared = np.add.reduceat(both, np.cumsum(lengths) - lengths)
+        return some[shared >= similarity * (self.totals[some] + total - shared) - 1e-9]
+
+
+def forest(owner: np.ndarray, sets: Sets, similarity: float) -> list[tuple[int, int]]:
     """Links that connect the sets as all pairs of at least the similarity would.
 
-    Walks each component from its least member, comparing the one at hand with all sets not yet
-    reached. With ``first`` only pairs of one of the first so many sets and a later one are of interest,
-    though all links found are sound.
+    Walks each component from its least member, comparing the one at hand with all sets not yet reached.
     """
     links: list[tuple[int, int]] = []
-    sizes = np.array([len(s) for s in sets])
-    left = np.arange(len(sets))
+    left = np.arange(len(owner))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            # Sets of too different a size cannot be similar.
-            near = (sizes[left] >= similarity * sizes[at] - 1e-9) & (sizes[left] * similarity <= sizes[at] + 1e-9)
-            some = left[near]
-            if not len(some):
-                continue
-            flat = np.concatenate([sets[k] for k in some])
-            own = sets[at]
-            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            shared = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
-            hit = some[shared >= similarity * (sizes[some] + sizes[at] - shared) - 1e-9]
+            hit = sets.near(at, left, similarity)
             if len(hit):
                 links += [(int(owner[at]), int(owner[k])) for k in hit]
                 queue += hit.tolist()
@@ -148,55 +170,103 @@ def forest(owner: np.ndarray, sets: list[np.ndarray], similarity: float, first:
     return links
 
 
-def near_duplicate_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the ids of ``members`` (id, band, hash), whose texts ``texts`` (id, text) holds."""
+def across(owner: np.ndarray, sets: Sets, similarity: float, side: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the sets of one side and those of the other, of different classes: to each class one."""
+    links: list[tuple[int, int]] = []
+    a, b = np.flatnonzero(~side), np.flatnonzero(side)
+    for k in a:
+        hit = sets.near(k, b[classes[b] != classes[k]], similarity)
+        _, first = np.unique(classes[hit], return_index=True)
+        links += [(int(owner[k]), int(owner[j])) for j in hit[first]]
+    return links
+
+
+def _links_of_units(texts: DataFrame, met: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Links (a, b) inside the units of ``met`` (id, unit, and for pairs of blocks side and class)."""
     spark = texts.sparkSession
-    group = ["band", "hash"]
-    groups = members.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("n > 1")
-    # Texts that meet in several bands as the same group meet once.
-    once = groups.groupBy("n", "who").agg(F.min(F.struct(*group)).alias("g")).select("g.band", "g.hash", "n")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", "hash"), F.col("blocks")).cast("int")
-    # A group of more than one block: every pair of its blocks is one unit, so each pair of texts meets.
-    met = (
-        members.join(once, group)
-        .select("id", *group, blocks.alias("blocks"))
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("id", F.xxhash64(*group, F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
-    )
-    met = written(met, "near-met")
+    paired = "side" in met.columns
+    kept = ["unit", "id", *(["side", "class"] if paired else []), "text"]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, ["unit"]):
-            units = run.column("unit").to_numpy()
-            ids = run.column("id").to_numpy()
+            units, ids = run.column("unit").to_numpy(), run.column("id").to_numpy()
             cuts = np.flatnonzero(np.diff(units)) + 1
             found: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts], [*cuts, len(units)], strict=True):
-                if b - a > 1:
-                    sets = [np.unique(shingles(t)) for t in run.column("text").slice(a, b - a).to_pylist()]
+                if b - a < 2:
+                    continue
+                sets = Sets(run.column("text").slice(a, b - a).to_pylist(), weighted)
+                if paired:
+                    side, classes = (run.column(c).slice(a, b - a).to_numpy() for c in ("side", "class"))
+                    found += across(ids[a:b], sets, similarity, side.astype(bool), classes)
+                else:
                     found += forest(ids[a:b], sets, similarity)
             if found:
                 x = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    with_text = met.join(texts, "id").repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "id")
-    return with_text.select("unit", "id", "text").mapInArrow(linked, "a long, b long")
+    # Only texts that met anything leave their place, once for each unit.
+    some = texts.join(small(met.select("id").distinct()), "id", "left_semi").join(small(met), "id")
+    dealt = some.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "id").select(*kept)
+    return dealt.mapInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, weighted: bool = False) -> DataFrame:
+def near_duplicate_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, weighted: bool = True) -> DataFrame:
+    """Links (a, b) between the ids of ``members`` (id, size, band, hash), whose texts ``texts`` (id, text) holds."""
+    group = ["band", "hash"]
+    groups = members.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    # Texts that meet in several bands as the same group meet once.
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    once = groups.groupBy("n", "who").agg(F.min(F.struct(*group, "bytes", "least")).alias("g"))
+    once = written(once.select("g.band", "g.hash", "g.least", "n", F.col("g.bytes").alias("bytes")).select(*group, "least", "n", blocks), "near-groups")
+    joined = written(join_hot(members, once, group, "n").select("id", *group, "least", "blocks"), "near-members")
+    mine = F.pmod(F.xxhash64("id", "hash"), F.col("blocks")).cast("int")
+    places = F.when(F.col("id") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
+    met = written(joined.withColumn("place", F.explode(places)).select("id", F.xxhash64(*group, "place").alias("unit")), "near-met")
+    links = written(_links_of_units(texts, met, similarity, weighted).distinct(), "near-links")
+    dropped(met, once)
+
+    # What several blocks leave open: members outside the largest class of their group.
+    wide = joined.where("blocks > 1").select("id", *group)
+    if wide.isEmpty():
+        return links
+    classes = connected_components(links, "near-classes")
+    wide = written(wide.join(classes, "id", "left").select("id", *group, F.coalesce("component_id", "id").alias("class")), "near-wide")
+    held = wide.groupBy(*group, "class").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy(*group).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("most"))
+    ways = held.where("classes > 1").select(*group, "n", F.ceil(F.col("n") / block).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("apart"), F.col("most.class").alias("main"))
+    ways = written(ways, "near-ways")
+    if ways.isEmpty():
+        return links
+    left_open = join_hot(wide, ways, group, "n")
+    among = F.pmod(F.xxhash64("id", "hash"), F.col("all")).cast("int")
+    aside = F.pmod(F.xxhash64("hash", "id"), F.col("apart")).cast("int")
+    unit = F.xxhash64(*group, "i", "j").alias("unit")
+    one = left_open.where("class <> main").withColumn("i", aside).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    other = left_open.withColumn("j", among).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("apart") - 1)))
+    pairs = one.select("id", unit, F.lit(0).alias("side"), "class").unionByName(other.select("id", unit, F.lit(1).alias("side"), "class"))
+    return links.unionByName(written(_links_of_units(texts, written(pairs, "near-pairs"), similarity, weighted).distinct(), "near-links"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, weighted: bool = True) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept (doc_id = class_id) of every document."""
     signed = written(signatures(docs, bands, rows, weighted), "near-signed")
-    texts = signed.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    texts = signed.where("bands is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = written(texts, "near-texts")
-    members = texts.select("id", F.posexplode("bands").alias("band", "hash"))
-    body = docs.select(F.col("doc_id").alias("id"), "text")
-    links = written(near_duplicate_links(body, members, similarity, block).distinct(), "near-links")
+    members = texts.select("id", "size", F.posexplode("bands").alias("band", "hash"))
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    links = near_duplicate_links(body, members, similarity, block, weighted)
+    with_text = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
+    several = signed.where(with_text).groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("doc_id")
+    several = written(several, "near-several")
+    if not several.isEmpty():  # a document's own texts are linked
+        own = signed.where(with_text).join(small(several), "doc_id").join(texts.select("text_key", "id"), "text_key")
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     classes = connected_components(links, "near-classes")
-    of_text = texts.join(classes, "id", "left").select("text_key", F.coalesce("component_id", "id").alias("class_id"))
-    out = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("text_key")).alias("text_key")).join(of_text, "text_key", "left")
-    out = out.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    of_text = texts.join(classes, "id", "left").select("text_key", "copies", F.coalesce("component_id", "id").alias("class_id"))
+    linked = join_hot(signed.where(with_text).select("doc_id", "text_key"), written(of_text, "near-of-text"), ["text_key"], "copies")
+    alone = signed.where(~with_text).select("doc_id", F.col("doc_id").alias("class_id"))
+    out = linked.select("doc_id", "class_id").unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
@@ -204,11 +274,11 @@ def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) ->
     """The rows of ``docs`` but for those of all documents of a class except the first; rows repeated with their id and text stay once."""
     classes = written(near_duplicates(docs, similarity), "near-result")
     gone = classes.where("not kept").select("doc_id")
-    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
+    left = docs.join(small(gone), "doc_id", "left_anti")
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again")
-    n = again.count()
-    if n:
-        left = left.join(small(again, n), "doc_id", "left_anti").unionByName(left.join(small(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not again.isEmpty():
+        again = small(again)
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return left.select(*docs.columns)
 
 

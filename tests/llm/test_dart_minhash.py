@@ -1,7 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from stallscope.llm.dart_minhash import near_duplicates, op6_dart_minhash, shingles, signature
+from stallscope.llm.dart_minhash import near_duplicate_links, near_duplicates, op6_dart_minhash, shingles, signature
 from tests.llm import edges
 
 
@@ -16,11 +18,13 @@ def test_agreement_estimates_weighted_jaccard():
     assert abs(hits - truth) / 40 < 0.02
 
 
-def brute(rows, similarity=0.8):
+def brute(rows, similarity=0.8, weighted=True):
+    """Least id of each document's component of all pairs of weighted Jaccard similarity; a document's own texts are linked."""
     texts = {}
     for i, t in rows:
         if i is not None:
-            texts.setdefault(i, []).append(set(shingles(t).tolist()))
+            count = Counter(shingles(t).tolist())
+            texts.setdefault(i, []).append(count if weighted else Counter(set(count)))
     parent = {i: i for i in texts}
 
     def root(x):
@@ -28,10 +32,14 @@ def brute(rows, similarity=0.8):
             x = parent[x]
         return x
 
+    def similar(x, y):
+        shared = sum((x & y).values())
+        return x and y and shared >= similarity * (sum(x.values()) + sum(y.values()) - shared) - 1e-9
+
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if any(x and y and len(x & y) >= similarity * len(x | y) - 1e-9 for x in texts[a] for y in texts[b]):
+            if any(similar(x, y) for x in texts[a] for y in texts[b]):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     return {i: root(i) for i in ids}
@@ -41,11 +49,63 @@ def brute(rows, similarity=0.8):
 def test_classes_are_those_of_all_pairs(spark, block):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-    copies = [(100_000 + k, " ".join([*base, *base[::-1], *(f"x{j}" for j in range(20)), f"y{k}", "end"]), None, None, None) for k in range(30)]
-    docs = docs.unionByName(spark.createDataFrame(copies, docs.schema))
-    rows = docs.select("doc_id", "text").collect()
+    long = [*base, *base[::-1], *(f"x{j}" for j in range(20))]
+    copies = [(100_000 + k, " ".join([*long, f"y{k}", "end"])) for k in range(30)]
+    # A chain, and texts that share bands with the copies without being similar to them.
+    copies += [(200_000 + k, " ".join(f"z{j}" for j in range(k * 5, k * 5 + 60))) for k in range(12)]
+    copies += [(300_000 + k, " ".join([*long, *(f"v{k}w{j}" for j in range(14))])) for k in range(20)]
+    # Equal sets of shingles, but not as often each.
+    copies += [(400_000 + k, " ".join(["la la la la la la"] * (1 + 3 * k) + base)) for k in range(3)]
+    # Documents of several texts.
+    copies += [(500_001, "one two three four five six seven"), (500_002, "one two three four five six seven"), (500_002, "sun moon star sky cloud rain"), (500_003, "sun moon star sky cloud rain"), (500_004, "sun moon star sky cloud rain")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    rows = docs.collect()
     got = {r.doc_id: r.class_id for r in near_duplicates(docs, block=block).collect()}
-    assert got == brute(rows)
+    expected = brute(rows)
+    assert got == expected
+    assert expected[500_004] == 500_001 and expected[400_001] == 400_001
+
+
+def test_wide_groups_that_stay_open_are_compared_in_full(spark):
+    """Members of one band in many blocks, of several classes and outliers: no link may be lost, and every link is sound."""
+    families = [(f * 1000 + k, " ".join([*(f"f{f}w{j}" for j in range(60)), f"own{k % 3}"])) for f in range(3) for k in range(3)]
+    chain = [(9000 + k, " ".join(f"c{j}" for j in range(k * 4, k * 4 + 60))) for k in range(25)]
+    rows = [*families, *chain]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    members = texts.selectExpr("id", "cast(length(text) as long) size", "0 band", "0L hash")
+    links = near_duplicate_links(texts, members, block=4).collect()
+    sets = {i: Counter(shingles(t).tolist()) for i, t in rows}
+    for r in links:
+        x, y = sets[r.a], sets[r.b]
+        assert sum((x & y).values()) >= 0.8 * sum((x | y).values()) - 1e-9
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        parent[max(root(r.a), root(r.b))] = min(root(r.a), root(r.b))
+    assert {i: root(i) for i in parent} == brute(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is 0.8 to 0.83: at least 97 of 100 are found."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        words = [f"p{k}q{j}" for j in range(104)]
+        rows.append((2 * k, " ".join(words)))
+        at = int(rng.integers(20, 80))
+        changed = [*words[:at], "changed", *words[at + 1 :]] if k % 2 else words[10:]
+        changed = [*changed[: at // 2], "again", *changed[at // 2 + 1 :]] if k % 2 else changed
+        rows.append((2 * k + 1, " ".join(changed)))
+    expected = brute(rows)
+    pairs = [i for i in expected if expected[i] != i]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and sum(got[i] == expected[i] for i in pairs) >= 0.97 * len(pairs)
+    assert all(got[i] in (i, expected[i]) for i in got)
 
 
 def test_awkward_rows(spark, tmp_path):
