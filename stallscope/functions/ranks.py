@@ -9,22 +9,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 20
+MOST_BLOCKS = 1 << 11
+CELLS = 1 << 8
 
 
-def spread(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """A block number that ascends with the integer column ``order``, of about ``block_rows`` rows each where values are spread evenly.
+def _borders(df: DataFrame, order: str, low: int, high: int, most: int) -> list[int]:
+    """Where blocks of about ``most`` rows begin: cells of equal width, in which cells that hold more are cut again.
 
-    One pass over the column's extremes and count decides the width, so equal inputs give equal blocks.
+    The driver gets the counts of ``CELLS`` cells for each cell that is cut, of which a level has at most
+    as many as there are blocks.
+    """
+    spark = df.sparkSession
+    held = df.where(F.col(order).isNotNull()).select(F.col(order).cast("long").alias("v"), F.lit(0).cast("long").alias("cell"))
+    cut = [(0, low, (high - low) // CELLS + 1)]
+    leaves: list[tuple[int, int]] = []
+    while cut:
+        known = spark.createDataFrame([(c, k * CELLS, lo, width) for k, (c, lo, width) in enumerate(cut)], "cell long, first long, lo long, width long")
+        held = held.join(F.broadcast(known), "cell").select("v", (F.col("first") + F.expr("(v - lo) div width")).alias("cell"))
+        counts = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        leaves += [(r["lo"], r["n"]) for r in counts if r["n"] <= most or r["lo"] == r["hi"]]
+        cut = [(r["cell"], r["lo"], (r["hi"] - r["lo"]) // CELLS + 1) for r in counts if r["n"] > most and r["lo"] < r["hi"]]
+    borders, sum_here = [], 0
+    for lo, n in sorted(leaves):
+        if not borders or sum_here + n > most:
+            borders.append(lo)
+            sum_here = 0
+        sum_here += n
+    return borders
+
+
+def spread(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column | None:
+    """A block number that ascends with the integer column ``order``, for blocks of at most about ``block_rows`` rows; none where one block holds all.
+
+    However values are spread, only a single value of more rows makes a larger block. Tables of more than
+    ``MOST_BLOCKS`` such blocks get larger ones. Borders follow from counts of all rows, so equal inputs give equal blocks.
     """
     low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    if not n or high == low:
-        return F.lit(0).cast("long")
-    blocks = max(1, -(-n // block_rows))
-    width = (high - low) // blocks + 1
-    return F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long")
+    if n <= block_rows or high == low:
+        return None
+    borders = _borders(df, order, low, high, max(block_rows, n // MOST_BLOCKS))
+    v = F.col(order)
+
+    def place(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first).cast("long")
+        middle = (first + last) // 2
+        return F.when(v < borders[middle + 1], place(first, middle)).otherwise(place(middle + 1, last))
+
+    return F.when(v.isNotNull(), place(0, len(borders) - 1))
 
 
 def join_blocks(held: DataFrame, of_blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,19 +70,24 @@ def join_blocks(held: DataFrame, of_blocks: DataFrame, keys: list[str]) -> DataF
     return held.join(of_blocks, same).drop(*(f"_of_{k}" for k in names))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, block: Column, weight: Column | None = None) -> DataFrame:
-    """Adds ``name``: the 1-based rank of each row in its key by ``order``; with ``weight`` the running total, this row included.
+def ranked(df: DataFrame, keys: list[str], order: list[str], names: dict[str, Column | None], block: Column | None) -> DataFrame:
+    """Adds each of ``names``: the 1-based rank of a row in its key by ``order``, or of a column its running total, this row included.
 
-    ``block`` must ascend with ``order``.
+    ``block`` must ascend with ``order``; without any a key is ranked in one go. Nulls in keys are keys of their own.
     """
-    held = df.withColumn("_block", block)
+
+    def within(inside: WindowSpec, w: Column | None) -> Column:
+        return F.row_number().over(inside) if w is None else F.sum(w).over(inside.rowsBetween(W.unboundedPreceding, 0))
+
+    if block is None:
+        whole = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({k: within(whole, w).cast("long") for k, w in names.items()})
     inside = W.partitionBy(*keys, "_block").orderBy(*order)
-    if weight is None:
-        local, total = F.row_number().over(inside).cast("long"), F.count(F.lit(1))
-    else:
-        local, total = F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.sum(weight)
-    sums = held.groupBy(*keys, "_block").agg(total.alias("_held"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_block")), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    out = join_blocks(held.withColumn("_local", local), sums, keys)
-    return out.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_local", "_before", "_block")
+    held = df.withColumn("_block", block)
+    sums = held.groupBy(*keys, "_block").agg(*[(F.count(F.lit(1)) if w is None else F.sum(w)).alias(f"_held_{k}") for k, w in names.items()])
+    sums = sums.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_block")), *(F.coalesce(F.sum(f"_held_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in names))
+    local = {f"_local_{k}": within(inside, w) for k, w in names.items()}
+    out = join_blocks(held.withColumns(local), sums, keys)
+    out = out.withColumns({k: (F.col(f"_local_{k}") + F.col(f"_before_{k}")).cast("long") for k in names})
+    return out.drop("_block", *(f"{part}_{k}" for part in ("_local", "_before") for k in names))

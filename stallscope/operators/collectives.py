@@ -6,6 +6,10 @@ takes the j-th place. With lo and hi the places opened before and including g, c
 lo < j <= hi. Calls without a place are dropped; so are groups of one call that are not complete.
 
 ``ordinal`` mode joins the k-th call of each process on (communicator, op, root).
+
+Both modes name a group by their own key (``group_key``): g counts inside (op, root) in the one, inside
+(communicator, op, root) in the other. Nulls in these are values of their own (a call without a process
+is none of its root); an empty trace has no groups.
 """
 
 from __future__ import annotations
@@ -17,7 +21,13 @@ from pyspark.sql import functions as F
 from ..functions.names import is_collective
 from ..functions.ranks import BLOCK_ROWS, ranked, spread
 
-GROUP = ("op", "root", "g")
+SLOT_KEY = ("op", "root", "g")
+ORDINAL_KEY = ("comm_id", *SLOT_KEY)
+
+
+def group_key(groups: DataFrame) -> tuple[str, ...]:
+    """The columns that tell groups apart, of groups of either mode."""
+    return ORDINAL_KEY if "comm_id" in groups.columns else SLOT_KEY
 
 
 def collectives(trace: DataFrame) -> DataFrame:
@@ -40,10 +50,9 @@ def group_slots(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS)
     calls = with_expected_size(trace, comm).select(*key, "idx", "pid", "ts", "end_ts", F.greatest("comm_size", F.lit(1)).cast("long").alias("comm_size"))
     block = spread(calls, "ts", block_rows)
     order = ["ts", "idx"]
-    is_root = F.col("pid") == F.col("root")
-    roots = ranked(calls.where(is_root), key, order, "g", block)
-    roots = ranked(roots, key, order, "hi", block, F.col("comm_size") - 1).withColumn("lo", F.col("hi") - F.col("comm_size") + 1)
-    others = ranked(calls.where(~is_root), key, order, "j", block)
+    is_root = F.coalesce(F.col("pid") == F.col("root"), F.lit(False))
+    roots = ranked(calls.where(is_root), key, order, {"g": None, "hi": F.col("comm_size") - 1}, block).withColumn("lo", F.col("hi") - F.col("comm_size") + 1)
+    others = ranked(calls.where(~is_root), key, order, {"j": None}, block)
     waiting = others.groupBy(*key).agg(F.count(F.lit(1)).alias("waiting"))
     roots = roots.join(waiting, key, "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
     n = 1 + F.least("hi", "waiting") - F.least("lo", "waiting")
@@ -66,8 +75,8 @@ def group_slots(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS)
 def group_ordinals(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Calls with the number g of their instance, n the calls it has; the more robust reading, not the default."""
     calls = with_expected_size(trace, comm)
-    rows = ranked(calls, ["comm_id", "op", "root", "pid"], ["ts", "idx"], "g", spread(calls, "ts", block_rows))
-    whole = W.partitionBy("comm_id", "op", "root", "g")
+    rows = ranked(calls, ["comm_id", "op", "root", "pid"], ["ts", "idx"], {"g": None}, spread(calls, "ts", block_rows))
+    whole = W.partitionBy(*ORDINAL_KEY)
     return rows.select("comm_id", "op", "root", "g", "idx", "pid", "ts", "end_ts", "comm_size", F.count(F.lit(1)).over(whole).alias("n"), F.max(F.when(F.col("pid") == F.col("root"), F.col("ts"))).over(whole).alias("root_ts"))
 
 
@@ -80,9 +89,9 @@ def group_collectives(trace: DataFrame, comm: DataFrame, mode: str = "slot") ->
 def group_offsets(groups: DataFrame) -> DataFrame:
     """One row per group: type, root, size and its members, the root's call first and the others by time."""
     order = F.array_sort(F.collect_list(F.struct((F.col("pid") != F.col("root")).alias("later"), "ts", "idx")))
-    return groups.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.transform(order, lambda x: x["idx"]).alias("members"))
+    return groups.groupBy(*group_key(groups)).agg(F.count(F.lit(1)).alias("n"), F.transform(order, lambda x: x["idx"]).alias("members"))
 
 
 def group_summary(groups: DataFrame) -> DataFrame:
-    sizes = groups.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy(*group_key(groups)).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_members"))

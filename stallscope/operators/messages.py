@@ -1,4 +1,8 @@
-"""Point-to-point matching: the k-th send of a (source, destination, tag) meets its k-th receive."""
+"""Point-to-point matching: the k-th send of a (source, destination, tag) meets its k-th receive.
+
+A null in the key is a value of its own, so sends and receives without a tag match each other; rows that
+are repeated with their idx match each on its own; an empty trace gives no pair.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def messages(trace: DataFrame, key: tuple[str, ...] = KEY, block_rows: int = BLO
     """
     send = F.col("op").isin(*SENDS)
     rows = trace.where(F.col("op").isin(*SENDS, *RECVS)).select("idx", "op", "ts", "tag", "comm_id", F.when(send, F.col("pid")).otherwise(F.col("src")).alias("src"), F.when(send, F.col("dst")).otherwise(F.col("pid")).alias("dst"), send.alias("is_send"))
-    return ranked(rows, [*key, "is_send"], ["idx"], "k", spread(rows, "idx", block_rows))
+    return ranked(rows, [*key, "is_send"], ["idx"], {"k": None}, spread(rows, "idx", block_rows))
 
 
 def match_p2p(trace: DataFrame, key: tuple[str, ...] = KEY, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -1,8 +1,8 @@
 """Nine statistics of each duration distribution.
 
 Quartiles are the values at the 0-based places n/4, n/2 and 3n/4 of the sorted durations. They are found
-on counts of equal durations, and their running totals in blocks of values, so no task sorts a whole
-distribution. Variance is that of the population. Metrics without a duration have zeros.
+on counts of equal durations, which are written once, and their running totals in blocks of values, so no task sorts a whole
+distribution. Rows without a duration or metric do not count. Variance is that of the population. Metrics without a duration have zeros.
 """
 
 from __future__ import annotations
@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.names import PS_PER_S, metric_dim
 from ..functions.ranks import BLOCK_ROWS, ranked, spread
+from ..functions.tables import written
 
 COLUMNS = ("metric", "count", "sum", "min", "max", "mean", "variance", "median", "q25", "q75")
 
 
 def summarize(found: DataFrame, by: str = "metric", scale: float = PS_PER_S, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each value of ``by`` that ``found`` (by, dur_ps) has."""
-    counts = found.groupBy(by, "dur_ps").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(found.where(F.col(by).isNotNull() & F.col("dur_ps").isNotNull()).groupBy(by, "dur_ps").agg(F.count(F.lit(1)).alias("c")), "duration-counts")
     d = F.col("dur_ps").cast("decimal(38,0)")
     totals = counts.groupBy(by).agg(F.sum("c").alias("count"), F.sum(d * F.col("c")).alias("total"), F.min("dur_ps").alias("low"), F.max("dur_ps").alias("high"))
-    placed = ranked(counts, [by], ["dur_ps"], "upto", spread(counts, "dur_ps", block_rows), F.col("c"))
+    placed = ranked(counts, [by], ["dur_ps"], {"upto": F.col("c")}, spread(counts, "dur_ps", block_rows))
     n = F.col("count")
-    rows = placed.join(F.broadcast(totals), by)  # one row for each metric
+    rows = placed.join(totals, by)
     away = F.col("dur_ps") / F.lit(scale) - F.col("total").cast("double") / F.lit(scale) / n
 
     def at(place):

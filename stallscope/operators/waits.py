@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import ALL_TO_ALL, BARRIER, FROM_ROOT, TO_ROOT
+from .collectives import group_key
 
 
 def _positive(df: DataFrame, named: dict[str, Column]) -> DataFrame:
@@ -20,11 +21,12 @@ def message_durations(pairs: DataFrame) -> DataFrame:
     return _positive(pairs, {"late_sender": late, "late_receiver": -late})
 
 
-def group_durations(groups: DataFrame, group: tuple[str, ...] = ("op", "root", "g")) -> DataFrame:
-    """Of members with op, pid, root, ts and end_ts, in one pass over each group.
+def group_durations(groups: DataFrame, group: tuple[str, ...] | None = None) -> DataFrame:
+    """Of members with op, pid, root, ts and end_ts, in one pass over each group (told apart by the key of the groups' mode).
 
     Groups without a call by their root give no earlyreduce and no latebroadcast.
     """
+    group = group or group_key(groups)
     whole = W.partitionBy(*group)
     is_root = F.col("pid") == F.col("root")
     rows = groups.select(*dict.fromkeys([*group, "op", "pid", "root", "ts", "end_ts"])).select(

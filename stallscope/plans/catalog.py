@@ -11,6 +11,7 @@ from ..functions.names import METRICS, NO_ROOT, RECVS, metric_dim, op_dim
 from ..operators import collectives, messages, statistics, waits
 from ..sources import trace as source
 
+COMMS = 4
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +27,23 @@ def _groups(spark: SparkSession, sf_dir: str, mode: str = "slot") -> DataFrame:
     return collectives.group_collectives(_trace(spark, sf_dir), source.derived_comm(spark), mode)
 
 
+def _many(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Groups of a trace on four communicators: whole, half, empty and unknown."""
+    return collectives.group_collectives(source.derived_trace(spark, sf_dir, COMMS), source.derived_comm(spark, COMMS), mode)
+
+
+def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events whose clock ticks 24,000,000 times a second and starts late, back in ps."""
+    ticks = source.derived_raw(spark, sf_dir).withColumn("ts", F.expr("ts div 1000000 * 24 + 123456789"))
+    return source.clock_normalized(ticks, 24_000_000, 123_456_789).select("seq", "kind", "ts")
+
+
+def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace without two columns and with some nulls, filled."""
+    trace = _trace(spark, sf_dir).drop("dst", "comm_id")
+    return source.with_defaults(trace.withColumn("tag", F.when(F.col("tag") > 0, F.col("tag"))).withColumn("end_ts", F.when(F.col("op") > 6, F.col("end_ts"))))
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.durations(_pairs(spark, sf_dir), _groups(spark, sf_dir))
 
@@ -60,7 +78,7 @@ def queries() -> dict[str, Query]:
         "trace_counts_by_op": lambda s, d: source.counts_by_op(_trace(s, d)).join(F.broadcast(op_dim(s)), "op").select("op", "name", "class", "n"),
         "trace_size": lambda s, d: source.trace_size(_trace(s, d)),
         "collective_pairing": lambda s, d: source.pair_collectives(source.derived_raw(s, d)).select("seq", "pid", "coll_op", "begin_ts", "end_ts"),
-        "op_decode": lambda s, d: source.decode(source.derived_raw(s, d), source.derived_comm(s)).select("idx", "op", "ts", "end_ts", "pid", "root"),
+        "op_decode": lambda s, d: source.decode(source.derived_raw(s, d), source.derived_comm(s)).select("idx", "op", "ts", "end_ts", "pid", "src", "dst", "tag", "root", "comm_id"),
         "comm_resolve": lambda s, d: collectives.with_expected_size(_trace(s, d), source.derived_comm(s)).select("idx", "comm_id", "comm_size"),
         "root_sentinel": lambda s, d: source.resolve_roots(source.pair_collectives(source.derived_raw(s, d)), source.derived_comm(s)).select("seq", "pid", "root"),
         "recv_filter": lambda s, d: _trace(s, d).where(F.col("op").isin(*RECVS)),
@@ -75,6 +93,13 @@ def queries() -> dict[str, Query]:
         "collective_groups_ordinal": lambda s, d: _groups(s, d, "ordinal").select("comm_id", "op", "root", "g", "idx", "pid", "n"),
         "collective_group_offsets": lambda s, d: collectives.group_offsets(_groups(s, d)).select("op", "root", "g", "n", F.array_join("members", ",").alias("members")),
         "collective_group_summary": lambda s, d: collectives.group_summary(_groups(s, d)),
+        "slot_many_comms": lambda s, d: _group_columns(_many(s, d, "slot")),
+        "ordinal_many_comms": lambda s, d: _many(s, d, "ordinal").select("comm_id", "op", "root", "g", "idx", "pid", "comm_size", "n"),
+        "ordinal_durations": lambda s, d: waits.group_durations(_many(s, d, "ordinal")),
+        "ordinal_group_offsets": lambda s, d: collectives.group_offsets(_many(s, d, "ordinal")).select("comm_id", "op", "root", "g", "n", F.array_join("members", ",").alias("members")),
+        "ordinal_group_summary": lambda s, d: collectives.group_summary(_many(s, d, "ordinal")),
+        "clock_normalized": _clock,
+        "decode_defaults": _defaults,
         "all_durations": _durations,
         "wait_stats": wait_stats,
         "wait_stats_empty": wait_stats_empty,
@@ -84,7 +109,7 @@ def queries() -> dict[str, Query]:
     return out | {m: _one_group_metric(m) for m in METRICS[2:]}
 
 
-_BASE = """
+_BASE_OF = """
 base as (select event_id e, user_id u, event_type k, date_diff('microsecond', timestamp '2024-01-01', ts) * 1000000 t from events),
 p2p as (
   select 16*e idx, case k when 'click' then 3 when 'view' then 4 when 'signup' then 5 when 'purchase' then 6 end::int op, t ts, t end_ts,
@@ -95,7 +120,8 @@ calls as (
   from base, range(8) x(r) where k = 'error' and (31*e + 17*r) % 97 <> 0),
 trace as (
   select * from p2p union all
-  select idx, op, ts, ts + 400000000000 + ((31*e + 7919*r) % 5003) * 1000000, r, 0, 0, 0, case when e % 13 in (0,2,3,4,5,6) then u % 8 else 0 end, 0 from calls)"""
+  select idx, op, ts, ts + 400000000000 + ((31*e + 7919*r) % 5003) * 1000000, r, 0, 0, 0, case when e % 13 in (0,2,3,4,5,6) then u % 8 else 0 end, COMM from calls)"""
+_BASE = _BASE_OF.replace("COMM", "0")
 
 _PAIRS = """,
 sides as (
@@ -104,8 +130,8 @@ ordered as (select *, row_number() over (partition by src, dst, tag, is_send ord
 pairs as (
   select s.idx send_idx, r.idx recv_idx, s.ts send_ts, r.ts recv_ts from ordered s join ordered r using (src, dst, tag, k) where s.is_send and not r.is_send)"""
 
-_GROUPS = """,
-coll as (select *, 8::bigint comm_size from trace where op between 7 and 19),
+_GROUPS_OF = """,
+coll as (select *, greatest(SIZE, 1)::bigint comm_size from trace where op between 7 and 19),
 roots0 as (select *, row_number() over w g, sum(comm_size - 1) over (partition by op, root order by ts, idx rows unbounded preceding)::bigint hi from coll where pid = root window w as (partition by op, root order by ts, idx)),
 roots as (select *, hi - (comm_size - 1) lo from roots0),
 others as (select *, row_number() over (partition by op, root order by ts, idx) j from coll where pid <> root),
@@ -114,19 +140,27 @@ placed as (
   select o.op, o.root, r.g, o.idx, o.pid, o.ts, o.end_ts, r.comm_size from others o join roots r on o.op = r.op and o.root = r.root and o.j > r.lo and o.j <= r.hi),
 counted as (select *, count(*) over (partition by op, root, g) n from placed),
 groups as (select * from counted where n >= comm_size or n >= 2)"""
+_GROUPS = _GROUPS_OF.replace("SIZE", "8")
 
-_DURATIONS = """,
-seen as (
-  select *, max(ts) over w last_ts, min(end_ts) over w first_end, max(case when pid = root then ts end) over w root_ts from groups window w as (partition by op, root, g)),
-durations as (
-  select 'late_sender' metric, (send_ts - recv_ts)::bigint dur_ps from pairs where send_ts > recv_ts union all
-  select 'late_receiver', recv_ts - send_ts from pairs where recv_ts > send_ts union all
-  select 'barrier_wait', last_ts - ts from seen where op = 8 and last_ts > ts union all
+_MANY = _BASE_OF.replace("COMM", f"e % {COMMS}") + _GROUPS_OF.replace("SIZE", "case comm_id when 0 then 8 when 1 then 4 else 0 end")
+_ORDINAL = """,
+called as (select *, case comm_id when 0 then 8 when 1 then 4 else 0 end::int size, row_number() over (partition by comm_id, op, root, pid order by ts, idx) g from coll),
+ordinal as (select *, count(*) over (partition by comm_id, op, root, g) n from called)"""
+
+_WAITS = """
+  select 'barrier_wait' metric, (last_ts - ts)::bigint dur_ps from seen where op = 8 and last_ts > ts union all
   select 'barrier_completion', end_ts - first_end from seen where op = 8 and end_ts > first_end union all
   select 'earlyreduce', last_ts - ts from seen where op in (9,10,11) and pid = root and last_ts > ts union all
   select 'latebroadcast', root_ts - ts from seen where op in (7,12,13) and root_ts > ts union all
   select 'wait_nxn', last_ts - ts from seen where op between 14 and 19 and last_ts > ts union all
-  select 'nxn_completion', end_ts - first_end from seen where op between 14 and 19 and end_ts > first_end)"""
+  select 'nxn_completion', end_ts - first_end from seen where op between 14 and 19 and end_ts > first_end"""
+_SEEN = """,
+seen as (
+  select *, max(ts) over w last_ts, min(end_ts) over w first_end, max(case when pid = root then ts end) over w root_ts from GROUPS window w as (partition by KEY))"""
+_DURATIONS = _SEEN.replace("GROUPS", "groups").replace("KEY", "op, root, g") + """,
+durations as (
+  select 'late_sender' metric, (send_ts - recv_ts)::bigint dur_ps from pairs where send_ts > recv_ts union all
+  select 'late_receiver', recv_ts - send_ts from pairs where recv_ts > send_ts union all""" + _WAITS + ")"
 
 _METRIC_DIM = "metrics(ord, metric) as (values " + ", ".join(f"({k}::int, '{m}')" for k, m in enumerate(METRICS)) + ")"
 
@@ -158,13 +192,14 @@ def oracle_sql() -> dict[str, str]:
     groups = trace + _GROUPS
     both = trace + _PAIRS + _GROUPS + _DURATIONS
     names = ", ".join(f"({k}::int, '{name}', '{kind}')" for k, name, kind in _op_rows())
-    partner = "(select send_idx idx, recv_idx p from pairs union all select recv_idx, send_idx from pairs)"
+    many = f"with {_MANY}"
+    mates = trace + _PAIRS.split("pairs as (")[0].rstrip().rstrip(",")
     out = {
         "trace_scan": f"{trace} select * from trace",
         "trace_counts_by_op": f"{trace}, dim(op, name, class) as (values {names}) select op, name, class, count(*) n from trace join dim using (op) group by all",
         "trace_size": f"{trace} select count(*) events, count(*) * 64 bytes from trace",
         "collective_pairing": f"{raw} select seq, pid, coll_op, begin_ts, end_ts from paired",
-        "op_decode": f"{raw} select seq idx, op::int op, begin_ts ts, end_ts, pid, root from paired join names using (coll_op)",
+        "op_decode": f"{raw} select seq idx, op::int op, begin_ts ts, end_ts, pid, 0::bigint src, 0::bigint dst, 0::bigint tag, root, 0::bigint comm_id from paired join names using (coll_op) union all select idx * 4 + 3, op, ts, ts, pid, src, dst, tag, 0, 0 from p2p where op is not null",
         "comm_resolve": f"{trace} select idx, comm_id, 8::int comm_size from trace where op between 7 and 19",
         "root_sentinel": f"{raw} select seq, pid, root from paired",
         "recv_filter": f"{trace} select * from trace where op in (4, 6)",
@@ -172,13 +207,20 @@ def oracle_sql() -> dict[str, str]:
         "p2p_unmatched_sends": f"{pairs} select idx, op, ts, pid, src, dst, tag from trace where op in (3,5) and idx not in (select send_idx from pairs)",
         "p2p_unmatched_recvs": f"{pairs} select idx, op, ts, pid, src, dst, tag from trace where op in (4,6) and idx not in (select recv_idx from pairs)",
         "p2p_match_summary": f"{pairs} select count(*) * 2 matched_events, count(*) pairs from pairs",
-        "p2p_match_partner": f"{pairs} select idx, coalesce(p, -1) match_partner from trace left join {partner} using (idx)",
+        "p2p_match_partner": f"{mates} select idx, case when count(*) over w = 2 then (sum(idx) over w)::bigint - idx else -1 end match_partner from ordered window w as (partition by src, dst, tag, k) union all select idx, -1 from trace where op not in (3,4,5,6)",
         "collective_filter_sorted": f"{trace} select idx, op, ts, pid, root from trace where op between 7 and 19 order by ts, idx",
         "group_expected_size": f"{trace} select idx, op, root, pid, 8::int expected from trace where op between 7 and 19",
         "collective_groups_slot": f"{groups} select op, root, g, idx, pid, ts, end_ts, comm_size, n from groups",
         "collective_groups_ordinal": f"{groups}, o as (select *, row_number() over (partition by comm_id, op, root, pid order by ts, idx) g from coll) select comm_id, op, root, g, idx, pid, count(*) over (partition by comm_id, op, root, g) n from o",
         "collective_group_offsets": f"{groups} select op, root, g, count(*) n, string_agg(idx, ',' order by pid <> root, ts, idx) members from groups group by op, root, g",
         "collective_group_summary": f"{groups}, sizes as (select count(*) n from groups group by op, root, g) select count(*) n_groups, coalesce(sum(n), 0)::bigint n_members from sizes",
+        "slot_many_comms": f"{many} select op, root, g, idx, pid, ts, end_ts, comm_size, n from groups",
+        "ordinal_many_comms": f"{many}{_ORDINAL} select comm_id, op, root, g, idx, pid, size comm_size, n from ordinal",
+        "ordinal_durations": many + _ORDINAL + _SEEN.replace("GROUPS", "ordinal").replace("KEY", "comm_id, op, root, g") + _WAITS,
+        "ordinal_group_offsets": f"{many}{_ORDINAL} select comm_id, op, root, g, count(*) n, string_agg(idx, ',' order by pid <> root, ts, idx) members from ordinal group by comm_id, op, root, g",
+        "ordinal_group_summary": f"{many}{_ORDINAL}, sizes as (select count(*) n from ordinal group by comm_id, op, root, g) select count(*) n_groups, coalesce(sum(n), 0)::bigint n_members from sizes",
+        "clock_normalized": f"{raw} select seq, kind, ts // 1000000 * 1000000 ts from raw union all select idx * 4 + 3, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts // 1000000 * 1000000 from p2p where op is not null",
+        "decode_defaults": f"{trace} select idx, op, ts, case when op > 6 then end_ts else 0 end end_ts, pid, src, 0::bigint dst, tag, root, 0::bigint comm_id, -1::bigint match_partner, -1::bigint coll_group from trace",
         "all_durations": f"{both} select metric, dur_ps from durations",
         "wait_stats": both + _stats("durations"),
         "wait_stats_empty": both + _stats("(select * from durations where dur_ps < 0)"),

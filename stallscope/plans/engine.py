@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import argparse
 import sys
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.names import METRICS
+from ..functions.tables import dropped, written
 from ..operators.collectives import group_collectives, group_summary
 from ..operators.messages import match_p2p, match_summary
 from ..operators.statistics import summarize, with_all_metrics
 from ..operators.waits import durations
-from ..sources.trace import decode, derived_comm, derived_trace, read_raw, trace_size
+from ..sources.trace import FORMS, clock_normalized, decode, derived_comm, derived_trace, read_comm, read_raw, trace_size, validated
 
 
 def analyze(trace: DataFrame, comm: DataFrame, mode: str = "slot") -> DataFrame:
@@ -39,12 +43,12 @@ def format_report(stats: DataFrame) -> str:
     rows = {r["metric"]: r for r in stats.collect()}
     lines: list[str] = []
     for metric in METRICS:
+        lines.append(f"------------------ {metric} -------------------")
         r = rows.get(metric)
         if r is None or not r["count"]:
             lines.append(f"There is no {metric}")
             continue
-        lines.append(metric)
-        lines += [f"  {label}: {r[c]}" if c == "count" else f"  {label}: {r[c]:.10f}" for label, c in LABELS]
+        lines += [f"{label}: {r[c]}" if c == "count" else f"{label}: {r[c]:.10f}" for label, c in LABELS]
     return "\n".join(lines)
 
 
@@ -54,42 +58,86 @@ def banner(spark: SparkSession) -> str:
 
 
 def timed_phases(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """Seconds of each phase on the derived trace, each forced by itself without an output."""
+    """Seconds of each phase on the derived trace, built and forced by itself without an output, all that it depends on included."""
     took: dict[str, float] = {}
 
-    def run(name: str, df: DataFrame) -> None:
+    def run(name: str, build: Callable[[], DataFrame]) -> None:
         began = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
+        build().write.format("noop").mode("overwrite").save()
         took[name] = time.perf_counter() - began
 
-    trace, comm = derived_trace(spark, sf_dir), derived_comm(spark)
-    pairs, groups = match_p2p(trace), group_collectives(trace, comm)
-    found = durations(pairs, groups)
+    def found() -> DataFrame:
+        return durations(match_p2p(trace()), group_collectives(trace(), derived_comm(spark)))
+
+    def trace() -> DataFrame:
+        return derived_trace(spark, sf_dir)
+
     run("read", trace)
-    run("match", pairs)
-    run("group", groups)
-    run("group_ordinal", group_collectives(trace, comm, "ordinal"))
+    run("match", lambda: match_p2p(trace()))
+    run("group", lambda: group_collectives(trace(), derived_comm(spark)))
+    run("group_ordinal", lambda: group_collectives(trace(), derived_comm(spark), "ordinal"))
     run("analysis", found)
-    run("stats", with_all_metrics(summarize(found)))
+    run("stats", lambda: with_all_metrics(summarize(found())))
     return took
 
 
+def benchmark_path(root: str, benchmark: str = "cg", nprocs: int = 64) -> str:
+    """Where the raw events of a run of a benchmark lie."""
+    return f"{root}/scorep_{benchmark}_{nprocs}_trace/raw.parquet"
+
+
+def _arguments(args: list[str]) -> argparse.Namespace:
+    parser = argparse.ArgumentParser(prog="python -m stallscope.plans.engine", description="The wait states of a trace.")
+    parser.add_argument("raw", nargs="?", help="table of raw events")
+    parser.add_argument("communicators", nargs="?", help="table of communicators")
+    parser.add_argument("--form", default="parquet", choices=FORMS)
+    parser.add_argument("--mode", default="slot", choices=("slot", "ordinal"))
+    parser.add_argument("--pids", type=lambda x: [int(p) for p in x.split(",")], help="only these processes, by commas")
+    parser.add_argument("--resolution", type=int, default=10**12, help="ticks a second of the trace's clock")
+    parser.add_argument("--offset", type=int, default=0, help="ticks at which the trace begins")
+    parser.add_argument("--runs", help="folder of benchmark runs, in place of a table of raw events")
+    parser.add_argument("--benchmark", default="cg")
+    parser.add_argument("--nprocs", type=int, default=64)
+    return parser.parse_args(args)
+
+
 def main(args: list[str]) -> int:
-    """Reads a table of raw events and one of communicators and prints the report."""
-    if not 1 <= len(args) <= 2:
-        print("usage: python -m stallscope.plans.engine RAW_EVENTS [COMMUNICATORS]", file=sys.stderr)
+    """Reads a table of raw events and one of communicators and prints the report, its phases timed; each phase's rows are written once."""
+    asked = _arguments(args)
+    path = asked.raw or (benchmark_path(asked.runs, asked.benchmark, asked.nprocs) if asked.runs else None)
+    if not path:
+        print("Usage: python -m stallscope.plans.engine RAW_EVENTS [COMMUNICATORS] [options]", file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("stallscope").getOrCreate()
-    comm = spark.read.parquet(args[1]) if len(args) == 2 else derived_comm(spark).limit(0)
-    print(banner(spark))
-    trace = decode(read_raw(spark, args[0]), comm)
+    took: dict[str, float] = {}
+
+    def timed(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        began = time.perf_counter()
+        out = written(build(), "trace-" + name.lower().replace(" ", "-"))
+        took[name] = (time.perf_counter() - began) * 1000
+        return out
+
+    print(banner(spark), f"Trace file: {path}", sep="\n\n", end="\n\n")
+    comm = read_comm(spark, asked.communicators) if asked.communicators else derived_comm(spark).limit(0)
+    try:
+        raw = validated(read_raw(spark, path, asked.form, asked.pids))
+    except (ValueError, AnalysisException) as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return 1
+    trace = timed("Read", lambda: decode(clock_normalized(raw, asked.resolution, asked.offset), comm))
     size = trace_size(trace).first()
-    print(f"Events: {size['events']}, data: {size['bytes'] / 1e6:.2f} MB")
-    pairs = match_summary(match_p2p(trace)).first()
-    print(f"Matched events: {pairs['matched_events']}, pairs: {pairs['pairs']}")
-    groups = group_summary(group_collectives(trace, comm)).first()
-    print(f"Groups: {groups['n_groups']}, members: {groups['n_members']}")
-    print(format_report(analyze(trace, comm)))
+    print(f"Events: {size['events']}", f"Data size: {size['bytes'] / (1024 * 1024):.6g} MB", sep="\n", end="\n\n")
+    pairs = timed("P2P Matching", lambda: match_p2p(trace))
+    met = match_summary(pairs).first()
+    print(f"Matched events: {met['matched_events']} (pairs: {met['pairs']})", end="\n\n")
+    groups = timed("Coll. Grouping", lambda: group_collectives(trace, comm, asked.mode))
+    held = group_summary(groups).first()
+    print(f"Groups: {held['n_groups']}, members: {held['n_members']}", end="\n\n")
+    found = timed("Analysis", lambda: durations(pairs, groups))
+    stats = timed("Statistics", lambda: with_all_metrics(summarize(found)))
+    print("=== Analysis Results ===", format_report(stats), sep="\n", end="\n\n")
+    print("=== Timing Summary ===", *[f"{name + ':':<21} {ms:.2f} ms" for name, ms in [*took.items(), ("Total", sum(took.values()))]], sep="\n")
+    dropped(trace, pairs, groups, found, stats)
     return 0
 
 

@@ -32,15 +32,63 @@ COLLECTIVES = {
 RANKS = 8
 
 
-def read_raw(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """A table of raw events (parquet, csv, json or orc) with the fixed schema ``RAW``."""
-    reader = spark.read.schema(RAW)
+FORMS = ("parquet", "csv", "json", "orc")
+MESSAGE_KINDS = ("send", "recv", "isend", "irecv_complete")
+COLLECTIVE_KINDS = ("coll_begin", "coll_end")
+
+
+def _read(spark: SparkSession, path: str, form: str, schema: str) -> DataFrame:
+    if form not in FORMS:
+        raise ValueError(f"no such format: {form}")
+    reader = spark.read.schema(schema)
     return (reader.option("header", True) if form == "csv" else reader).format(form).load(path)
 
 
+def read_raw(spark: SparkSession, path: str, form: str = "parquet", pids: list[int] | None = None) -> DataFrame:
+    """A table of raw events (parquet, csv, json or orc) with the fixed schema ``RAW``; of all processes, or of some, which the scan then filters."""
+    raw = _read(spark, path, form, RAW)
+    return raw if pids is None else raw.where(F.col("pid").isin(*pids))
+
+
 def read_trace(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(TRACE)
-    return (reader.option("header", True) if form == "csv" else reader).format(form).load(path)
+    """A table of decoded events (schema ``TRACE``); columns that are missing or null get their defaults."""
+    return with_defaults(_read(spark, path, form, TRACE))
+
+
+def read_comm(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMM).parquet(path)
+
+
+def clock_normalized(raw: DataFrame, resolution: int = 10**12, offset: int = 0) -> DataFrame:
+    """``raw`` with times in ps since the clock's offset, of ticks of which a second has ``resolution``; exact, rounded towards zero."""
+    if resolution <= 0:
+        raise ValueError("a clock's resolution is positive")
+    return raw.withColumn("ts", F.expr(f"((cast(ts as decimal(20,0)) - {offset}BD) * {10**12}BD) div {resolution}BD"))
+
+
+def with_defaults(trace: DataFrame) -> DataFrame:
+    """The columns of ``TRACE`` and of a match and a group, absent or null ones filled: with 0, but these two with -1."""
+    named = [c.split() for c in TRACE.split(", ")] + [["match_partner", "long"], ["coll_group", "long"]]
+    blank = {"match_partner": -1, "coll_group": -1}
+    return trace.select(*[F.coalesce(F.col(c) if c in trace.columns else F.lit(None), F.lit(blank.get(c, 0))).cast(kind).alias(c) for c, kind in named])
+
+
+def validated(raw: DataFrame) -> DataFrame:
+    """``raw``, or a ValueError that says what is wrong with it: columns that are missing, rows without a process, time or kind, kinds that are not known, calls without a name."""
+    missing = [c.split()[0] for c in RAW.split(", ") if c.split()[0] not in raw.columns]
+    if missing:
+        raise ValueError(f"raw events lack the columns {', '.join(missing)}")
+    wrong = {
+        "rows without a sequence number, process, time or kind": F.col("seq").isNull() | F.col("pid").isNull() | F.col("ts").isNull() | F.col("kind").isNull(),
+        "rows of unknown kind": ~F.col("kind").isin(*MESSAGE_KINDS, *COLLECTIVE_KINDS),
+        "messages without a peer": F.col("kind").isin(*MESSAGE_KINDS) & F.col("peer").isNull(),
+        "collective calls without a name": F.col("kind").isin(*COLLECTIVE_KINDS) & F.col("coll_op").isNull(),
+    }
+    found = raw.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(wrong.values())]).first()
+    said = [f"{n} {what}" for n, what in zip(found, wrong, strict=True) if n]
+    if said:
+        raise ValueError(f"raw events have {', '.join(said)}")
+    return raw
 
 
 def collective_dim(spark: SparkSession) -> DataFrame:
@@ -56,12 +104,17 @@ def pair_collectives(raw: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     block before it.
     """
     calls = raw.where(F.col("kind").isin("coll_begin", "coll_end"))
-    calls = calls.withColumn("_block", spread(calls, "ts", block_rows))
-    last = calls.groupBy("pid", "_block").agg(F.max(F.struct("ts", "seq", "kind")).alias("last"))
-    prior = F.lag("last").over(W.partitionBy("pid").orderBy("_block"))
-    last = last.select(F.col("pid").alias("_of_pid"), F.col("_block").alias("_of__block"), F.struct(prior["kind"].alias("kind"), prior["ts"].alias("ts")).alias("carried"))
-    order = W.partitionBy("pid", "_block").orderBy("ts", "seq")
-    calls = join_blocks(calls.withColumn("before", F.lag(F.struct("kind", "ts")).over(order)), last, ["pid"]).withColumn("before", F.coalesce("before", "carried"))
+    block = spread(calls, "ts", block_rows)
+    row = F.struct("kind", "ts")
+    if block is None:
+        calls = calls.withColumn("before", F.lag(row).over(W.partitionBy("pid").orderBy("ts", "seq")))
+    else:
+        calls = calls.withColumn("_block", block)
+        last = calls.groupBy("pid", "_block").agg(F.max(F.struct("ts", "seq", "kind")).alias("last"))
+        prior = F.lag("last").over(W.partitionBy("pid").orderBy("_block"))
+        last = last.select(F.col("pid").alias("_of_pid"), F.col("_block").alias("_of__block"), F.struct(prior["kind"].alias("kind"), prior["ts"].alias("ts")).alias("carried"))
+        order = W.partitionBy("pid", "_block").orderBy("ts", "seq")
+        calls = join_blocks(calls.withColumn("before", F.lag(row).over(order)), last, ["pid"]).withColumn("before", F.coalesce("before", "carried"))
     paired = calls.where((F.col("kind") == "coll_end") & (F.col("before.kind") == "coll_begin"))
     return paired.select("seq", "pid", "coll_op", F.col("before.ts").alias("begin_ts"), F.col("ts").alias("end_ts"), "root", "comm_id")
 
@@ -89,8 +142,8 @@ def decode(raw: DataFrame, comm: DataFrame) -> DataFrame:
     return messages.unionByName(calls)
 
 
-def derived_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trace of eight ranks that integer arithmetic makes of the ``events`` table."""
+def derived_trace(spark: SparkSession, sf_dir: str, comms: int = 1) -> DataFrame:
+    """The trace of eight ranks that integer arithmetic makes of the ``events`` table, on so many communicators."""
     e, u = F.col("e"), F.col("u")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01', ts)") * 1_000_000
@@ -98,22 +151,26 @@ def derived_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "click", 3).when(F.col("event_type") == "view", 4).when(F.col("event_type") == "signup", 5).when(F.col("event_type") == "purchase", 6)
     src, dst = u % RANKS, (u + e) % RANKS
     zero = F.lit(0).cast("long")
+    comm_id = e % comms if comms > 1 else zero
     messages = base.select((16 * e).alias("idx"), op.cast("int").alias("op"), F.col("t").alias("ts"), F.col("t").alias("end_ts"), F.when(op.isin(*SENDS), src).otherwise(dst).alias("pid"), src.alias("src"), dst.alias("dst"), (e % 3).alias("tag"), zero.alias("root"), zero.alias("comm_id")).where("op is not null")
     r = F.col("r")
     calls = base.where("event_type = 'error'").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RANKS - 1).cast("long")))).where((31 * e + 17 * r) % 97 != 0)
     kind = e % 13
     begin = F.col("t") + ((7919 * e + 104729 * r) % 1000003) * 300000
-    calls = calls.select((16 * e + 1 + r).alias("idx"), (7 + kind).cast("int").alias("op"), begin.alias("ts"), (begin + 400000000000 + ((31 * e + 7919 * r) % 5003) * 1000000).alias("end_ts"), r.alias("pid"), zero.alias("src"), zero.alias("dst"), zero.alias("tag"), F.when(kind.isin(0, 2, 3, 4, 5, 6), u % RANKS).otherwise(zero).alias("root"), zero.alias("comm_id"))
+    calls = calls.select((16 * e + 1 + r).alias("idx"), (7 + kind).cast("int").alias("op"), begin.alias("ts"), (begin + 400000000000 + ((31 * e + 7919 * r) % 5003) * 1000000).alias("end_ts"), r.alias("pid"), zero.alias("src"), zero.alias("dst"), zero.alias("tag"), F.when(kind.isin(0, 2, 3, 4, 5, 6), u % RANKS).otherwise(zero).alias("root"), comm_id.alias("comm_id"))
     return messages.unionByName(calls)
 
 
-def derived_comm(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, list(range(RANKS)))], COMM)
+def derived_comm(spark: SparkSession, comms: int = 1) -> DataFrame:
+    """One communicator of all ranks; of four, the second is of half of them, the third of none, and the fourth is not known."""
+    members = [list(range(RANKS)), list(range(RANKS // 2)), []]
+    return spark.createDataFrame([(k, members[k]) for k in range(min(comms, 3))], COMM)
 
 
 def derived_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw begins and ends of the derived trace's collectives, with lost and doubled begins and unknown kinds."""
-    calls = derived_trace(spark, sf_dir).where(is_collective(F.col("op")))
+    """Raw events of the derived trace: messages of all four kinds, and begins and ends of collectives, with lost and doubled begins and unknown kinds."""
+    trace = derived_trace(spark, sf_dir)
+    calls = trace.where(is_collective(F.col("op")))
     e = F.floor(F.col("idx") / 16)
     names = F.create_map(*[x for name, op in COLLECTIVES.items() for x in (F.lit(op), F.lit(name))])
     root = F.when((F.col("op") == 8) | (F.col("op") >= 14), F.lit(NO_ROOT)).otherwise(F.col("root"))
@@ -126,7 +183,11 @@ def derived_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     begins = rows(calls.where("e % 101 <> 0"), 1, "coll_begin", F.col("ts"), F.col("coll"))
     doubled = rows(calls.where("e % 101 <> 0 and e % 103 = 0"), 0, "coll_begin", F.col("ts") - 1_000_000, F.col("coll"))
     ends = rows(calls, 2, "coll_end", F.col("end_ts"), F.when(F.col("e") % 107 == 0, F.lit("unknown")).otherwise(F.col("coll")))
-    return begins.unionByName(doubled).unionByName(ends)
+    op = F.col("op")
+    kind = F.when(op == 3, "send").when(op == 4, "recv").when(op == 5, "isend").when(op == 6, "irecv_complete")
+    peer = F.when(op.isin(*SENDS), F.col("dst")).otherwise(F.col("src"))
+    messages = trace.where(kind.isNotNull()).select((F.col("idx") * 4 + 3).alias("seq"), "pid", kind.alias("kind"), "ts", peer.alias("peer"), "tag", null.cast("string").alias("coll_op"), null.cast("long").alias("root"), "comm_id")
+    return begins.unionByName(doubled).unionByName(ends).unionByName(messages)
 
 
 def trace_size(trace: DataFrame) -> DataFrame:

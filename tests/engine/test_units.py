@@ -1,8 +1,10 @@
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from stallscope.functions import ranks
 from stallscope.operators import collectives, messages, statistics, waits
 from stallscope.plans.engine import analyze, format_report
 from stallscope.sources.trace import COMM, RAW, TRACE, pair_collectives
@@ -18,17 +20,30 @@ def partners(spark, rows, **more):
     return [r.match_partner for r in messages.match_partner(t, messages.match_p2p(t, **more)).orderBy("idx").collect()]
 
 
-@pytest.mark.parametrize(
-    ("rows", "expected"),
-    [
-        ([(3, 1000, 1000, 0, 0, 1, 100, 0), (4, 2000, 2000, 1, 0, 1, 100, 0), (3, 3000, 3000, 1, 1, 0, 200, 0), (4, 4000, 4000, 0, 1, 0, 200, 0)], [1, 0, 3, 2]),
-        ([(3, 1000, 1000, 0, 0, 1, 100, 0), (4, 2000, 2000, 1, 0, 1, 100, 0), (3, 3000, 3000, 2, 2, 3, 300, 0)], [1, 0, -1]),
-        ([(5, 1000, 1000, 0, 0, 1, 50, 0), (6, 1500, 1500, 1, 0, 1, 50, 0)], [1, 0]),
-        ([], []),
-    ],
-)
-def test_matching(spark, rows, expected):
-    assert partners(spark, rows) == expected
+def mates(rows, key=lambda a, b, tag: (a, b, tag)):
+    """Sends and receives of a key, each in their order, paired one after the other."""
+    sends, recvs = defaultdict(list), defaultdict(list)
+    for k, (op, _, _, pid, src, dst, tag, _) in enumerate(rows):
+        if op in (3, 5):
+            sends[key(pid, dst, tag)].append(k)
+        elif op in (4, 6):
+            recvs[key(src, pid, tag)].append(k)
+    out = [-1] * len(rows)
+    for who, some in sends.items():
+        for a, b in zip(some, recvs[who], strict=False):
+            out[a], out[b] = b, a
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matching_of_random_traces(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150 * seed):
+        op, a, b, tag, t = rng.choice((3, 4, 5, 6, 8)), rng.randrange(3), rng.randrange(3), rng.choice((0, 1, 2**21, None)), rng.randrange(10**6)
+        rows.append((op, t, t, a if op in (3, 5, 8) else b, a, b, tag, 0))
+    assert partners(spark, rows, block_rows=20) == mates(rows)
+    assert partners(spark, rows) == mates(rows)
 
 
 def test_matching_of_a_hot_key_in_blocks(spark):
@@ -85,24 +100,61 @@ def test_slots_are_those_of_the_sequential_rule(spark, seed, block_rows):
     assert {k: sorted(v) for k, v in got.items()} == restated(rows, sizes)
 
 
-def group(spark, op, times):
-    return spark.createDataFrame([(op, 0, 1, p, ts, end) for p, (ts, end) in enumerate(times)], "op int, root long, g long, pid long, ts long, end_ts long")
-
-
-@pytest.mark.parametrize(
-    ("op", "times", "metric", "expected"),
-    [
-        (8, [(1000, 10000), (2000, 10000), (5000, 10000)], "barrier_wait", [3000, 4000]),
-        (8, [(1000, 6000), (1000, 8000), (1000, 10000)], "barrier_completion", [2000, 4000]),
-        (9, [(1000, 10000), (3000, 10000), (5000, 10000)], "earlyreduce", [4000]),
-        (7, [(5000, 10000), (1000, 10000), (3000, 10000)], "latebroadcast", [2000, 4000]),
-        (18, [(1000, 10000), (2000, 10000), (5000, 10000)], "wait_nxn", [3000, 4000]),
-        (19, [(1000, 6000), (1000, 8000), (1000, 10000)], "nxn_completion", [2000, 4000]),
-    ],
-)
-def test_group_durations(spark, op, times, metric, expected):
-    rows = waits.group_durations(group(spark, op, times)).collect()
-    assert sorted(r.dur_ps for r in rows) == expected and {r.metric for r in rows} == {metric}
+def waits_of(members):
+    """The positive durations of one group of calls (op, root, pid, ts, end)."""
+    op, root = members[0][:2]
+    last, first = max(m[3] for m in members), min(m[4] for m in members)
+    at_root = [m[3] for m in members if m[2] == root]
+    found = []
+    for _, _, pid, ts, end in members:
+        if op == 8:
+            found += [("barrier_wait", last - ts), ("barrier_completion", end - first)]
+        elif op in (9, 10, 11) and pid == root:
+            found.append(("earlyreduce", last - ts))
+        elif op in (7, 12, 13) and at_root:
+            found.append(("latebroadcast", at_root[0] - ts))
+        elif op >= 14:
+            found += [("wait_nxn", last - ts), ("nxn_completion", end - first)]
+    return [x for x in found if x[1] > 0]
+
+
+def test_durations_of_random_groups(spark):
+    rng = random.Random(2)
+    rows, expected = [], []
+    for g in range(60):
+        op, root, n = rng.randrange(7, 20), rng.randrange(3), rng.randrange(1, 6)
+        some = [(op, root, pid, ts := rng.randrange(50), ts + rng.randrange(50)) for pid in rng.sample(range(6), n)]
+        rows += [(op, root, g, pid, ts, end) for _, _, pid, ts, end in some]
+        expected += waits_of(some)
+    groups = spark.createDataFrame(rows, "op int, root long, g long, pid long, ts long, end_ts long")
+    assert sorted(tuple(r) for r in waits.group_durations(groups).collect()) == sorted(expected)
+    assert {m for m, _ in expected} == {"barrier_wait", "barrier_completion", "earlyreduce", "latebroadcast", "wait_nxn", "nxn_completion"}
+
+
+def test_communicators_part_ordinals(spark):
+    """Two barriers on two communicators, close together, are two groups and not one."""
+    rows = [(k, 8, ts, ts + 5, pid, 0, 0, 0, 0, c) for k, (c, pid, ts) in enumerate([(0, 0, 100), (0, 1, 110), (1, 0, 2_000_000), (1, 1, 2_000_010)])]
+    comm = spark.createDataFrame([(0, [0, 1]), (1, [0, 1])], COMM)
+    groups = collectives.group_collectives(spark.createDataFrame(rows, TRACE), comm, "ordinal")
+    assert tuple(collectives.group_summary(groups).first()) == (2, 4)
+    assert collectives.group_offsets(groups).count() == 2
+    assert sorted(r.dur_ps for r in waits.group_durations(groups).where("metric = 'barrier_wait'").collect()) == [10, 10]
+
+
+@pytest.mark.parametrize("values", [[*range(500), 10**18], [7] * 300 + [8] * 300 + list(range(100)), [0, *([10**15] * 50), *(10**15 + k * k for k in range(400))], [None, 5, 5, -(10**17), None]])
+def test_blocks_are_even_however_values_are_spread(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    block = ranks.spread(df, "v", 20)
+    rows = df.select("v", (F.lit(0) if block is None else block).alias("b")).where("v is not null").orderBy("v").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+    by_block = defaultdict(list)
+    for r in rows:
+        by_block[r.b].append(r.v)
+    assert all(len(x) <= 20 or len(set(x)) == 1 for x in by_block.values())
+    # At most twice as many blocks as would do.
+    assert len(by_block) <= 2 * len(rows) / 20 + 2 + sum(len(set(x)) == 1 for x in by_block.values())
+    got = ranks.ranked(df.withColumn("idx", F.monotonically_increasing_id()), [], ["v", "idx"], {"k": None, "total": F.lit(2)}, block).collect()
+    assert sorted(r.k for r in got) == list(range(1, len(values) + 1)) and all(r.total == 2 * r.k for r in got)
 
 
 @pytest.mark.parametrize("block_rows", [1, 7, 1 << 20])
@@ -134,7 +186,7 @@ def test_ordinals_and_pairs_in_blocks(spark, block_rows):
 def test_statistics(spark):
     rows = [("a", int(x * 1e12)) for x in (1, 2, 3, 4)] + [("b", 5 * 10**12)]
     rows += [(f"n{n}", k * 1000) for n in range(1, 10) for k in range(n)]
-    got = {r["metric"]: r for r in statistics.summarize(spark.createDataFrame(rows, "metric string, dur_ps long"), block_rows=3).collect()}
+    got = {r["metric"]: r for r in statistics.summarize(spark.createDataFrame([*rows, ("a", None), (None, 1)], "metric string, dur_ps long"), block_rows=3).collect()}
     a, b = got["a"], got["b"]
     assert [a[c] for c in ("count", "sum", "mean", "min", "max", "q25", "median", "q75", "variance")] == [4, 10, 2.5, 1, 4, 2, 3, 4, 1.25]
     assert [b[c] for c in ("count", "sum", "min", "max", "q25", "median", "q75", "variance")] == [1, 5, 5, 5, 5, 5, 5, 0]
@@ -147,5 +199,7 @@ def test_report_of_nothing_and_something(spark):
     t = trace(spark, [(3, 5000, 5000, 0, 0, 1, 1, 0), (4, 2000, 2000, 1, 0, 1, 1, 0)])
     comm = spark.createDataFrame([(0, [0, 1])], COMM)
     text = format_report(analyze(t, comm))
-    assert "There is no late_receiver" in text and "Count: 1" in text and "Mean: 0.0000000030" in text
+    lines = text.splitlines()
+    assert lines[0] == "------------------ late_sender -------------------" and lines[1:3] == ["Count: 1", "Mean: 0.0000000030"]
+    assert lines[lines.index("------------------ late_receiver -------------------") + 1] == "There is no late_receiver"
     assert analyze(t.limit(0), comm).where(F.col("count") > 0).count() == 0
