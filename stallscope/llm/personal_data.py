@@ -4,13 +4,16 @@ Base spans: leftmost non-overlapping matches of one pattern per kind, those that
 dropped. The patterns below match what the plain ones of the kind match but cannot be slow on any text:
 repetitions give nothing back, and a match starts only where a run of its characters starts.
 
-Bootstrapping: tokens (between white space) that hold a digit or an @ are instances. A base span that
-starts in a token makes it a seed of the span's kind. What stands around an instance are its lexical
-patterns: the word before, two words before, the words on both sides. Instances and patterns are a
-graph on which scores are iterated: a pattern's confidence in a kind is the mean score of its distinct
-instances, damped so that it needs several; an instance that is not a seed scores the best confidence
-among its patterns. Instances of patterns of high confidence become spans of that kind, unless they
-overlap a base span.
+Bootstrapping: instances are the base spans and, elsewhere, tokens (between white space) that hold a
+digit or an @, of which what is left of the last run of letters, digits and ``._@+-`` is the label. Base spans are seeds
+of their kind. A fifth kind, ``secret`` (keys, passwords, access tokens), has no base spans; its seeds are runs of
+16 to 512 letters and digits that change between the two at least three times, or twice without a small letter. What stands around an
+instance are its lexical patterns: the word before, two words before, the words on both sides, the label,
+and the first four letters with the length. Digits in them count as equal and words of any length count. Instances and
+patterns are a graph on which scores are iterated, kind by kind, over the instances of a form that the kind can
+have: a pattern's confidence is the mean score of its distinct instances, damped so that it needs
+several; an instance that is not a seed scores the best confidence among its patterns. Secret seeds, and instances
+of patterns of high confidence, become spans of that kind, unless they overlap a base span.
 
 Spans are in code points, the end exclusive. Defined results: null texts count as empty and have no
 span; every row gives one row, whatever its doc_id; an empty table gives no row; other columns are not
@@ -23,9 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, small, table, written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 # The base patterns, in a form without give-back.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
@@ -35,9 +39,9 @@ TOKEN = r"[^\s0-9@](?<!\S\S)[^\s0-9@]*+[0-9@]\S*+|[0-9@](?<!\S\S)\S*+"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 ROUNDS = 3
 CONFIDENT = 0.8
-DAMPING = 0.5  # added to the number of instances that a confidence is the mean of
+DAMPING = 2.0  # added to the number of instances that a confidence is the mean of
 LEAST_SEEDS = 3
-CONTEXT = 80  # characters on either side of a token in which its patterns' words are sought
+LONGEST_WORD = 64  # longer words are known by their digest
 
 
 def _luhn(digits: Column) -> Column:
@@ -63,7 +67,7 @@ def _valid(kind: Column, hit: Column) -> Column:
 
 
 def _matches(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(row, keys, kind, hit, start, end, left, right): every match of every pattern; rows of ``docs`` without any have one of nulls.
+    """(row, keys, kind, hit, start, end, l1, l2, r1): every match of every pattern, and the words around it; rows of ``docs`` without any have one of nulls.
 
     Places are running sums of the lengths of the matches and of what lies between them, so they cost a
     pass however many there are. Only this pass reads texts, and it leaves what was matched.
@@ -88,54 +92,89 @@ def _matches(docs: DataFrame, keys: list[str]) -> DataFrame:
 
         def one(hit: Column, i: Column) -> Column:
             before, after = F.get(between, i), F.get(between, i + 1)
-            near = (F.substring(before, -CONTEXT, CONTEXT), F.substring(after, 1, CONTEXT)) if kind == "token" else (F.lit(None), F.lit(None))
-            return F.struct(F.lit(kind).alias("kind"), i.alias("i"), hit.alias("hit"), (F.length(before) + F.length(hit)).alias("moved"), near[0].cast("string").alias("left"), near[1].cast("string").alias("right"))
+            # Beyond a gap lies another match of the kind, which is a word of the context too.
+            left = F.regexp_extract(F.concat(F.coalesce(F.get(F.col(kind), i - 1), F.lit("")), before), r"(?:^|\s)(\S++\s++\S++|\S++)\s*+$", 1)
+            right = F.regexp_extract(F.concat(after, F.coalesce(F.get(F.col(kind), i + 1), F.lit(""))), r"^\s*+(\S++)", 1)
+            return F.struct(F.lit(kind).alias("kind"), i.alias("i"), hit.alias("hit"), (F.length(before) + F.length(hit)).alias("moved"), left.alias("left"), right.alias("right"))
 
         return F.when(F.size(kind) > 0, F.transform(kind, one)).otherwise(F.array()).cast(f"array<{shape}>")
 
     rows = rows.select("row", *keys, F.explode_outer(F.concat(*map(listed, patterns))).alias("m")).select("row", *keys, "m.*")
     upto = W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("moved").over(upto)).withColumn("start", F.col("end") - F.length("hit"))
-    return rows.select("row", *keys, "kind", "hit", "start", "end", "left", "right")
+    l1, before = F.regexp_extract("left", r"(\S++)$", 1), F.regexp_extract("left", r"^(\S++)\s", 1)
+    return rows.select("row", *keys, "kind", "hit", "start", "end", _word(l1).alias("l1"), _word(before).alias("l2"), _word(F.col("right")).alias("r1"))
 
 
-def _tokens(found: DataFrame) -> DataFrame:
-    """(row, start, end, instance, seed, covered, patterns) of the tokens; seed: the kind of the base span that starts in it."""
+def _word(word: Column) -> Column:
+    """As patterns know it: lower case, digits alike; null if empty."""
+    plain = F.regexp_replace(F.lower(word), "[0-9]", "0")
+    return F.when(word != "", F.when(F.length(word) > LONGEST_WORD, F.md5(plain)).otherwise(plain))
+
+
+def _forms(kind: str, hit: Column) -> Column:
+    """Whether something that is not a base span can be of the kind."""
+    digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+    letters = F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))
+    return {
+        "email": hit.contains("@") & (letters > 0),
+        "ip": hit.rlike(r"^[0-9]++(?:[.:-][0-9]++){3}"),
+        "card": (letters == 0) & digits.between(12, 19),
+        "phone": (letters == 0) & digits.between(7, 15),
+        "secret": hit.rlike("^[A-Za-z0-9_-]++$") & (letters > 0) & (digits > 0) & F.length(hit).between(8, 512),
+    }[kind]
+
+
+def _instances(found: DataFrame) -> DataFrame:
+    """(row, start, end, instance, seed, kinds, patterns): base spans, and the last runs of the tokens that none of them overlaps."""
     is_base = F.col("kind") != "token"
     seen = found.where("kind is not null").withColumn("late", F.when(is_base, 0).otherwise(1))
     past = W.partitionBy("row").orderBy("start", "late").rowsBetween(W.unboundedPreceding, 0)
     future = W.partitionBy("row").orderBy(F.desc("start"), F.desc("late")).rowsBetween(W.unboundedPreceding, 0)
-    seen = seen.withColumn("covered_to", F.max(F.when(is_base, F.col("end"))).over(past))
-    seen = seen.withColumn("last", F.max(F.when(is_base, F.struct("start", "kind"))).over(past))
-    seen = seen.withColumn("next", F.min(F.when(is_base, F.struct("start", "kind"))).over(future)).where(~is_base)
-    begins = F.col("next.start") < F.col("end")
-    seed = F.when(F.col("last.start") == F.col("start"), F.col("last.kind")).when(begins, F.col("next.kind"))
-    covered = F.coalesce((F.col("covered_to") > F.col("start")) | begins, F.col("covered_to") > F.col("start"), begins, F.lit(False))
-    left, right = F.lower("left"), F.lower("right")
-    l1, l2, r1 = F.regexp_extract(left, r"(?:^|\s)(\S+)\s+$", 1), F.regexp_extract(left, r"(?:^|\s)(\S+\s+\S+)\s+$", 1), F.regexp_extract(right, r"^\s+(\S+)", 1)
-    seen = seen.select("row", "start", "end", F.lower("hit").alias("instance"), seed.alias("seed"), covered.alias("covered"), l1.alias("l1"), l2.alias("l2"), r1.alias("r1"))
+    seen = seen.withColumn("covered_to", F.max(F.when(is_base, F.col("end"))).over(past)).withColumn("next", F.min(F.when(is_base, F.col("start"))).over(future))
+    covered = F.coalesce(F.col("covered_to") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    seen = seen.where(is_base | ~covered)
+    backward = F.reverse("hit")
+    run = r"^([^A-Za-z0-9]*+)([A-Za-z0-9._@+-]*+)"
+    seen = seen.withColumn("tail", F.length(F.regexp_extract(backward, run, 1))).withColumn("run", F.reverse(F.regexp_extract(backward, run, 2)))
+    value = F.when(is_base, F.col("hit")).otherwise(F.col("run"))
+    end = F.when(is_base, F.col("end")).otherwise(F.col("end") - F.col("tail"))
+    label = F.when(~is_base, F.expr("substring(hit, 1, length(hit) - tail - length(run))"))
+    seen = seen.withColumn("value", value).withColumn("label", label).withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).where("value <> ''")
+    changes = F.length(F.regexp_replace("value", "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", " ")) - F.length("value")
+    secret = F.col("value").rlike("^[A-Za-z0-9_-]{16,512}$") & ((changes >= 3) | (changes == 2) & ~F.col("value").rlike("[a-z]"))
+    seed = F.when(is_base, F.col("kind")).when(secret, "secret")
+    kinds = F.filter(F.array(*[F.when(_forms(k, F.col("value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
+    kinds = F.when(seed.isNotNull(), F.array(seed)).otherwise(kinds)
+    first = F.regexp_extract("value", "^([A-Za-z]{4})[A-Za-z0-9]++$", 1)
     patterns = F.array(
-        F.when(F.col("l1") != "", F.concat(F.lit("l:"), "l1")),
-        F.when(F.col("l2") != "", F.concat(F.lit("ll:"), "l2")),
-        F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("lr:"), "l1", F.lit(" _ "), "r1")),
+        F.concat(F.lit("l:"), "l1"),
+        F.concat(F.lit("ll:"), "l2", F.lit(" "), "l1"),
+        F.concat(F.lit("lr:"), "l1", F.lit(" _ "), "r1"),
+        F.when(F.col("label").rlike("[A-Za-z]"), F.concat(F.lit("in:"), _word(F.col("label")))),
+        F.when(first != "", F.concat(F.lit("px:"), F.lower(first), F.lit(":"), F.length("value").cast("string"))),
     )
-    return seen.select("row", "start", "end", "instance", "seed", "covered", F.array_compact(patterns).alias("patterns"))
+    digest = F.when(F.length("value") > LONGEST_WORD, F.md5("value")).otherwise(F.lower("value"))
+    return seen.select("row", "start", "end", digest.alias("instance"), seed.alias("seed"), kinds.alias("kinds"), F.array_compact(patterns).alias("patterns"))
 
 
-def induced(tokens: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
+def induced(instances: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that are sure of a kind."""
-    uses = tokens.where("seed is not null or not covered")
-    edges = written(uses.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
-    seeds = written(uses.where("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0)), "pii-seeds")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    scores = seeds
+    edges = instances.select("instance", F.explode("kinds").alias("kind"), "patterns").select("instance", "kind", F.explode("patterns").alias("pattern")).distinct()
+    edges = written(edges, "pii-edges")
+    seeds = written(instances.where("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    degree = written(edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-degree")
+    scores, old = seeds, []
     for _ in range(rounds):
-        held = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("held"), F.count("*").alias("of_kind"))
-        held = held.where(F.col("of_kind") >= LEAST_SEEDS).join(degree, "pattern").withColumn("confidence", F.col("held") / (F.col("n") + DAMPING))
+        held = edges.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("held"), F.count(F.lit(1)).alias("scored"))
+        held = held.where(F.col("scored") >= LEAST_SEEDS).join(degree, ["pattern", "kind"]).withColumn("confidence", F.col("held") / (F.col("n") + DAMPING))
         patterns = written(held.where(F.col("confidence") >= confident).select("pattern", "kind", "confidence"), "pii-patterns")
-        found = edges.join(patterns, "pattern").groupBy("instance").agg(F.max(F.struct(F.col("confidence").alias("score"), "kind")).alias("best"))
-        found = found.join(seeds.select("instance"), "instance", "left_anti").select("instance", "best.kind", "best.score")
+        found = edges.join(small(patterns), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+        found = found.join(seeds.select("instance", "kind"), ["instance", "kind"], "left_anti").select("instance", "kind", "score")
+        dropped(*old)
         scores = written(seeds.unionByName(found), "pii-scores")
+        old = [scores, patterns]
+    dropped(edges, seeds, degree, scores)
     return patterns
 
 
@@ -145,10 +184,11 @@ def find_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.coalesce(_valid(F.col("kind"), F.col("hit")), F.lit(True))
     found = written(matches.where(ok), "pii-matches")
     base = found.where(F.col("kind") != "token").select("row", "kind", "start", "end", F.lit(True).alias("is_base"))
-    tokens = written(_tokens(found), "pii-tokens")
-    open_tokens = tokens.where("seed is null and not covered").select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    new = open_tokens.join(induced(tokens), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-    spans = base.unionByName(new.select("row", "best.kind", "start", "end", F.lit(False).alias("is_base")))
+    instances = written(_instances(found), "pii-instances")
+    secrets = instances.where("seed = 'secret'").select("row", F.col("seed").alias("kind"), "start", "end", F.lit(False).alias("is_base"))
+    unseen = instances.where("seed is null").select("row", "start", "end", F.explode("kinds").alias("kind"), "patterns").select("row", "start", "end", "kind", F.explode("patterns").alias("pattern"))
+    new = unseen.join(small(induced(instances)), ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    spans = base.unionByName(secrets).unionByName(new.select("row", "best.kind", "start", "end", F.lit(False).alias("is_base")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     spans = spans.select("row", F.struct("start", rank.alias("rank"), "kind", "end", "is_base").alias("span"), *[F.lit(None).cast(found.schema[k].dataType).alias(k) for k in keys])
     # Every row of ``docs`` has a match or the row of nulls, and so its keys, here.
@@ -167,8 +207,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in KINDS]
-    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+    counts = [count(k) for k in BASE]
+    spans = F.col("spans")
+    found_more = F.filter("spans", lambda s: ~s["is_base"])
+    more = (F.size("spans").cast("long").alias("n_spans"), F.size(found_more).cast("long").alias("n_found"))
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(spans).alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -36,9 +36,10 @@ def test_each_stage_does_its_work_on_all_it_gets(spark):
         assert not spans_of(r.text)
         assert r.n_chars == len(r.text)
         if not spans_of(before[r.doc_id]) and r.text != before[r.doc_id]:
-            assert re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r.text)
+            assert re.search(r"\[(EMAIL|IP|CARD|PHONE|SECRET)\]", r.text)
     assert {r.doc_id for r in kept["pii"]} == clean
-    assert check_packing(kept["pack"], [(r.doc_id, r.text) for r in kept["pii"]]) <= 1
+    # A task that packs pads the last of its sequences.
+    assert check_packing(kept["pack"], [(r.doc_id, r.text) for r in kept["pii"]]) <= len({r.sequence_id >> 40 for r in kept["pack"]})
 
 
 def test_awkward_rows(spark, tmp_path):
