@@ -8,7 +8,8 @@ Items are partitioned by size: class c holds those of 2^c to 2^(c+1) - 1 shingle
 item is its k least shingle hashes (bottom-k MinHash), k being set by its class: one more than the most
 shingles that any item of the class may miss at the threshold. So whatever the length of a document, it
 cannot contain an item, as defined here, without one of the signature's hashes among its own: the search loses nothing,
-and its cost does not depend on how short an item is beside a document. Documents that meet a signature
+and its cost does not depend on how short an item is beside a document. Only items have signatures and
+size classes; documents are neither sketched nor partitioned by size, as all their shingles are looked up. Documents that meet a signature
 are verified by exact containment of the shingles' words.
 
 The signatures and the items' shingles are broadcast up to a bound of bytes and joined by a shuffle

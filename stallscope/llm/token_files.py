@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkedTokenizer, new_path, shuffle_partitions, table, vocabulary
+from ..functions.tables import new_path
+from .common import ChunkedTokenizer, shuffle_partitions, table, vocabulary
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 18
