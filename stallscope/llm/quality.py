@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, summed_arrays, table, written
+from .common import dropped, id_remainder, summed_arrays, table, written
 
 BUCKETS = 1 << 14
 WIDTH = 40
@@ -35,15 +35,15 @@ REACH = 2
 FIT_ROWS = 20_000
 HIDDEN = 24
 ACCEPTED = 0.7
-CHUNK = 512  # rows of the word table that are summed up together
+CHUNK = 128  # rows of the word table that are summed up together
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 
 
 class Hasher:
     """Rows of words, with a bounded memory of words seen."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[str, int] = {}
         self.limit = limit
 
@@ -63,6 +63,12 @@ class Hasher:
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
+    """Few at a time, which bounds what a worker holds beside the batch."""
+    for at in range(0, batch.num_rows, 256):
+        yield from batch.column(column).slice(at, 256).to_pylist()
+
+
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of each row's nonzero components."""
     rng = np.random.default_rng(seed)
@@ -93,7 +99,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in _texts(batch, 0):
                 held.append(hasher.rows(text))
                 size += len(held[-1])
                 if size >= _FLUSH:
@@ -120,7 +126,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, v = Hasher(), sent.value
         for batch in batches:
-            out = [pool_text(hasher, v, text).tobytes() for text in batch.column(1).to_pylist()]
+            out = [pool_text(hasher, v, text).tobytes() for text in _texts(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "pooled"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pool, "doc_id long, pooled binary")
@@ -209,10 +215,14 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate:
     return net
 
 
+def sure_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of documents whose labels do not contradict each other."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+
+
 def train(vectors: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Network:
     """A network from the labelled documents of ``vectors`` (doc_id, pooled), at most ``fit_rows`` of them."""
-    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
-    rows = vectors.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "pooled").limit(fit_rows).select("pooled", "quality").toArrow()
+    rows = vectors.join(sure_labels(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "pooled").limit(fit_rows).select("pooled", "quality").toArrow()
     if not rows.num_rows:
         return Network(1.0)
     x = np.frombuffer(b"".join(rows.column(0).to_pylist()), "<f4").reshape(rows.num_rows, -1).astype(float)
@@ -236,23 +246,26 @@ def scored(vectors: DataFrame, network: Network) -> DataFrame:
     return vectors.select(*rest, "pooled").mapInArrow(score, f"{kinds}, score double, predicted int")
 
 
-def _trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, Network]:
-    """Pooled documents, the word vectors, and the network learned from those that are not held out."""
-    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
-    words = word_vectors(docs)
-    vectors = written(pooled(docs, words).withColumn("held_out", held_out), "quality-pooled")
-    return vectors, words, train(vectors.where("not held_out").select("doc_id", "pooled"), labels)
+def _held_out() -> Column:
+    return F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    vectors, _, network = _trained(docs, labels)
-    return scored(vectors, network)
+    vectors = written(pooled(docs, word_vectors(docs)).withColumn("held_out", _held_out()), "quality-pooled")
+    return scored(vectors, train(vectors.where("not held_out").select("doc_id", "pooled"), labels))
+
 
+def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose text is predicted to be good, by the network of ``quality``.
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is predicted to be good; texts are scored where they are, without a join."""
-    _, words, network = _trained(docs, labels)
+    Texts are scored where they are, without a join; before that only those that the network is fitted to are pooled.
+    """
+    words = word_vectors(docs)
+    fitted = docs.select("doc_id").where(~_held_out()).join(sure_labels(labels).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(fit_rows)
+    fitted = written(fitted.distinct(), "quality-fitted")
+    network = train(pooled(docs.join(F.broadcast(fitted), "doc_id", "left_semi"), words), labels, fit_rows)  # at most fit_rows ids
+    dropped(fitted)
     sent = docs.sparkSession.sparkContext.broadcast((words, network))
     at = docs.columns.index("text")
 
@@ -261,7 +274,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array([pool_text(hasher, v, t) for t in batch.column(at).to_pylist()], float)
+            x = np.array([pool_text(hasher, v, t) for t in _texts(batch, at)], float)
             yield batch.filter(pa.array(net.scores(x) >= ACCEPTED))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from stallscope.llm import quality as q
@@ -23,6 +25,44 @@ def test_contexts_are_sums_of_index_vectors():
     assert np.allclose(total.reshape(expected.shape), expected)
 
 
+def test_query_is_that_of_plain_loops(spark):
+    """Word vectors, pooled documents and scores of the whole query, one text after the other."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    places, signs = q.index_vectors()
+    index = np.zeros((q.BUCKETS, q.WIDTH))
+    np.put_along_axis(index, places, signs, axis=1)
+    rows = {i: [zlib.crc32(w.encode()) % q.BUCKETS for w in q._WORD.findall(t or "")] for i, t in docs.items()}
+    v = np.zeros_like(index)
+    for x in rows.values():
+        for k, word in enumerate(x):
+            for j in range(max(0, k - q.REACH), min(len(x), k + q.REACH + 1)):
+                if j != k:
+                    v[word] += index[x[j]]
+    v = np.sign(v) * np.log1p(np.abs(v))
+    v = v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-9)[:, None]
+
+    def pooled(x):
+        if not x:
+            return np.zeros(2 * q.WIDTH + 4)
+        some = v[x]
+        apart = [np.mean([a @ b for a, b in zip(some, some[k:], strict=False)]) if len(x) > k else 0.0 for k in (1, 2)]
+        return np.concatenate([some.mean(axis=0), np.sqrt(np.maximum((some * some).mean(axis=0) - some.mean(axis=0) ** 2, 0)), apart, [len(set(x)) / len(x), np.log1p(len(x))]])
+
+    x = {i: pooled(r) for i, r in rows.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    fitted = [r.doc_id for r in spark.createDataFrame([(i,) for i in labels if i in docs and not held[i]], "doc_id long").orderBy(edges.F.xxhash64("doc_id")).collect()]
+    net = q.fit(np.array([x[i] for i in fitted]), np.array([float(labels[i] > 0) for i in fitted]))
+    got = {r.doc_id: r for r in q.op5_quality(spark, sf).collect()}
+    ids = sorted(docs)
+    scores = net.scores(np.array([x[i] for i in ids]))
+    assert sorted(got) == ids and all(got[i].held_out == held[i] for i in ids)
+    # Sums of 32 and 64 bits part a little on their way through the network.
+    assert np.mean(np.abs(scores - [got[i].score for i in ids]) < 0.02) > 0.97
+    assert np.mean([got[i].predicted == (s >= q.ACCEPTED) for i, s in zip(ids, scores, strict=True)]) > 0.98
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
