@@ -6,7 +6,11 @@ piece counts per language come from all training texts by expectation maximisati
 per language once, and in each round every task runs the forward and backward passes over its share of
 the distinct words and sends one vector of piece counts per language.
 
-Words are runs of letters, in lower case. A text that is null or has no letter is ``und`` with score 0.
+Probabilities of words too long for plain floating point are kept as one factor per place, so no word is cut.
+
+Words are runs of letters (what Unicode calls so: no digits, fractions or other signs), in lower case. A
+text that is null or has no letter is ``und`` with score 0. Of more than ``MOST_LANGUAGES`` languages those with the most
+training texts are learned, which bounds the table of piece probabilities that every task gets.
 Ties go to the language that sorts first. Without any training text all texts are ``und``. Rows with
 equal doc_id are predicted each on its own. Other columns of the input are not read.
 """
@@ -25,19 +29,22 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, table, vocabulary, written
 
-LONGEST_WORD = 40  # longer words are scored in spans of this many letters
+MOST_LANGUAGES = 256
+SPAN = 4096  # places of a long word that are worked on at a time
 FLOOR = 0.1  # added to each expected count
 ROUNDS = 2
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 20
+_LETTERS = 64 << 20  # of texts whose words are held
 
 
 def words_of(text: str | None) -> list[str]:
     found = _WORD.findall(text.lower()) if text else []
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[k : k + LONGEST_WORD] for w in found for k in range(0, len(w), LONGEST_WORD)]
+    if found and not "".join(found).isalpha():  # numbers that are neither digits nor letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split(" ")
+        found = [w for w in found if w]
     return found
 
 
@@ -49,7 +56,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kept = {model.id_to_piece(k).lstrip("▁").lower() for k in range(model.get_piece_size())}
-        self.names = sorted(p for p in kept if _WORD.fullmatch(p))
+        self.names = sorted(p for p in kept if p.isalpha())
         self.longest = max(map(len, self.names), default=1)
         self.size = len(self.names) + 1
         self.slot = np.zeros(_SLOTS, np.int32)
@@ -112,47 +119,111 @@ def segment(pieces: Pieces, words: list[str], probability: np.ndarray, counts: n
     logs = np.zeros((len(words), probability.shape[1]))
     expected = np.zeros_like(probability) if counts is not None else None
     sizes = np.array([len(w) for w in words])
+    least = -np.log10(probability.min())
     for n in np.unique(sizes):
         which = np.flatnonzero(sizes == n)
-        for at in range(0, len(which), 20_000):
-            k = which[at : at + 20_000]
-            h = _hashes(np.array([words[i] for i in k]), int(n), pieces.longest)
-            ids = [pieces.find(x) for x in h]
-            p = [probability[ids[0]]]  # word x place x language; letters that are no piece have the probability of piece 0
-            for x in ids[1:]:
-                hit = np.nonzero(x)
-                p.append(np.zeros((*x.shape, probability.shape[1])))
-                p[-1][hit] = probability[x[hit]]
-            alpha = np.zeros((len(k), n + 1, probability.shape[1]))
-            alpha[:, 0] = 1
-            for e in range(1, n + 1):
-                for size in range(1, min(e, pieces.longest) + 1):
-                    alpha[:, e] += alpha[:, e - size] * p[size - 1][:, e - 1]
-            total = np.maximum(alpha[:, n], 1e-300)
-            logs[k] = np.log(total)
-            if expected is None:
-                continue
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1
-            for e in range(n, 0, -1):
-                for size in range(1, min(e, pieces.longest) + 1):
-                    beta[:, e - size] += beta[:, e] * p[size - 1][:, e - 1]
-            share = counts[k] / total
-            for size in range(1, min(n, pieces.longest) + 1):
-                of = ids[size - 1][:, size - 1 :]
-                weight = alpha[:, : n - size + 1] * p[size - 1][:, size - 1 :] * beta[:, size:] * share[:, None, :]
-                hit = (of > 0) if size > 1 else np.ones_like(of, bool)
-                for lang in range(weight.shape[2]):
-                    expected[:, lang] += np.bincount(of[hit], weight[:, :, lang][hit], minlength=pieces.size)
+        some = max(1, min(20_000, 2_000_000 // (int(n) * probability.shape[1])))
+        way = _segment_short if n * least < 290 else _segment_long
+        for at in range(0, len(which), some):
+            k = which[at : at + some]
+            logs[k] = way(pieces, np.array([words[i] for i in k]), int(n), probability, None if counts is None else counts[k], expected)
     return logs, expected
 
 
+def _segment_short(pieces: Pieces, words: np.ndarray, n: int, probability: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+    """Words of n letters by plain forward and backward sums."""
+    ids = [pieces.find(x) for x in _hashes(words, n, pieces.longest)]
+    p = [probability[ids[0]]]  # word x place x language; letters that are no piece have the probability of piece 0
+    for x in ids[1:]:
+        hit = np.nonzero(x)
+        p.append(np.zeros((*x.shape, probability.shape[1])))
+        p[-1][hit] = probability[x[hit]]
+    alpha = np.zeros((len(words), n + 1, probability.shape[1]))
+    alpha[:, 0] = 1
+    for e in range(1, n + 1):
+        for size in range(1, min(e, pieces.longest) + 1):
+            alpha[:, e] += alpha[:, e - size] * p[size - 1][:, e - 1]
+    total = alpha[:, n]
+    if expected is None:
+        return np.log(total)
+    beta = np.zeros_like(alpha)
+    beta[:, n] = 1
+    for e in range(n, 0, -1):
+        for size in range(1, min(e, pieces.longest) + 1):
+            beta[:, e - size] += beta[:, e] * p[size - 1][:, e - 1]
+    share = counts / total
+    for size in range(1, min(n, pieces.longest) + 1):
+        of = ids[size - 1][:, size - 1 :]
+        weight = alpha[:, : n - size + 1] * p[size - 1][:, size - 1 :] * beta[:, size:] * share[:, None, :]
+        _add(expected, of, weight, size)
+    return np.log(total)
+
+
+def _add(expected: np.ndarray, of: np.ndarray, weight: np.ndarray, size: int) -> None:
+    hit = (of > 0) if size > 1 else np.ones_like(of, bool)
+    for lang in range(weight.shape[-1]):
+        expected[:, lang] += np.bincount(of[hit], weight[..., lang][hit], minlength=len(expected))
+
+
+def _segment_long(pieces: Pieces, words: np.ndarray, n: int, probability: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+    """Words of n letters by factors that stay near one, so that no length underflows.
+
+    The forward sum at a place is the product of one factor for each place up to it. ``reach`` holds, by the size of the
+    piece that ends at a place, the forward sum where that piece begins over that one place before. The share of each size
+    among the segmentations up to a place then carries the expected counts back.
+    """
+    longest, langs = pieces.longest, probability.shape[1]
+    reach = np.zeros((len(words), longest, langs))
+    reach[:, 0] = 1
+    logs = np.zeros((len(words), langs))
+    starts, at = [], list(range(0, n, SPAN))
+    code = np.ascontiguousarray(words, dtype=f"<U{n}").view("<U1").reshape(len(words), n)
+
+    def span(lo: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hi, first = min(lo + SPAN, n), max(0, lo - longest + 1)
+        letters = np.ascontiguousarray(code[:, first:hi]).view(f"<U{hi - first}").reshape(-1)
+        ids = np.zeros((len(words), hi - lo, longest), np.int32)
+        for k, h in enumerate(_hashes(letters, hi - first, longest)):
+            ids[:, :, k] = pieces.find(h[:, lo - first :])
+        p = probability[ids]
+        p[:, :, 1:][ids[:, :, 1:] == 0] = 0
+        total = np.zeros((len(words), langs))
+        for t in range(hi - lo):
+            p[:, t] *= reach
+            c = p[:, t].sum(axis=1)
+            p[:, t] /= c[:, None]
+            total += np.log(c)
+            reach = np.concatenate([np.ones((len(words), 1, langs)), reach[:, :-1] / c[:, None]], axis=1)
+        return ids, p, total, reach
+
+    for lo in at:
+        starts.append(reach)
+        *_, total, reach = span(lo, reach)
+        logs += total
+    if expected is None:
+        return logs
+    mass = np.zeros((len(words), longest + 1, langs))  # of the boundaries at the last places
+    mass[:, -1] = counts
+    for lo, reach in zip(reversed(at), reversed(starts), strict=True):
+        ids, share, *_ = span(lo, reach)
+        length = share.shape[1]
+        held = np.concatenate([np.zeros((len(words), length, langs)), mass], axis=1)
+        for t in range(length - 1, -1, -1):
+            share[:, t] *= held[:, t + longest + 1][:, None]
+            held[:, t + 1 : t + longest + 1] += share[:, t, ::-1]
+        for size in range(1, longest + 1):
+            _add(expected, ids[:, :, size - 1], share[:, :, size - 1], size)
+        mass = held[:, : longest + 1]
+    return logs
+
+
 def train(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and log of piece probabilities (piece x language), from all rows of (text, lang).
 
     What reaches the driver is one number per piece and language.
     """
-    langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    common = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    langs = sorted(r["lang"] for r in common.collect())
     size = Pieces(path).size
     probability = np.full((size, max(1, len(langs))), 1 / size)
     if langs:
@@ -168,6 +239,7 @@ def _word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in langs]
+        letters = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for k, c in enumerate(seen):
@@ -178,11 +250,13 @@ def _word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[place[lang]].update(words_of(text))
-                if sum(map(len, seen)) > 400_000:
+                letters += len(text)
+                if letters > _LETTERS or sum(map(len, seen)) > 400_000:
                     yield from flush()
+                    letters = 0
         yield from flush()
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "word string, lang int, n long")
+    rows = docs.where(F.col("lang").isin(*langs) & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, "word string, lang int, n long")
     return rows.groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -230,13 +304,15 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: st
             _seen_words.clear()
             _seen_words[model] = {}, np.zeros((0, max(1, len(langs))))
         known, logs = _seen_words[model]
+        letters = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 split = [words_of(t) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
-                if len(known) > 1_000_000:
-                    known, logs = {}, logs[:0]
+                if len(known) > 1_000_000 or letters > _LETTERS:
+                    known, logs, letters = {}, logs[:0], 0
                 fresh = list(set().union(*split).difference(known))
+                letters += sum(map(len, fresh))
                 if fresh:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     logs = np.concatenate([logs, segment(pieces, fresh, sent.value)[0]])
