@@ -8,7 +8,7 @@ inside and outside, kept positive for words and negative for tags, and small eno
 outweighs a paragraph. Words inside elements that hold no content of the page (menus, page headers,
 footers, sidebars, notices, adverts, forms, reader comments, by tag, role, class or id) are never part of
 the text, and neither they nor their tags score, so that the text goes on behind them; scripts, styles, markup declarations, drawings
-and the title are not even read. An element ends where a browser ends it: at its end tag, at its parent's, or at a
+and the title are not even read, and a tag that never ends takes what follows with it, as in a browser. An element ends where a browser ends it: at its end tag, at its parent's, or at a
 start tag that implies its end (``p``, ``li``, ``td`` and the like); the head needs no end. A class, id or role tells an element without
 content only if it names the element itself (``site-header``, ``cookie-bar``), not a layout (``no-sidebar``, ``with-nav``),
 a part of the content (``article-header``) or a heading, and ids of common words inside the content are anchors. The labels only weigh; the scan alone decides where the text begins and ends.
@@ -39,8 +39,8 @@ WORD, TAG = 1.0, -0.5
 LEAST_WORD, MOST_WORD, LEAST_TAG, MOST_TAG = 0.5, 3.0, -3.0, -0.05
 # Elements whose text is never shown as text.
 HIDDEN = ("script", "style", "template", "noscript", "iframe", "title")
-# Likewise, but these end like other elements, and the first two may close themselves.
-EMBEDDED = ("svg", "math", "object", "canvas", "audio", "video", "map")
+# Likewise, but these end like other elements, and the first may close itself.
+EMBEDDED = ("svg", "object", "canvas", "audio", "video", "map")
 # Elements that hold no content.
 ASIDE = ("nav", "footer", "aside", "form", "button", "select", "textarea", "input", "fieldset", "dialog", "menu")
 # Elements that do not part words.
@@ -71,6 +71,8 @@ CONTENT = ("content", "article", "entry", "story", "main", "maincontent", "main-
 # Marks that have one sense only, whatever follows.
 LEADING = ("ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsored", "sidebar", "navbar", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "gdpr")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
+# Elements that may close themselves.
+FOREIGN = ("svg", "math", "mi", "mo", "mn", "ms", "mtext", "mspace", "mrow", "mprescripts", "none")
 _ASIDE, _INLINE, _VOID, _MARKS, _EMBEDDED, _PLACED, _SUBJECTS, _PAGE, _SHAPES, _STATES, _CONTENT = map(frozenset, (ASIDE, INLINE, VOID, MARKS, EMBEDDED, PLACED, SUBJECTS, PAGE, SHAPES, STATES, CONTENT))
 _NEVER = frozenset(("html", "head", "body", "main", "article", *HEADINGS))
 # Start tags that imply the end of open elements: (these, unless one of those is open inside them).
@@ -90,9 +92,9 @@ _IMPLIED |= {
 _FAR = frozenset(("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "article", "main", "body", "html"))
 _PIECE = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(" + "|".join(HIDDEN) + r")(?=[\s/>])[^>]*+>(?:.*?</\1(?=[\s/>])[^>]*+>|.*\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
-    r"|<[!?/][^>]*+>",
+    r"|<(" + "|".join(HIDDEN) + r")(?=[\s/>])[^>]*+>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\Z)|.*\Z)"
+    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 _MARKED = re.compile(r"\b(?:class|id|role|aria-label|hidden|style)\b", re.IGNORECASE)
@@ -202,7 +204,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             out, unread = -1, False
         content = bool(articles or mains)
         if not end:
-            if name in ("svg", "math") and attributes.endswith("/"):
+            if name in FOREIGN and attributes.endswith("/"):
                 continue
             if name in ("article", "main"):
                 if not out_content:
