@@ -28,13 +28,13 @@ BROADCAST_BYTES = 32 << 20
 _OF_FIXED_WIDTH = 16  # bytes counted for a value, of whatever width, beside those of its text
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, of plain columns, with the hint to broadcast it if its rows, as counted and measured, are small enough; the join's rows are the same either way."""
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, of plain columns, with the hint to broadcast it if its rows, as counted and measured, take at most so many bytes (``BROADCAST_BYTES``); the join's rows are the same either way."""
     texts = [F.coalesce(F.sum(F.octet_length(f.name).cast("long")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     held = F.count(F.lit(1)) * (_OF_FIXED_WIDTH * len(df.columns))
     for x in texts:
         held = held + x
-    return F.broadcast(df) if df.agg(held).first()[0] <= most else df
+    return F.broadcast(df) if df.agg(held).first()[0] <= (BROADCAST_BYTES if most is None else most) else df
 
 
 MOST_HEAVY, LEAST_HEAVY = 10_000, 1000

@@ -44,6 +44,6 @@ def test_awkward_rows(spark, tmp_path):
 
 
 def test_past_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     sf = "/root/testdata/sf0.001"
     assert assert_same(d.op7_contained_items(spark, sf), d.oracle(), sf) > 0
