@@ -11,11 +11,12 @@ state. The number of classes is the one that makes the softmax cheapest, about t
 tokens, and the state takes four more units each time these have grown fourfold. All other tokens are one more class, inside which the smoothed
 base probability holds, so the model gives a proper probability to every token, known or not.
 
-Training is by truncated backpropagation in numpy over all training texts, each seen once: first a tenth
-of them, then the others. In each round every task goes on from the same model through its own texts, in
-windows of ``WINDOW`` tokens through which the state is carried, and the tasks' models are averaged by
-their tokens. Texts longer than ``STREAM`` are trained on as several streams; when texts are scored, the
-state runs through the whole text.
+Training is by truncated backpropagation in numpy over all training texts, each seen once, in the rounds of
+``ROUNDS``. Texts are dealt by a hash to shards of about ``SHARD_TOKENS`` tokens, so that neither the number of
+machines nor the way the table is cut into files matters. In each round every shard goes on from the same model through its
+own texts, in windows of ``WINDOW`` tokens through which the state is carried, and the shards' models are averaged
+by their tokens. Of a text of more than ``STREAM`` tokens the parts are trained on side by side, each with the token before
+it as its first input; when texts are scored, the state runs through the whole text.
 
 Defined results: null texts count as empty and hold the end alone; without training texts the base
 probability of every token is 1 by its formula, and so is the model's; every row gives one row, whatever
@@ -24,6 +25,7 @@ its doc_id; an empty table gives no row; other columns are not read.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,7 +45,10 @@ LONGEST_HEAD_WORD = 256
 MODELLED, CLASSES, STATE = 768, 20, 12  # at least
 TOP_LOGIT = np.float32(60)  # exp stays finite
 WINDOW = 32
+SCORED = 64  # tokens that are scored together; the state goes on behind them
 STREAM = 1024
+SHARD_TOKENS = 2_000_000
+ROUNDS = ((1,), (2, 3, 4, 5), (6, 7, 8, 9))  # tenths of the documents
 RATE = 0.01
 CHUNK = 4096
 
@@ -118,7 +123,10 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -156,27 +164,38 @@ class Model:
             self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def run(self, inputs: np.ndarray, active: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
-        """States (time x stream) of a window; at time t the first ``active[t]`` streams go on."""
+    def input_table(self) -> np.ndarray:
+        """What each input adds before the gates."""
+        return self.p["embed"] @ self.p["w"] + self.p["b"]
+
+    def run(self, inputs: np.ndarray, active: np.ndarray, h: np.ndarray, table: np.ndarray, trail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States (time x stream) of a window, and the last; at time t the first ``active[t]`` streams go on.
+
+        ``trail`` (5 x time x stream x unit) takes the states before, the gates, the proposals and the gated states.
+        """
         p, s = self.p, self.state
-        x = p["embed"][inputs] @ p["w"] + p["b"]
+        x = table[inputs]
         states = np.zeros((*inputs.shape, s), np.float32)
-        trail = []
         u, un = p["u"], p["un"]
+        h = h.copy()
         for t, a in enumerate(active):
             before = h[:a]
-            zr = _sigmoid(x[t, :a, : 2 * s] + before @ u)
+            zr = before @ u
+            zr += x[t, :a, : 2 * s]
+            _sigmoid(zr)
             z, r = zr[:, :s], zr[:, s:]
             gated = r * before
-            n = np.tanh(x[t, :a, 2 * s :] + gated @ un)
-            after = before + z * (n - before)
-            states[t, :a] = after
-            if keep:
-                trail.append((before, z, r, n, gated))
-                h = np.concatenate([after, h[a:]]) if a < len(h) else after
-            else:
-                h[:a] = after
-        return states, h, trail
+            n = gated @ un
+            n += x[t, :a, 2 * s :]
+            np.tanh(n, out=n)
+            if trail is not None:
+                for k, kept in enumerate((before, z, r, n, gated)):
+                    trail[k, t, :a] = kept
+            n -= before
+            n *= z
+            before += n
+            states[t, :a] = before
+        return states, h
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of each target's class and place in it, given its state; with ``gradients`` also of the states."""
@@ -227,61 +246,74 @@ class Model:
     def window_gradients(self, inputs: np.ndarray, targets: np.ndarray, active: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over one window, truncated at its start, and the state at its end."""
         p, s = self.p, self.state
-        g = {k: np.zeros_like(x) for k, x in p.items()}
-        states, h, trail = self.run(inputs, active, h, True)
+        g = {k: np.zeros_like(p[k]) for k in ("cw", "cb", "vw", "vb")}
+        trail = np.zeros((5, *inputs.shape, s), np.float32)
+        states, h = self.run(inputs, active, h, self.input_table(), trail)
         on = np.arange(inputs.shape[1])[None, :] < active[:, None]
         _, back = self.log_probabilities(states[on], targets[on], g)
         d_states = np.zeros_like(states)
         d_states[on] = back
+        before, z, r, n, gated = trail
+        # Of each gate and proposal: how it moves with what is before it.
+        move_n, move_z, move_r = z * (1 - n * n), (n - before) * z * (1 - z), before * r * (1 - r)
+        keep = 1 - z
         dx = np.zeros((*inputs.shape, 3 * s), np.float32)
         dh = np.zeros((inputs.shape[1], s), np.float32)
+        un, u = np.ascontiguousarray(p["un"].T), np.ascontiguousarray(p["u"].T)
         for t in range(len(active) - 1, -1, -1):
             a = active[t]
-            before, z, r, n, gated = trail[t]
-            d = dh[:a] + d_states[t, :a]
-            dn = d * z * (1 - n * n)
-            dgated = dn @ p["un"].T
-            dzr = np.concatenate([d * (n - before) * z * (1 - z), dgated * before * r * (1 - r)], axis=1)
-            g["un"] += gated.T @ dn
-            g["u"] += before.T @ dzr
-            dh[:a] = d * (1 - z) + dgated * r + dzr @ p["u"].T
-            dx[t, :a, : 2 * s] = dzr
-            dx[t, :a, 2 * s :] = dn
+            d = d_states[t, :a]
+            d += dh[:a]
+            row = dx[t, :a]
+            np.multiply(d, move_n[t, :a], out=row[:, 2 * s :])
+            dgated = row[:, 2 * s :] @ un
+            np.multiply(d, move_z[t, :a], out=row[:, :s])
+            np.multiply(dgated, move_r[t, :a], out=row[:, s : 2 * s])
+            d *= keep[t, :a]
+            dgated *= r[t, :a]
+            d += dgated
+            d += row[:, : 2 * s] @ u
+            dh[:a] = d
         flat = dx[on]
-        x = p["embed"][inputs[on]]
-        g["w"] += x.T @ flat
-        g["b"] += flat.sum(axis=0)
-        de = flat @ p["w"].T
-        for k in range(s):
-            g["embed"][:, k] = np.bincount(inputs[on], de[:, k], minlength=len(g["embed"]))
-        n = max(1, int(on.sum()))
-        return {k: x / n for k, x in g.items()}, h
-
-
-def batches_of(texts: list[np.ndarray], start: int, size: int, window: int) -> Iterator[tuple]:
-    """(which, windows) of batches of streams of similar length, longest first; a window is (inputs, targets, active)."""
-    lengths = np.array([len(x) for x in texts])
+        g["un"] = gated[on].T @ flat[:, 2 * s :]
+        g["u"] = before[on].T @ flat[:, : 2 * s]
+        # What reaches the table of inputs, summed by input.
+        order = np.argsort(inputs[on], kind="stable")
+        seen, first = np.unique(inputs[on][order], return_index=True)
+        of_input = np.zeros((len(p["embed"]), 3 * s), np.float32)
+        if len(seen):
+            of_input[seen] = np.add.reduceat(flat[order], first, axis=0)
+        g["w"] = p["embed"].T @ of_input
+        g["b"] = of_input.sum(axis=0)
+        g["embed"] = of_input @ p["w"].T
+        share = np.float32(1 / max(1, int(on.sum())))
+        for x in g.values():
+            x *= share
+        return g, h
+
+
+def batches_of(streams: list[np.ndarray], size: int, window: int) -> Iterator[tuple]:
+    """(which, windows) of batches of streams of similar length, longest first; a window is (inputs, targets, active).
+
+    A stream begins with its first input, what it is to follow.
+    """
+    lengths = np.array([len(x) - 1 for x in streams])
     order = np.argsort(-lengths, kind="stable")
     for at in range(0, len(order), size):
         which = order[at : at + size]
-        n = lengths[which]
-        yield which, _windows([texts[k] for k in which], n, start, window)
+        yield which, _windows([streams[k] for k in which], lengths[which], window)
 
 
-def _windows(texts: list[np.ndarray], n: np.ndarray, start: int, window: int) -> Iterator[tuple]:
-    flat = np.concatenate(texts)
-    offset = np.cumsum(n) - n
+def _windows(streams: list[np.ndarray], n: np.ndarray, window: int) -> Iterator[tuple]:
+    flat = np.concatenate(streams)
+    offset = np.cumsum(n + 1) - n - 1
     for low in range(0, int(n[0]), window):
         high = min(low + window, int(n[0]))
         wide = int(np.searchsorted(-n, -low, side="left"))  # streams longer than low
         times = np.arange(low, high)
         active = np.searchsorted(-n, -times, side="left")
         place = np.minimum(times[:, None], n[None, :wide] - 1) + offset[None, :wide]
-        targets = flat[place]
-        inputs = flat[np.maximum(place - 1, 0)]
-        if low == 0:
-            inputs[0] = start
-        yield inputs, targets, active
+        yield flat[place], flat[place + 1], active
 
 
 def train_on(model: Model, texts: Iterator[np.ndarray], rate: float = RATE, size: int = 384) -> int:
@@ -291,26 +323,38 @@ def train_on(model: Model, texts: Iterator[np.ndarray], rate: float = RATE, size
 
     def learn(held: list[np.ndarray]) -> None:
         nonlocal step
-        streams = [x[k : k + STREAM] for x in held for k in range(0, len(x), STREAM)]
-        runs = list(batches_of(streams, model.start, size, WINDOW))
+        streams = [x[k : k + STREAM + 1] for x in held for k in range(0, len(x) - 1, STREAM)]
+        runs = list(batches_of(streams, size, WINDOW))
         for k in np.random.default_rng(len(streams)).permutation(len(runs)):
             which, windows = runs[k]
             h = np.zeros((len(which), model.state), np.float32)
             for inputs, targets, active in windows:
                 g, h = model.window_gradients(inputs, targets, active, h[: inputs.shape[1]])
-                norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+                norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
                 step += 1
                 clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-                for name, x in g.items():
-                    x = x * clip
-                    m[name] += (x - m[name]) * np.float32(0.1)
-                    v[name] += (x * x - v[name]) * np.float32(0.01)
-                    model.p[name] -= np.float32(rate) * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(v[name] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+                pace, spread = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+                for name, x in g.items():  # in place: these are the largest arrays
+                    x *= clip
+                    mean, square = m[name], v[name]
+                    mean *= np.float32(0.9)
+                    mean += x * np.float32(0.1)
+                    x *= x
+                    x *= np.float32(0.01)
+                    square *= np.float32(0.99)
+                    square += x
+                    np.multiply(square, spread, out=x)
+                    np.sqrt(x, out=x)
+                    x += np.float32(1e-6)
+                    np.divide(mean, x, out=x)
+                    x *= pace
+                    model.p[name] -= x
 
     held: list[np.ndarray] = []
     waiting = 0
+    start = np.array([model.start], np.int32)
     for x in texts:
-        held.append(x)
+        held.append(np.concatenate([start, x]))
         waiting += len(x)
         if waiting >= 1_000_000:
             learn(held)
@@ -326,16 +370,21 @@ def _ids(text: str | None, get, modelled: int) -> np.ndarray:
     return np.append(np.minimum(ids, modelled), np.int32(min(get(END, modelled), modelled)))
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: tuple[str, ...] = ("tenth = 1", "tenth <> 1")) -> Model:
-    """The model after its rounds over ``docs`` (text, tenth)."""
+def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: tuple[tuple[int, ...], ...] = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The model after its rounds over ``docs`` (doc_id, text, tenth)."""
     model = Model(vocabulary)
     if not vocabulary.modelled:
         return model
-    for some in rounds:
+    for tenths in rounds:
+        shards = max(1, round(vocabulary.total * len(tenths) / sum(map(len, rounds)) / shard_tokens))
+        key = F.xxhash64("doc_id", "text")
+        some = docs.where(F.col("tenth").isin(*tenths)).select("text", key.alias("key"))
+        dealt = some.repartitionById(shards, F.pmod("key", F.lit(shards)).cast("int")).sortWithinPartitions("key", "text")
         sent = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, v = sent.value
+            own = copy.deepcopy(own)  # tasks of one worker share what was sent
             get = v.index().get
             n = train_on(own, (_ids(t, get, v.modelled) for batch in batches for t in batch.column(0).to_pylist()))
             if not n:
@@ -344,21 +393,22 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: tuple[str, ...] = (
             chunks = [flat[k : k + CHUNK].astype("<f4").tobytes() for k in range(0, len(flat), CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(chunks)), pa.int32()), pa.array([np.array([n], "<f4").tobytes(), *chunks], pa.binary())], names=["chunk", "values"])
 
-        sums = summed_arrays(docs.where(some).select("text").mapInArrow(learn, "chunk int, values binary"))
+        sums = summed_arrays(dealt.select("text").mapInArrow(learn, "chunk int, values binary"))
         if -1 in sums:
             model.put(np.concatenate([sums[k] for k in sorted(sums) if k >= 0]) / sums[-1][0])
         sent.unpersist()
     return model
 
 
-def score_texts(model: Model, texts: list[np.ndarray], size: int = 1024) -> np.ndarray:
+def score_texts(model: Model, texts: list[np.ndarray], size: int = 512) -> np.ndarray:
     """Natural log-likelihood of each whole text, the state running through it."""
     out = np.zeros(len(texts))
-    for which, windows in batches_of(texts, model.start, size, WINDOW):
+    start = np.array([model.start], np.int32)
+    table = model.input_table()
+    for which, windows in batches_of([np.concatenate([start, x]) for x in texts], size, SCORED):
         h = np.zeros((len(which), model.state), np.float32)
         for inputs, targets, active in windows:
-            h = h[: inputs.shape[1]]
-            states, h, _ = model.run(inputs, active, h, False)
+            states, h = model.run(inputs, active, h[: inputs.shape[1]], table)
             on = np.arange(inputs.shape[1])[None, :] < active[:, None]
             logs, _ = model.log_probabilities(states[on], targets[on])
             found = np.zeros(on.shape)
@@ -426,7 +476,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = written(token_counts(training), "lm-counts")
     counts = counts.where("c > 0")
     vocabulary = vocabulary_of(counts)
-    model = trained(training.select("text", "tenth"), vocabulary)
+    model = trained(training.select("doc_id", "text", "tenth"), vocabulary)
     rows = written(_scored(docs.select("doc_id", "held_out", "text"), model, vocabulary), "lm-scored")
     tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
     met = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

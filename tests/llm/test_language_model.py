@@ -22,13 +22,13 @@ def test_gradients_are_those_of_differences(monkeypatch):
         model.p[k] = model.p[k].astype(np.float64)
     get = v.index().get
     texts = [lm._ids(t, get, v.modelled) for t in ("a b c x q", "b", "c d e f g h a b")]
-    which, windows = next(lm.batches_of(texts, model.start, 8, 16))
+    which, windows = next(lm.batches_of([np.append(model.start, x) for x in texts], 8, 16))
     inputs, targets, active = next(windows)
     zero = np.zeros((3, lm.STATE))
     g, _ = model.window_gradients(inputs, targets, active, zero)
 
     def loss():
-        states, _, _ = model.run(inputs, active, zero, True)
+        states, _ = model.run(inputs, active, zero, model.input_table())
         on = np.arange(3)[None, :] < active[:, None]
         return -model.log_probabilities(states[on].astype(float), targets[on])[0].mean()
 
@@ -84,10 +84,45 @@ def test_state_runs_through_windows_of_any_length(monkeypatch):
     texts = [rng.integers(0, v.modelled + 1, n) for n in (1, 5, 90, 33, 200, 64)]
     whole = lm.score_texts(model, texts)
     assert np.allclose(whole, [lm.score_texts(model, [t])[0] for t in texts], rtol=1e-4)
-    monkeypatch.setattr(lm, "WINDOW", 7)
+    monkeypatch.setattr(lm, "SCORED", 7)
     assert np.allclose(whole, lm.score_texts(model, texts, size=2), rtol=1e-4)
 
 
+def likelihood(model, ids):
+    """Of one text, token by token, by the equations of the model."""
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    s, h, before, total = model.state, np.zeros(model.state), model.start, 0.0
+    for token in ids:
+        x = p["embed"][before] @ p["w"] + p["b"]
+        z = 1 / (1 + np.exp(-(x[:s] + h @ p["u"][:, :s])))
+        r = 1 / (1 + np.exp(-(x[s : 2 * s] + h @ p["u"][:, s:])))
+        h = h + z * (np.tanh(x[2 * s :] + (r * h) @ p["un"]) - h)
+        of_class = h @ p["cw"] + p["cb"]
+        c = int(model.class_of[token])
+        total += of_class[c] - np.log(np.exp(of_class).sum())
+        if c < len(model.first) - 1:
+            lo, hi = model.first[c], model.first[c + 1]
+            inside = p["vw"][lo:hi] @ h + p["vb"][lo:hi]
+            total += inside[token - lo] - np.log(np.exp(inside).sum())
+        before = token
+    return total
+
+
+def test_scores_are_those_of_the_equations():
+    rng = np.random.default_rng(4)
+    v = vocabulary([" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 20_000) % 3000)])
+    model = lm.Model(v)
+    texts = [rng.integers(0, v.modelled + 1, n).astype(np.int32) for n in (1, 40, 300)]
+    assert lm.train_on(model, iter(texts * 5)) == 5 * 341
+    assert np.allclose(lm.score_texts(model, texts), [likelihood(model, t) for t in texts], rtol=1e-4)
+
+
+def test_score_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few, many = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n, "text")).collect()} for n in (1, 13))
+    assert few.keys() == many.keys() and np.allclose([few[k] for k in few], [many[k] for k in few], rtol=1e-4)
+
+
 def brute(rows):
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     tokens = [[*lm.words_of(t), lm.END] for _, t in rows]
@@ -109,6 +144,13 @@ def test_base_scores_and_likelihood(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.985
 
 
+def test_gain_over_the_base_on_held_out_texts(spark):
+    """Of the logarithm of the base probability; some 45 of 100 tokens are of words too rare to be modelled."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    base, score = lm.score_documents(docs).where("held_out").groupBy().sum("base_score", "score").first()
+    assert score > 0.97 * base
+
+
 def test_small_head_and_rare_words(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 40)
     sf = "/root/testdata/sf0.001"
