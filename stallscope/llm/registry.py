@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, decontamination, embeddings, html_text, language, language_model, packing, personal_data, quality, token_files
+from . import dart_minhash, decontamination, embeddings, filter_audit, html_text, language, language_model, packing, personal_data, quality, token_files
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_personal_data": personal_data.op8_personal_data,
         "op9_language_model": language_model.op9_language_model,
         "op10_token_files": token_files.op10_token_files,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_contained_items": decontamination.oracle()}
+    return {"op7_contained_items": decontamination.oracle(), "op13_filter_audit": filter_audit.oracle()}
