@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, decontamination, embeddings, filter_audit, html_text, language, language_model, packing, personal_data, quality, token_files
+from . import dart_minhash, decontamination, embeddings, filter_audit, html_text, language, language_model, packing, personal_data, quality, secret_scan, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_personal_data": personal_data.op8_personal_data,
         "op9_language_model": language_model.op9_language_model,
         "op10_token_files": token_files.op10_token_files,
+        "op11_recursive_secrets": secret_scan.op11_recursive_secrets,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
