@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, decontamination, embeddings, filter_audit, html_text, language, language_model, packing, personal_data, quality, secret_scan, token_files
+from . import dart_minhash, decontamination, embeddings, filter_audit, hard_negatives, html_text, language, language_model, packing, personal_data, quality, secret_scan, token_files
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_language_model": language_model.op9_language_model,
         "op10_token_files": token_files.op10_token_files,
         "op11_recursive_secrets": secret_scan.op11_recursive_secrets,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_contained_items": decontamination.oracle(), "op13_filter_audit": filter_audit.oracle()}
+    return {"op7_contained_items": decontamination.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_filter_audit": filter_audit.oracle()}
