@@ -2,65 +2,91 @@
 
 A plain ``row_number`` sorts a whole key in one task. Here a key is cut into blocks of its order
 column; rows are ranked inside a block and moved on by what the key's earlier blocks hold, so the
-largest sort is one block and only one row per key and block is summed up in order.
+largest sort is one block and only one row per key and block is summed up in order. What is ranked is written
+once, so its source is read once however many passes the blocks take.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from .tables import shuffle_partitions, written
+
 BLOCK_ROWS = 1 << 20
-MOST_BLOCKS = 1 << 11
-CELLS = 1 << 8
+MOST_BLOCKS = 1 << 17
+CELLS = 1 << 4  # least number of cells into which a cell is cut
+CELLS_A_BLOCK = 4
 
 
-def _borders(df: DataFrame, order: str, low: int, high: int, most: int) -> list[int]:
+def _borders(df: DataFrame, order: str, low: int, high: int, n: int, most: int) -> list[int]:
     """Where blocks of about ``most`` rows begin: cells of equal width, in which cells that hold more are cut again.
 
-    The driver gets the counts of ``CELLS`` cells for each cell that is cut, of which a level has at most
-    as many as there are blocks.
+    A cell is cut into a few more cells than it will make blocks, so the driver gets counts of a few cells for each block.
     """
     spark = df.sparkSession
+
+    def finer(cell: int, lo: int, hi: int, rows: int) -> tuple[int, int, int]:
+        return cell, lo, (hi - lo) // max(CELLS, CELLS_A_BLOCK * rows // most) + 1
+
     held = df.where(F.col(order).isNotNull()).select(F.col(order).cast("long").alias("v"), F.lit(0).cast("long").alias("cell"))
-    cut = [(0, low, (high - low) // CELLS + 1)]
+    cut, firsts = [finer(0, low, high, n)], [(low, high)]
     leaves: list[tuple[int, int]] = []
     while cut:
-        known = spark.createDataFrame([(c, k * CELLS, lo, width) for k, (c, lo, width) in enumerate(cut)], "cell long, first long, lo long, width long")
+        # Cells of a level are numbered on from those of the cell before.
+        sizes = [(hi - lo) // width + 1 for (lo, hi), (_, _, width) in zip(firsts, cut, strict=True)]
+        starts = [sum_ - size for sum_, size in zip(_running(sizes), sizes, strict=True)]
+        known = spark.createDataFrame([(c, s, lo, width) for s, (c, lo, width) in zip(starts, cut, strict=True)], "cell long, first long, lo long, width long")
         held = held.join(F.broadcast(known), "cell").select("v", (F.col("first") + F.expr("(v - lo) div width")).alias("cell"))
         counts = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         leaves += [(r["lo"], r["n"]) for r in counts if r["n"] <= most or r["lo"] == r["hi"]]
-        cut = [(r["cell"], r["lo"], (r["hi"] - r["lo"]) // CELLS + 1) for r in counts if r["n"] > most and r["lo"] < r["hi"]]
+        large = [r for r in counts if r["n"] > most and r["lo"] < r["hi"]]
+        cut, firsts = [finer(r["cell"], r["lo"], r["hi"], r["n"]) for r in large], [(r["lo"], r["hi"]) for r in large]
     borders, sum_here = [], 0
-    for lo, n in sorted(leaves):
-        if not borders or sum_here + n > most:
+    for lo, rows in sorted(leaves):
+        if not borders or sum_here + rows > most:
             borders.append(lo)
             sum_here = 0
-        sum_here += n
+        sum_here += rows
     return borders
 
 
-def spread(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column | None:
-    """A block number that ascends with the integer column ``order``, for blocks of at most about ``block_rows`` rows; none where one block holds all.
+def _running(sizes: list[int]) -> list[int]:
+    total, out = 0, []
+    for x in sizes:
+        total += x
+        out.append(total)
+    return out
 
-    However values are spread, only a single value of more rows makes a larger block. Tables of more than
-    ``MOST_BLOCKS`` such blocks get larger ones. Borders follow from counts of all rows, so equal inputs give equal blocks.
+
+def with_block(df: DataFrame, order: str, borders: list[int]) -> DataFrame:
+    """Adds ``_block``, the number of the last of the ascending ``borders`` that is not above ``order``; null where that is null.
+
+    The borders are one broadcast row with an array, 8 bytes a block, which generated code searches by halves.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    if n <= block_rows or high == low:
-        return None
-    borders = _borders(df, order, low, high, max(block_rows, n // MOST_BLOCKS))
+    table = df.sparkSession.createDataFrame([(0, borders)], "_none int, _borders array<long>")
     v = F.col(order)
+    out = df.withColumn("_none", F.isnull(v).cast("int")).join(F.broadcast(table), "_none", "left").withColumn("_block", F.when(v.isNotNull(), F.lit(0)))
+    step = 1 << max(0, len(borders) - 1).bit_length()
+    while step := step // 2:
+        out = out.withColumn("_block", F.col("_block") + F.when(F.get("_borders", F.col("_block") + step) <= v, step).otherwise(0))
+    return out.drop("_none", "_borders")
+
 
-    def place(first: int, last: int) -> Column:
-        if first == last:
-            return F.lit(first).cast("long")
-        middle = (first + last) // 2
-        return F.when(v < borders[middle + 1], place(first, middle)).otherwise(place(middle + 1, last))
+def in_blocks(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS, name: str = "ordered") -> DataFrame:
+    """``df``, written once, with a block number ``_block`` that ascends with the integer column ``order``, for blocks of at most about ``block_rows`` rows; without any where one block holds all.
 
-    return F.when(v.isNotNull(), place(0, len(borders) - 1))
+    However values are spread, only a single value of more rows makes a larger block. Tables of more than
+    ``MOST_BLOCKS`` such blocks get larger ones. Borders follow from counts of all rows, so equal inputs give equal blocks.
+    """
+    seen = Observation()
+    held = written(df.observe(seen, F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")), name)
+    low, high, n = (seen.get.get(x) for x in ("low", "high", "n"))
+    if not n or n <= block_rows or high == low:
+        return held
+    return with_block(held, order, _borders(held, order, int(low), int(high), n, max(block_rows, n // MOST_BLOCKS)))
 
 
 def join_blocks(held: DataFrame, of_blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,24 +96,39 @@ def join_blocks(held: DataFrame, of_blocks: DataFrame, keys: list[str]) -> DataF
     return held.join(of_blocks, same).drop(*(f"_of_{k}" for k in names))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], names: dict[str, Column | None], block: Column | None) -> DataFrame:
+def ranked(held: DataFrame, keys: list[str], order: list[str], names: dict[str, Column | None]) -> DataFrame:
     """Adds each of ``names``: the 1-based rank of a row in its key by ``order``, or of a column its running total, this row included.
 
-    ``block`` must ascend with ``order``; without any a key is ranked in one go. Nulls in keys are keys of their own.
+    ``held`` is a table of ``in_blocks`` by the first of ``order``; without blocks a key is ranked in one go. Nulls in keys are keys of their own.
     """
 
     def within(inside: WindowSpec, w: Column | None) -> Column:
         return F.row_number().over(inside) if w is None else F.sum(w).over(inside.rowsBetween(W.unboundedPreceding, 0))
 
-    if block is None:
+    if "_block" not in held.columns:
         whole = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({k: within(whole, w).cast("long") for k, w in names.items()})
+        return held.withColumns({k: within(whole, w).cast("long") for k, w in names.items()})
     inside = W.partitionBy(*keys, "_block").orderBy(*order)
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    held = df.withColumn("_block", block)
     sums = held.groupBy(*keys, "_block").agg(*[(F.count(F.lit(1)) if w is None else F.sum(w)).alias(f"_held_{k}") for k, w in names.items()])
     sums = sums.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_block")), *(F.coalesce(F.sum(f"_held_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in names))
     local = {f"_local_{k}": within(inside, w) for k, w in names.items()}
     out = join_blocks(held.withColumns(local), sums, keys)
     out = out.withColumns({k: (F.col(f"_local_{k}") + F.col(f"_before_{k}")).cast("long") for k in names})
     return out.drop("_block", *(f"{part}_{k}" for part in ("_local", "_before") for k in names))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df``, written once, with dense numbers from 0 in column ``name``, by ``order``, over all rows.
+
+    Rows are dealt by ranges of the whole order and sorted in their tasks, which number them from 0; the
+    driver gets the count of each task and nothing else. Rows that are equal in all of ``order`` have to be equal.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    held = written(dealt.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    task, row = F.shiftright("_place", 33).alias("_task"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(held.groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = [(r["_task"], total - r["n"]) for r, total in zip(counts, _running([r["n"] for r in counts]), strict=True)]
+    known = spark.createDataFrame(starts, "_task long, _start long")
+    return held.withColumn("_task", task).join(F.broadcast(known), "_task").withColumn(name, F.col("_start") + row).drop("_task", "_start", "_place")

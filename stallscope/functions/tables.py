@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is written inside goes at the end of the block, so results have to be used inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where, system = _on_disk(spark, path)
+            system.delete(where, True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="stallscope-"))
@@ -28,10 +48,12 @@ def _on_disk(spark: SparkSession, path: str) -> tuple:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is written there goes when the application ends, if not before."""
+    """A path of its own in the shared folder; what is written there goes at the end of ``released`` or of the application, if not before."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     where, system = _on_disk(spark, path)
     system.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import METRICS, NO_ROOT, RECVS, metric_dim, op_dim
-from ..operators import collectives, messages, statistics, waits
+from ..functions.names import ALL_TO_ALL, BARRIER, FROM_ROOT, METRICS, NO_ROOT, OPERATIONS, RECVS, SENDS, TO_ROOT, metric_dim, op_dim
+from ..functions.ranks import numbered
+from ..operators import collectives, messages, selection, statistics, waits
 from ..sources import trace as source
 
 COMMS = 4
@@ -48,8 +49,8 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits.durations(_pairs(spark, sf_dir), _groups(spark, sf_dir))
 
 
-def _rounded(stats: DataFrame) -> DataFrame:
-    return stats.select("metric", "count", *[F.round(c, 6).alias(c) for c in ("sum", "min", "max", "mean", "median", "q25", "q75")], F.round("variance", 3).alias("variance"))
+def _rounded(stats: DataFrame, keys: tuple[str, ...] = ("metric",), digits: int = 6, of_variance: int = 3) -> DataFrame:
+    return stats.select(*keys, "count", *[F.round(c, digits).alias(c) for c in ("sum", "min", "max", "mean", "median", "q25", "q75")], F.round("variance", of_variance).alias("variance"))
 
 
 def _one_message_metric(name: str) -> Query:
@@ -68,6 +69,65 @@ def wait_stats_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.with_all_metrics(statistics.summarize(_durations(spark, sf_dir).where("dur_ps < 0"))))
 
 
+def wait_stats_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.with_all_metrics(selection.summarize_selected(_durations(spark, sf_dir))))
+
+
+MINUTE = 60e12
+
+
+def wait_stats_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.with_all_metrics(statistics.summarize(_durations(spark, sf_dir), scale=MINUTE)))
+
+
+def wait_stats_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by metric, and by metric and op, process, communicator, and op and communicator, of the trace on four communicators."""
+    pairs = messages.match_p2p(source.derived_trace(spark, sf_dir, COMMS), carry=waits.LOCATED)
+    stats = statistics.drilldown(waits.located_durations(pairs, _many(spark, sf_dir, "slot")))
+    return _rounded(stats, ("level", "metric", "op", "pid", "comm_id"), 3, -3)
+
+
+def metric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics in report order with the number of their durations."""
+    counts = _durations(spark, sf_dir).groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    return metric_dim(spark).join(counts, "metric", "left").select("ord", "metric", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _repeated_comms(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Groups of four communicators of which one stands there twice, one without an id and one without members."""
+    more = spark.createDataFrame([(0, list(range(source.RANKS))), (None, [0]), (2, None)], source.COMM)
+    return collectives.group_collectives(source.derived_trace(spark, sf_dir, COMMS), source.derived_comm(spark, COMMS).unionByName(more), mode)
+
+
+def _accounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account of raw events some of which are of unknown kind, on known and unknown communicators."""
+    noisy = F.when(F.col("seq") % 101 == 3, "noise").otherwise(F.col("kind"))
+    raw = source.derived_raw(spark, sf_dir).withColumn("kind", noisy).withColumn("comm_id", F.col("seq") % 5)
+    return source.decode_account(raw, source.derived_comm(spark, COMMS))
+
+
+def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events whose peers and roots are ranks in one of four communicators (of all processes in an order of their own, of three, of none, unknown), as processes."""
+    raw = source.derived_raw(spark, sf_dir).withColumn("comm_id", F.col("seq") % COMMS)
+    comm = spark.createDataFrame(list(LOCAL.items()), source.COMM)
+    return source.translate_ranks(raw, comm).select("seq", "kind", "comm_id", "peer", "root")
+
+
+LOCAL = {0: [3, 1, 4, 0, 5, 2, 7, 6], 1: [6, 2, 5], 2: []}
+
+
+def _unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events whose clock ticks 24,000,000 times a second, from beyond 2^63 on, some so late that they do not fit, in ps since the first."""
+    late = F.when(F.col("seq") % 97 == 1, F.lit(10**15)).otherwise(0)
+    ticks = F.expr("cast(ts div 1000000 * 24 as decimal(20,0))") + late + F.expr(f"{(1 << 63) + 12345}BD")
+    raw = source.derived_raw(spark, sf_dir).withColumn("ts", ticks.cast("decimal(20,0)"))
+    return source.clock_unsigned(raw, 24_000_000).select("seq", "kind", "ts", "overflow")
+
+
+def _csr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return collectives.group_csr(_many(spark, sf_dir, "slot"))
+
+
 def _group_columns(groups: DataFrame) -> DataFrame:
     return groups.select("op", "root", "g", "idx", "pid", "ts", "end_ts", "comm_size", "n")
 
@@ -86,7 +146,7 @@ def queries() -> dict[str, Query]:
         "p2p_unmatched_sends": lambda s, d: messages.unmatched(t := _trace(s, d), messages.match_p2p(t), True),
         "p2p_unmatched_recvs": lambda s, d: messages.unmatched(t := _trace(s, d), messages.match_p2p(t), False),
         "p2p_match_summary": lambda s, d: messages.match_summary(_pairs(s, d)),
-        "p2p_match_partner": lambda s, d: messages.match_partner(t := _trace(s, d), messages.match_p2p(t)),
+        "p2p_match_partner": lambda s, d: messages.partners(_trace(s, d)),
         "collective_filter_sorted": lambda s, d: collectives.collectives(_trace(s, d)).select("idx", "op", "ts", "pid", "root").orderBy("ts", "idx"),
         "group_expected_size": lambda s, d: collectives.with_expected_size(_trace(s, d), source.derived_comm(s)).select("idx", "op", "root", "pid", F.greatest("comm_size", F.lit(1)).alias("expected")),
         "collective_groups_slot": lambda s, d: _group_columns(_groups(s, d)),
@@ -103,7 +163,18 @@ def queries() -> dict[str, Query]:
         "all_durations": _durations,
         "wait_stats": wait_stats,
         "wait_stats_empty": wait_stats_empty,
-        "metric_order": lambda s, d: metric_dim(s),
+        "metric_order": metric_order,
+        "wait_stats_selected": wait_stats_selected,
+        "wait_stats_minutes": wait_stats_minutes,
+        "wait_stats_drilldown": wait_stats_drilldown,
+        "slot_repeated_comms": lambda s, d: _group_columns(_repeated_comms(s, d, "slot")),
+        "ordinal_repeated_comms": lambda s, d: _repeated_comms(s, d, "ordinal").select("comm_id", "op", "root", "g", "idx", "pid", "comm_size", "n"),
+        "decode_account": _accounted,
+        "ranks_translated": _translated,
+        "clock_unsigned": _unsigned,
+        "collective_csr_offsets": lambda s, d: _csr(s, d)[0],
+        "collective_csr_members": lambda s, d: _csr(s, d)[1],
+        "trace_row_numbers": lambda s, d: numbered(_trace(s, d).select("idx"), ["idx"], "i"),
     }
     out |= {m: _one_message_metric(m) for m in METRICS[:2]}
     return out | {m: _one_group_metric(m) for m in METRICS[2:]}
@@ -175,12 +246,49 @@ prior as (select *, lag(kind) over w before_kind, lag(ts) over w begin_ts from r
 paired as (select seq, pid, coll_op, begin_ts, ts end_ts, case when root = {NO_ROOT} then least(pid, 0) else root end root from prior where kind = 'coll_end' and before_kind = 'coll_begin')"""
 
 
-def _stats(source_rows: str) -> str:
-    scaled = ", ".join(f"round(coalesce({x}, 0.0), 6) {c}" for c, x in (("sum", "total / 1e12"), ("min", "low / 1e12"), ("max", "high / 1e12"), ("mean", "total / 1e12 / n"), ("median", "p50 / 1e12"), ("q25", "p25 / 1e12"), ("q75", "p75 / 1e12")))
+_RAW_MESSAGES = """,
+events_raw as (
+  select seq, kind, ts, null::bigint peer, root from raw union all
+  select idx*4 + 3, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts, case when op in (3,5) then dst else src end, null from p2p where op is not null)"""
+_ACCOUNT = """,
+noisy as (select * replace (case when seq % 101 = 3 then 'noise' else kind end as kind) from (select seq, pid, kind, ts, coll_op from raw union all select idx*4 + 3, pid, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts, null from p2p where op is not null)),
+befores as (select *, lag(kind) over (partition by pid order by ts, seq) was from noisy where kind in ('coll_begin', 'coll_end')),
+ended as (select *, coalesce(was = 'coll_begin', false) follows from befores where kind = 'coll_end')
+select (select count(*) from noisy where kind not in ('coll_begin', 'noise')) counted,
+  (select count(*) from noisy where kind not in ('coll_begin', 'coll_end', 'noise')) + (select count(*) from ended where follows and coll_op <> 'unknown') as written,
+  (select count(*) from befores where kind = 'coll_begin') begins, (select count(*) from ended where not follows) unpaired_ends, (select count(*) from ended where follows and coll_op = 'unknown') unknown_collectives,
+  (select count(*) from noisy where kind = 'noise') unknown_kinds, (select count(*) from ended where follows and seq % 5 > 2) unresolved_comms"""
+_TRANSLATED = f"""
+select seq, kind, seq % {COMMS} comm_id, case seq % {COMMS} """ + " ".join(f"when {c} then ({m}::bigint[])[peer + 1]" for c, m in LOCAL.items()) + f""" end peer,
+  case when root = {NO_ROOT} then root else case seq % {COMMS} """ + " ".join(f"when {c} then ({m}::bigint[])[root + 1]" for c, m in LOCAL.items()) + """ end end root from events_raw"""
+_UNSIGNED = """,
+ticks as (select seq, kind, (ts // 1000000 * 24)::hugeint + case when seq % 97 = 1 then 1000000000000000 else 0 end + 9223372036854788153 t from events_raw),
+since as (select seq, kind, (t - min(t) over ())::hugeint * 1000000000000 // 24000000 ps from ticks)
+select seq, kind, case when ps <= 9223372036854775807 then ps::bigint end ts, ps > 9223372036854775807 overflow from since"""
+_LOCATED = _SEEN.replace("GROUPS", "groups").replace("KEY", "op, root, g") + """,
+waiting as (
+  select 'late_sender' metric, (send_ts - recv_ts)::bigint dur_ps, recv_idx idx from pairs where send_ts > recv_ts union all
+  select 'late_receiver', recv_ts - send_ts, send_idx from pairs where recv_ts > send_ts union all""" + _WAITS.replace(" from seen", ", idx from seen") + """),
+located as (select metric, dur_ps, op, pid, comm_id from waiting join trace using (idx)),
+parts as (""" + " union all ".join(f"select '{','.join(x)}' as level, metric, {', '.join(c if c in x else f'null::{kind} {c}' for c, kind in (('op', 'int'), ('pid', 'bigint'), ('comm_id', 'bigint')))}, dur_ps from located" for x in statistics.DRILLS) + """),
+placed_parts as (select *, row_number() over (w order by dur_ps) - 1 k, count(*) over w n from parts window w as (partition by level, metric, op, pid, comm_id)),
+stats as (
+  select level, metric, op, pid, comm_id, any_value(n) n, sum(dur_ps::decimal(38,0))::double total, min(dur_ps)::double low, max(dur_ps)::double high, var_pop(dur_ps / 1e12) var,
+    max(case when k = n // 4 then dur_ps end)::double p25, max(case when k = n // 2 then dur_ps end)::double p50, max(case when k = n * 3 // 4 then dur_ps end)::double p75
+  from placed_parts group by all)
+select level, metric, op, pid, comm_id, n count, round(total / 1e12, 3) as sum, round(low / 1e12, 3) min, round(high / 1e12, 3) max, round(total / 1e12 / n, 3) mean, round(p50 / 1e12, 3) median, round(p25 / 1e12, 3) q25, round(p75 / 1e12, 3) q75, round(var, -3) variance from stats"""
+_CSR = """,
+numbered_members as (select op, root, g, idx, row_number() over (order by op, root, g, pid <> root, ts, idx) - 1 as position from groups),
+offsets as (select op, root, g, min(position) begin_offset, max(position) + 1 end_offset from numbered_members group by all),
+numbered_groups as (select row_number() over (order by op, root, g) - 1 gid, * from offsets)"""
+
+
+def _stats(source_rows: str, unit: str = "1e12") -> str:
+    scaled = ", ".join(f"round(coalesce({x}, 0.0), 6) {c}" for c, x in (("sum", f"total / {unit}"), ("min", f"low / {unit}"), ("max", f"high / {unit}"), ("mean", f"total / {unit} / n"), ("median", f"p50 / {unit}"), ("q25", f"p25 / {unit}"), ("q75", f"p75 / {unit}")))
     return f""", {_METRIC_DIM},
 ranked as (select metric, dur_ps, row_number() over (partition by metric order by dur_ps) - 1 k, count(*) over (partition by metric) n from {source_rows}),
 stats as (
-  select metric, any_value(n) n, sum(dur_ps::decimal(38,0))::double total, min(dur_ps)::double low, max(dur_ps)::double high, var_pop(dur_ps / 1e12) var,
+  select metric, any_value(n) n, sum(dur_ps::decimal(38,0))::double total, min(dur_ps)::double low, max(dur_ps)::double high, var_pop(dur_ps / {unit}) var,
     max(case when k = n // 4 then dur_ps end)::double p25, max(case when k = n // 2 then dur_ps end)::double p50, max(case when k = n * 3 // 4 then dur_ps end)::double p75
   from ranked group by metric)
 select metric, coalesce(n, 0)::bigint count, {scaled}, round(coalesce(var, 0.0), 3) variance from metrics left join stats using (metric)"""
@@ -224,13 +332,22 @@ def oracle_sql() -> dict[str, str]:
         "all_durations": f"{both} select metric, dur_ps from durations",
         "wait_stats": both + _stats("durations"),
         "wait_stats_empty": both + _stats("(select * from durations where dur_ps < 0)"),
-        "metric_order": f"with {_METRIC_DIM} select ord, metric from metrics",
+        "metric_order": f"{both}, {_METRIC_DIM} select ord, metric, count(dur_ps) n from metrics left join durations using (metric) group by ord, metric",
+        "wait_stats_selected": both + _stats("durations"),
+        "wait_stats_minutes": both + _stats("durations", "60e12"),
+        "wait_stats_drilldown": many + _PAIRS + _LOCATED,
+        "slot_repeated_comms": f"{many} select op, root, g, idx, pid, ts, end_ts, comm_size, n from groups",
+        "ordinal_repeated_comms": f"{many}{_ORDINAL} select comm_id, op, root, g, idx, pid, size comm_size, n from ordinal",
+        "decode_account": raw + _ACCOUNT,
+        "ranks_translated": raw + _RAW_MESSAGES + _TRANSLATED,
+        "clock_unsigned": raw + _RAW_MESSAGES + _UNSIGNED,
+        "collective_csr_offsets": f"{many}{_CSR} select gid, op, root, g, begin_offset, end_offset from numbered_groups",
+        "collective_csr_members": f"{many}{_CSR} select position, gid, idx from numbered_members join numbered_groups using (op, root, g)",
+        "trace_row_numbers": f"{trace} select idx, row_number() over (order by idx) - 1 i from trace",
     }
     return out | {m: f"{both} select metric, dur_ps from durations where metric = '{m}'" for m in METRICS}
 
 
 def _op_rows() -> list[tuple[int, str, str]]:
-    from ..functions.names import ALL_TO_ALL, BARRIER, FROM_ROOT, OPERATIONS, SENDS, TO_ROOT
-
     kinds = {"send": SENDS, "recv": RECVS, "barrier": BARRIER, "n_to_1": TO_ROOT, "1_to_n": FROM_ROOT, "n_to_n": ALL_TO_ALL}
     return [(k, name, next((c for c, codes in kinds.items() if k in codes), "other")) for k, name in enumerate(OPERATIONS)]

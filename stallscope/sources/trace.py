@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import NO_ROOT, SENDS, is_collective
-from ..functions.ranks import BLOCK_ROWS, join_blocks, spread
+from ..functions.joins import lookup
+from ..functions.ranks import BLOCK_ROWS, in_blocks, join_blocks
+from ..functions.tables import dropped, written
 
 TRACE = "idx long, op int, ts long, end_ts long, pid long, src long, dst long, tag long, root long, comm_id long"
 RAW = "seq long, pid long, kind string, ts long, peer long, tag long, coll_op string, root long, comm_id long"
@@ -55,8 +57,28 @@ def read_trace(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
     return with_defaults(_read(spark, path, form, TRACE))
 
 
-def read_comm(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMM).parquet(path)
+def read_comm(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """A table of communicators (schema ``COMM``); csv has the members as numbers with spaces between them."""
+    if form != "csv":
+        return _read(spark, path, form, COMM)
+    listed = F.filter(F.split("members", " +"), lambda x: x != "")
+    return _read(spark, path, form, "comm_id long, members string").withColumn("members", F.transform(listed, lambda x: x.cast("long")))
+
+
+def communicators(comm: DataFrame) -> DataFrame:
+    """One row for each id that is not null; of repeated ids the least members that are not null, none where all are."""
+    members = F.coalesce(F.min("members"), F.array().cast("array<long>"))
+    return comm.where("comm_id is not null").groupBy("comm_id").agg(members.alias("members"))
+
+
+def validated_comm(comm: DataFrame) -> DataFrame:
+    """The communicators, one row each, or a ValueError where an id has different members or one row without them."""
+    wrong = comm.groupBy("comm_id").agg(F.count_distinct("members").alias("n"), F.count_if(F.col("members").isNull()).alias("none"))
+    several, none = wrong.agg(F.count_if(F.col("n") > 1), F.count_if((F.col("none") > 0) | F.col("comm_id").isNull())).first()
+    said = [f"{n} {what}" for n, what in ((several, "ids of different members"), (none, "ids that are null or without members")) if n]
+    if said:
+        raise ValueError(f"communicators have {', '.join(said)}")
+    return communicators(comm)
 
 
 def clock_normalized(raw: DataFrame, resolution: int = 10**12, offset: int = 0) -> DataFrame:
@@ -73,21 +95,55 @@ def with_defaults(trace: DataFrame) -> DataFrame:
     return trace.select(*[F.coalesce(F.col(c) if c in trace.columns else F.lit(None), F.lit(blank.get(c, 0))).cast(kind).alias(c) for c, kind in named])
 
 
-def validated(raw: DataFrame) -> DataFrame:
-    """``raw``, or a ValueError that says what is wrong with it: columns that are missing, rows without a process, time or kind, kinds that are not known, calls without a name."""
-    missing = [c.split()[0] for c in RAW.split(", ") if c.split()[0] not in raw.columns]
-    if missing:
-        raise ValueError(f"raw events lack the columns {', '.join(missing)}")
-    wrong = {
+def clock_unsigned(raw: DataFrame, resolution: int = 10**12) -> DataFrame:
+    """``raw``, whose times are unsigned ticks (decimals or strings below 2^64), in ps since its first tick, with a column ``overflow``.
+
+    The first tick is found while the rows are written, so ``raw`` is read once. A time that no longer fits
+    a long in ps is null and its row says so in ``overflow``; a null tick stays null; what is no tick is an error of the cast.
+    """
+    if resolution <= 0:
+        raise ValueError("a clock's resolution is positive")
+    seen = Observation()
+    ticks = raw.withColumn("ts", F.col("ts").cast("decimal(20,0)"))
+    held = written(ticks.observe(seen, F.min("ts").alias("first"), F.count_if((F.col("ts") < 0) | (F.col("ts") >= F.expr(f"cast({1 << 64}BD as decimal(20,0))"))).alias("wrong")), "trace-ticks")
+    if seen.get.get("wrong"):
+        raise ValueError(f"{seen.get['wrong']} times are no unsigned ticks of 64 bits")
+    since = F.col("ts") - F.expr(f"cast({seen.get.get('first') or 0}BD as decimal(20,0))")
+    # A quotient and a rest, since a decimal holds 38 digits: the first is whole seconds, at most 2^64, the second below one.
+    second = F.lit(resolution).cast("decimal(20,0)")
+    whole = F.floor(since.cast("decimal(20,0)") / second).cast("decimal(20,0)")
+    rest = (since - whole * second).cast("decimal(20,0)")
+    ps = whole * F.lit(10**12).cast("decimal(13,0)") + F.floor(rest * F.lit(10**12).cast("decimal(13,0)") / second).cast("decimal(20,0)")
+    fits = ps <= F.expr(f"{(1 << 63) - 1}BD")
+    return held.withColumn("_ps", ps).withColumn("overflow", F.coalesce(~fits, F.lit(False))).withColumn("ts", F.when(fits, F.col("_ps")).cast("long")).drop("_ps")
+
+
+def unsound() -> dict[str, Column]:
+    """What makes a raw event unusable, in words and as a condition."""
+    return {
         "rows without a sequence number, process, time or kind": F.col("seq").isNull() | F.col("pid").isNull() | F.col("ts").isNull() | F.col("kind").isNull(),
         "rows of unknown kind": ~F.col("kind").isin(*MESSAGE_KINDS, *COLLECTIVE_KINDS),
         "messages without a peer": F.col("kind").isin(*MESSAGE_KINDS) & F.col("peer").isNull(),
         "collective calls without a name": F.col("kind").isin(*COLLECTIVE_KINDS) & F.col("coll_op").isNull(),
     }
-    found = raw.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(wrong.values())]).first()
-    said = [f"{n} {what}" for n, what in zip(found, wrong, strict=True) if n]
+
+
+def _told(counts: list[int]) -> None:
+    said = [f"{n} {what}" for n, what in zip(counts, unsound(), strict=True) if n]
     if said:
         raise ValueError(f"raw events have {', '.join(said)}")
+
+
+def with_columns_of_raw(raw: DataFrame) -> DataFrame:
+    missing = [c.split()[0] for c in RAW.split(", ") if c.split()[0] not in raw.columns]
+    if missing:
+        raise ValueError(f"raw events lack the columns {', '.join(missing)}")
+    return raw
+
+
+def validated(raw: DataFrame) -> DataFrame:
+    """``raw``, or a ValueError that says what is wrong with it: columns that are missing, rows without a process, time or kind, kinds that are not known, calls without a name."""
+    _told(list(with_columns_of_raw(raw).agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(unsound().values())]).first()))
     return raw
 
 
@@ -95,28 +151,29 @@ def collective_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(COLLECTIVES.items(), key=lambda x: x[1]), "coll_op string, op int")
 
 
-def pair_collectives(raw: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_collectives(raw: DataFrame, block_rows: int = BLOCK_ROWS, seen: Observation | None = None) -> DataFrame:
     """Ends of collective calls with the time of their begin.
 
     A begin overwrites one that is pending; an end counts if a begin is pending and clears it. So an
     end pairs exactly if the row before it, among the begins and ends of its process, is a begin. The
     rows of a process are sorted in blocks of time; the row before a block's first is the last of the
-    block before it.
+    block before it. ``seen`` gets the numbers of begins, ends and unpaired ends when the rows are read.
     """
-    calls = raw.where(F.col("kind").isin("coll_begin", "coll_end"))
-    block = spread(calls, "ts", block_rows)
+    calls = raw.where(F.col("kind").isin(*COLLECTIVE_KINDS)).select("seq", "pid", "kind", "ts", "coll_op", "root", "comm_id")
+    calls = in_blocks(calls, "ts", block_rows, "trace-calls")
     row = F.struct("kind", "ts")
-    if block is None:
+    if "_block" not in calls.columns:
         calls = calls.withColumn("before", F.lag(row).over(W.partitionBy("pid").orderBy("ts", "seq")))
     else:
-        calls = calls.withColumn("_block", block)
         last = calls.groupBy("pid", "_block").agg(F.max(F.struct("ts", "seq", "kind")).alias("last"))
         prior = F.lag("last").over(W.partitionBy("pid").orderBy("_block"))
         last = last.select(F.col("pid").alias("_of_pid"), F.col("_block").alias("_of__block"), F.struct(prior["kind"].alias("kind"), prior["ts"].alias("ts")).alias("carried"))
         order = W.partitionBy("pid", "_block").orderBy("ts", "seq")
         calls = join_blocks(calls.withColumn("before", F.lag(row).over(order)), last, ["pid"]).withColumn("before", F.coalesce("before", "carried"))
-    paired = calls.where((F.col("kind") == "coll_end") & (F.col("before.kind") == "coll_begin"))
-    return paired.select("seq", "pid", "coll_op", F.col("before.ts").alias("begin_ts"), F.col("ts").alias("end_ts"), "root", "comm_id")
+    is_end, follows = F.col("kind") == "coll_end", F.coalesce(F.col("before.kind") == "coll_begin", F.lit(False))
+    if seen:
+        calls = calls.observe(seen, F.count_if(~is_end).alias("begins"), F.count_if(is_end).alias("ends"), F.count_if(is_end & ~follows).alias("unpaired_ends"))
+    return calls.where(is_end & follows).select("seq", "pid", "coll_op", F.col("before.ts").alias("begin_ts"), F.col("ts").alias("end_ts"), "root", "comm_id")
 
 
 def resolve_roots(calls: DataFrame, comm: DataFrame) -> DataFrame:
@@ -124,22 +181,76 @@ def resolve_roots(calls: DataFrame, comm: DataFrame) -> DataFrame:
 
     Unknown communicators have a null size; the sentinel then becomes the process itself.
     """
-    known = comm.select("comm_id", F.array_min("members").alias("_least"), F.size("members").alias("comm_size"))
+    known = communicators(comm).select("comm_id", F.array_min("members").alias("_least"), F.size("members").alias("comm_size"))
     root = F.when(F.col("root") == NO_ROOT, F.least("pid", F.coalesce("_least", "pid"))).otherwise(F.col("root"))
     return calls.join(known, "comm_id", "left").withColumn("root", root).drop("_least")
 
 
-def decode(raw: DataFrame, comm: DataFrame) -> DataFrame:
-    """Raw events as a trace (schema ``TRACE``); unknown kinds of collective are dropped after pairing."""
-    spark = raw.sparkSession
+def _messages(raw: DataFrame) -> DataFrame:
     peer, pid = F.col("peer"), F.col("pid")
     out_bound = F.col("kind").isin("send", "isend")
     op = F.when(F.col("kind") == "send", 3).when(F.col("kind") == "recv", 4).when(F.col("kind") == "isend", 5).when(F.col("kind") == "irecv_complete", 6)
-    messages = raw.select(F.col("seq").alias("idx"), op.cast("int").alias("op"), "ts", F.col("ts").alias("end_ts"), "pid", F.when(out_bound, pid).otherwise(peer).alias("src"), F.when(out_bound, peer).otherwise(pid).alias("dst"), "tag", F.lit(0).cast("long").alias("root"), "comm_id").where("op is not null")
+    return raw.select(F.col("seq").alias("idx"), op.cast("int").alias("op"), "ts", F.col("ts").alias("end_ts"), "pid", F.when(out_bound, pid).otherwise(peer).alias("src"), F.when(out_bound, peer).otherwise(pid).alias("dst"), "tag", F.lit(0).cast("long").alias("root"), "comm_id").where("op is not null")
+
+
+def _named(calls: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Resolved calls as rows of a trace; those of unknown kinds are dropped, and counted in ``seen`` as are calls on unknown communicators."""
     zero = F.lit(0).cast("long")
-    calls = resolve_roots(pair_collectives(raw), comm).join(F.broadcast(collective_dim(spark)), "coll_op")
-    calls = calls.select(F.col("seq").alias("idx"), "op", F.col("begin_ts").alias("ts"), "end_ts", "pid", zero.alias("src"), zero.alias("dst"), zero.alias("tag"), "root", "comm_id")
-    return messages.unionByName(calls)
+    calls = calls.join(F.broadcast(collective_dim(calls.sparkSession)), "coll_op", "left")
+    if seen:
+        calls = calls.observe(seen, F.count_if(F.col("op").isNull()).alias("unknown_collectives"), F.count_if(F.col("comm_size").isNull()).alias("unresolved_comms"))
+    return calls.where("op is not null").select(F.col("seq").alias("idx"), "op", F.col("begin_ts").alias("ts"), "end_ts", "pid", zero.alias("src"), zero.alias("dst"), zero.alias("tag"), "root", "comm_id")
+
+
+def decode(raw: DataFrame, comm: DataFrame) -> DataFrame:
+    """Raw events as a trace (schema ``TRACE``); unknown kinds of collective are dropped after pairing."""
+    return _messages(raw).unionByName(_named(resolve_roots(pair_collectives(raw), comm)))
+
+
+ACCOUNT = "counted long, written long, begins long, unpaired_ends long, unknown_collectives long, unknown_kinds long, unresolved_comms long"
+
+
+def decode_accounted(raw: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS, strict: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """The decoded trace, written once, and the account of it, all counted while it is decoded.
+
+    ``counted`` messages and ends of collective calls bound what is ``written``; the difference are ends without a
+    begin and collectives of unknown kind. With ``strict`` raw events that are not sound raise a ValueError.
+    """
+    rows, pairs, names, out = (Observation() for _ in range(4))
+    kind = F.col("kind")
+    counts = [F.count_if(kind.isin(*MESSAGE_KINDS, "coll_end")).alias("counted"), F.count_if(~F.coalesce(kind.isin(*MESSAGE_KINDS, *COLLECTIVE_KINDS), F.lit(False))).alias("unknown_kinds")]
+    counts += [F.count_if(c).alias(f"wrong{k}") for k, c in enumerate(unsound().values())]
+    messages = _messages(with_columns_of_raw(raw).observe(rows, *counts))
+    calls = _named(resolve_roots(pair_collectives(raw, block_rows, pairs), comm), names)
+    trace = written(messages.unionByName(calls).observe(out, F.count(F.lit(1)).alias("written")), "trace")
+    found = {**rows.get, **pairs.get, **names.get, **out.get}
+    if strict:
+        _told([found.get(f"wrong{k}") or 0 for k in range(len(unsound()))])
+    return trace, {c.split()[0]: found.get(c.split()[0]) or 0 for c in ACCOUNT.split(", ")}
+
+
+def decode_account(raw: DataFrame, comm: DataFrame) -> DataFrame:
+    """One row with the account of ``decode_accounted``."""
+    trace, account = decode_accounted(raw, comm)
+    dropped(trace)
+    return raw.sparkSession.createDataFrame([tuple(account[c.split()[0]] for c in ACCOUNT.split(", "))], ACCOUNT)
+
+
+def translate_ranks(raw: DataFrame, comm: DataFrame) -> DataFrame:
+    """``raw`` with peers and roots, which are ranks inside the row's communicator, as locations: the member at that place.
+
+    A rank that its communicator does not have, or of an unknown one, gives null; the sentinel for "no root"
+    stays. Members stand one by one in a dimension (communicator, rank, location), which is looked up by both.
+    """
+    places = communicators(comm).select(F.col("comm_id").alias("_comm"), F.posexplode("members").alias("_rank", "_location"))
+    places = written(places.withColumn("_rank", F.col("_rank").cast("long")), "trace-places")
+    out = raw
+    for column in ("peer", "root"):
+        rank = F.when(F.col(column) != NO_ROOT, F.col(column)) if column == "root" else F.col(column)
+        found = lookup(out.withColumn("_at", rank), {"comm_id": "_comm", "_at": "_rank"}, places, "_location")
+        kept = (F.col(column) == NO_ROOT) if column == "root" else F.lit(False)
+        out = found.withColumn(column, F.when(kept, F.col(column)).otherwise(F.col("_location"))).drop("_at", "_location")
+    return out.select(*raw.columns)
 
 
 def derived_trace(spark: SparkSession, sf_dir: str, comms: int = 1) -> DataFrame:

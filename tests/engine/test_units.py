@@ -144,8 +144,8 @@ def test_communicators_part_ordinals(spark):
 @pytest.mark.parametrize("values", [[*range(500), 10**18], [7] * 300 + [8] * 300 + list(range(100)), [0, *([10**15] * 50), *(10**15 + k * k for k in range(400))], [None, 5, 5, -(10**17), None]])
 def test_blocks_are_even_however_values_are_spread(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v long")
-    block = ranks.spread(df, "v", 20)
-    rows = df.select("v", (F.lit(0) if block is None else block).alias("b")).where("v is not null").orderBy("v").collect()
+    held = ranks.in_blocks(df.withColumn("idx", F.monotonically_increasing_id()), "v", 20)
+    rows = held.select("v", (held["_block"] if "_block" in held.columns else F.lit(0)).alias("b")).where("v is not null").orderBy("v").collect()
     assert [r.b for r in rows] == sorted(r.b for r in rows)
     by_block = defaultdict(list)
     for r in rows:
@@ -153,7 +153,7 @@ def test_blocks_are_even_however_values_are_spread(spark, values):
     assert all(len(x) <= 20 or len(set(x)) == 1 for x in by_block.values())
     # At most twice as many blocks as would do.
     assert len(by_block) <= 2 * len(rows) / 20 + 2 + sum(len(set(x)) == 1 for x in by_block.values())
-    got = ranks.ranked(df.withColumn("idx", F.monotonically_increasing_id()), [], ["v", "idx"], {"k": None, "total": F.lit(2)}, block).collect()
+    got = ranks.ranked(held, [], ["v", "idx"], {"k": None, "total": F.lit(2)}).collect()
     assert sorted(r.k for r in got) == list(range(1, len(values) + 1)) and all(r.total == 2 * r.k for r in got)
 
 
