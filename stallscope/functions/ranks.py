@@ -61,18 +61,66 @@ def _running(sizes: list[int]) -> list[int]:
     return out
 
 
+BINS_A_BORDER = 2
+BIN = "bin long, base long, border long, child long, lo long, width long, last long"
+
+
+def _directory(borders: list[int]) -> list[list[tuple]]:
+    """Tables (schema ``BIN``), one for each step of a search: bins of equal width between some borders, and what each says of its values.
+
+    With at most one border in it a bin says which block its values are in: ``base``, and the next one from ``border`` on. A bin
+    with more is cut once more, between its first and its last border; its bins are numbered from ``child`` on.
+    """
+    levels, nodes = [], [(0, len(borders) - 1, 0)]  # first and last border, number of the first bin
+    while nodes:
+        table, below, numbered = [], [], 0
+        for first, last, start in nodes:
+            lo, width = borders[first], (borders[last] - borders[first]) // (BINS_A_BORDER * (last - first + 1)) + 1
+            n = (borders[last] - lo) // width + 1
+            table.append((start, first - 1, None, None, None, None, None))
+            at = first
+            for k in range(n):
+                end = at
+                while end <= last and (borders[end] - lo) // width == k:
+                    end += 1
+                if end - at < 2:
+                    table.append((start + 1 + k, at - 1, borders[at] if end > at else None, None, None, None, None))
+                else:
+                    inner = (borders[end - 1] - borders[at]) // (BINS_A_BORDER * (end - at)) + 1
+                    count = (borders[end - 1] - borders[at]) // inner + 1
+                    table.append((start + 1 + k, None, None, numbered, borders[at], inner, count + 1))
+                    below.append((at, end - 1, numbered))
+                    numbered += count + 2
+                at = end
+            table.append((start + 1 + n, last, None, None, None, None, None))
+        levels.append(table)
+        nodes = below
+    return levels
+
+
 def with_block(df: DataFrame, order: str, borders: list[int]) -> DataFrame:
     """Adds ``_block``, the number of the last of the ascending ``borders`` that is not above ``order``; null where that is null.
 
-    The borders are one broadcast row with an array, 8 bytes a block, which generated code searches by halves.
+    Each step of the search is a join with a broadcast table of a few bins for each border; evenly spread borders take one or
+    two steps, others a few more. The value has to be no less than the first border.
     """
-    table = df.sparkSession.createDataFrame([(0, borders)], "_none int, _borders array<long>")
-    v = F.col(order)
-    out = df.withColumn("_none", F.isnull(v).cast("int")).join(F.broadcast(table), "_none", "left").withColumn("_block", F.when(v.isNotNull(), F.lit(0)))
-    step = 1 << max(0, len(borders) - 1).bit_length()
-    while step := step // 2:
-        out = out.withColumn("_block", F.col("_block") + F.when(F.get("_borders", F.col("_block") + step) <= v, step).otherwise(0))
-    return out.drop("_none", "_borders")
+    spark, v = df.sparkSession, F.col(order)
+    width = (borders[-1] - borders[0]) // (BINS_A_BORDER * len(borders)) + 1
+    place: Column = _bin(v, F.lit(0), F.lit(borders[0]), F.lit(width), F.lit((borders[-1] - borders[0]) // width + 2))
+    out, found = df, []
+    for k, table in enumerate(_directory(borders)):
+        names = {c.split()[0]: f"_{c.split()[0]}{k}" for c in BIN.split(", ")}
+        known = spark.createDataFrame(table, BIN).withColumnsRenamed(names)
+        out = out.withColumn("_at", place).join(F.broadcast(known), F.col("_at") == F.col(names["bin"]), "left").drop("_at", names["bin"])
+        found.append(F.col(names["base"]) + F.coalesce((v >= F.col(names["border"])).cast("long"), F.lit(0)))
+        place = _bin(v, *(F.col(names[c]) for c in ("child", "lo", "width", "last")))
+    return out.withColumn("_block", F.coalesce(*found)).select(*df.columns, "_block")
+
+
+def _bin(v: Column, child: Column, lo: Column, width: Column, last: Column) -> Column:
+    """The bin of a value: the first below ``lo``, the last beyond the bins between."""
+    inner = F.call_function("div", v - lo, width) + 1
+    return F.when(v.isNotNull(), child + F.when(v < lo, F.lit(0)).otherwise(F.least(inner, last)))
 
 
 def in_blocks(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS, name: str = "ordered") -> DataFrame:

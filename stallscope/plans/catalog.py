@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import ALL_TO_ALL, BARRIER, FROM_ROOT, METRICS, NO_ROOT, OPERATIONS, RECVS, SENDS, TO_ROOT, metric_dim, op_dim
 from ..functions.ranks import numbered
+from ..functions.tables import new_path
 from ..operators import collectives, messages, selection, statistics, waits
+from ..sources import locations
 from ..sources import trace as source
+from . import store
 
 COMMS = 4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +127,20 @@ def _unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.clock_unsigned(raw, 24_000_000).select("seq", "kind", "ts", "overflow")
 
 
+def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events of three processes in a range of time, from a folder of location files."""
+    path = new_path(spark, "locations")
+    locations.write_locations(source.derived_raw(spark, sf_dir), path)
+    return locations.read_locations(spark, path, pids=[1, 4, 6], since=EARLY).select("seq", "pid", "kind", "ts", "peer", "root")
+
+
+EARLY = 500_000 * 10**12
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> store.StoredTrace:
+    return store.store(_trace(spark, sf_dir), source.derived_comm(spark))
+
+
 def _csr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return collectives.group_csr(_many(spark, sf_dir, "slot"))
 
@@ -174,6 +191,9 @@ def queries() -> dict[str, Query]:
         "clock_unsigned": _unsigned,
         "collective_csr_offsets": lambda s, d: _csr(s, d)[0],
         "collective_csr_members": lambda s, d: _csr(s, d)[1],
+        "location_scan": _locations,
+        "stored_pairs": lambda s, d: _stored(s, d).pairs(),
+        "stored_durations": lambda s, d: _stored(s, d).durations(),
         "trace_row_numbers": lambda s, d: numbered(_trace(s, d).select("idx"), ["idx"], "i"),
     }
     out |= {m: _one_message_metric(m) for m in METRICS[:2]}
@@ -248,8 +268,8 @@ paired as (select seq, pid, coll_op, begin_ts, ts end_ts, case when root = {NO_R
 
 _RAW_MESSAGES = """,
 events_raw as (
-  select seq, kind, ts, null::bigint peer, root from raw union all
-  select idx*4 + 3, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts, case when op in (3,5) then dst else src end, null from p2p where op is not null)"""
+  select seq, pid, kind, ts, null::bigint peer, root from raw union all
+  select idx*4 + 3, pid, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts, case when op in (3,5) then dst else src end, null from p2p where op is not null)"""
 _ACCOUNT = """,
 noisy as (select * replace (case when seq % 101 = 3 then 'noise' else kind end as kind) from (select seq, pid, kind, ts, coll_op from raw union all select idx*4 + 3, pid, case op when 3 then 'send' when 4 then 'recv' when 5 then 'isend' else 'irecv_complete' end, ts, null from p2p where op is not null)),
 befores as (select *, lag(kind) over (partition by pid order by ts, seq) was from noisy where kind in ('coll_begin', 'coll_end')),
@@ -343,6 +363,9 @@ def oracle_sql() -> dict[str, str]:
         "clock_unsigned": raw + _RAW_MESSAGES + _UNSIGNED,
         "collective_csr_offsets": f"{many}{_CSR} select gid, op, root, g, begin_offset, end_offset from numbered_groups",
         "collective_csr_members": f"{many}{_CSR} select position, gid, idx from numbered_members join numbered_groups using (op, root, g)",
+        "location_scan": f"{raw}{_RAW_MESSAGES} select * from events_raw where pid in (1, 4, 6) and ts >= {EARLY}",
+        "stored_pairs": f"{pairs} select * from pairs",
+        "stored_durations": f"{both} select metric, dur_ps from durations",
         "trace_row_numbers": f"{trace} select idx, row_number() over (order by idx) - 1 i from trace",
     }
     return out | {m: f"{both} select metric, dur_ps from durations where metric = '{m}'" for m in METRICS}

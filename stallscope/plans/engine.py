@@ -11,12 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.names import METRICS
-from ..functions.tables import dropped, written
+from ..functions.tables import released, written
 from ..operators.collectives import group_collectives, group_summary
 from ..operators.messages import match_p2p, match_summary
 from ..operators.statistics import summarize, with_all_metrics
 from ..operators.waits import durations
-from ..sources.trace import FORMS, clock_normalized, decode, derived_comm, derived_trace, read_comm, read_raw, trace_size, validated
+from ..sources.locations import read_locations
+from ..sources.trace import FORMS, clock_normalized, decode_accounted, derived_comm, derived_trace, read_comm, read_raw, trace_size, translate_ranks, validated_comm, with_columns_of_raw
 
 
 def analyze(trace: DataFrame, comm: DataFrame, mode: str = "slot") -> DataFrame:
@@ -62,9 +63,10 @@ def timed_phases(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     took: dict[str, float] = {}
 
     def run(name: str, build: Callable[[], DataFrame]) -> None:
-        began = time.perf_counter()
-        build().write.format("noop").mode("overwrite").save()
-        took[name] = time.perf_counter() - began
+        with released(spark):
+            began = time.perf_counter()
+            build().write.format("noop").mode("overwrite").save()
+            took[name] = time.perf_counter() - began
 
     def found() -> DataFrame:
         return durations(match_p2p(trace()), group_collectives(trace(), derived_comm(spark)))
@@ -90,7 +92,9 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="python -m stallscope.plans.engine", description="The wait states of a trace.")
     parser.add_argument("raw", nargs="?", help="table of raw events")
     parser.add_argument("communicators", nargs="?", help="table of communicators")
-    parser.add_argument("--form", default="parquet", choices=FORMS)
+    parser.add_argument("--form", default="parquet", choices=(*FORMS, "locations"), help="of the raw events; locations: a folder of one file for each process")
+    parser.add_argument("--communicators-form", default="parquet", choices=FORMS, help="of the communicators")
+    parser.add_argument("--local-ranks", action="store_true", help="peers and roots are ranks in their communicator, not processes")
     parser.add_argument("--mode", default="slot", choices=("slot", "ordinal"))
     parser.add_argument("--pids", type=lambda x: [int(p) for p in x.split(",")], help="only these processes, by commas")
     parser.add_argument("--resolution", type=int, default=10**12, help="ticks a second of the trace's clock")
@@ -109,24 +113,42 @@ def main(args: list[str]) -> int:
         print("Usage: python -m stallscope.plans.engine RAW_EVENTS [COMMUNICATORS] [options]", file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("stallscope").getOrCreate()
+    print(banner(spark), f"Trace file: {path}", sep="\n\n", end="\n\n")
+    try:
+        with released(spark):
+            _report(spark, path, asked)
+    except (ValueError, AnalysisException) as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return 1
+    return 0
+
+
+def _report(spark: SparkSession, path: str, asked: argparse.Namespace) -> None:
     took: dict[str, float] = {}
 
-    def timed(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def timed(name: str, build: Callable[[], DataFrame], keep: bool = True) -> DataFrame:
         began = time.perf_counter()
-        out = written(build(), "trace-" + name.lower().replace(" ", "-"))
+        out = written(build(), "trace-" + name.lower().replace(" ", "-")) if keep else build()
         took[name] = (time.perf_counter() - began) * 1000
         return out
 
-    print(banner(spark), f"Trace file: {path}", sep="\n\n", end="\n\n")
-    comm = read_comm(spark, asked.communicators) if asked.communicators else derived_comm(spark).limit(0)
-    try:
-        raw = validated(read_raw(spark, path, asked.form, asked.pids))
-    except (ValueError, AnalysisException) as e:
-        print(f"Error: {e}", file=sys.stderr)
-        return 1
-    trace = timed("Read", lambda: decode(clock_normalized(raw, asked.resolution, asked.offset), comm))
+    comm = validated_comm(read_comm(spark, asked.communicators, asked.communicators_form)) if asked.communicators else derived_comm(spark).limit(0)
+    if asked.form == "locations":
+        raw = read_locations(spark, path, pids=asked.pids)
+    else:
+        raw = read_raw(spark, path, asked.form, asked.pids)
+    account: dict[str, int] = {}
+
+    def read() -> DataFrame:
+        events = clock_normalized(with_columns_of_raw(raw), asked.resolution, asked.offset)
+        trace, counts = decode_accounted(translate_ranks(events, comm) if asked.local_ranks else events, comm, strict=True)
+        account.update(counts)
+        return trace
+
+    trace = timed("Read", read, keep=False)
     size = trace_size(trace).first()
-    print(f"Events: {size['events']}", f"Data size: {size['bytes'] / (1024 * 1024):.6g} MB", sep="\n", end="\n\n")
+    print(f"Events: {size['events']}", f"Data size: {size['bytes'] / (1024 * 1024):.6g} MB", sep="\n")
+    print(f"Counted events: {account['counted']} (unpaired ends: {account['unpaired_ends']}, unknown collectives: {account['unknown_collectives']}, calls on unknown communicators: {account['unresolved_comms']})", end="\n\n")
     pairs = timed("P2P Matching", lambda: match_p2p(trace))
     met = match_summary(pairs).first()
     print(f"Matched events: {met['matched_events']} (pairs: {met['pairs']})", end="\n\n")
@@ -137,8 +159,6 @@ def main(args: list[str]) -> int:
     stats = timed("Statistics", lambda: with_all_metrics(summarize(found)))
     print("=== Analysis Results ===", format_report(stats), sep="\n", end="\n\n")
     print("=== Timing Summary ===", *[f"{name + ':':<21} {ms:.2f} ms" for name, ms in [*took.items(), ("Total", sum(took.values()))]], sep="\n")
-    dropped(trace, pairs, groups, found, stats)
-    return 0
 
 
 if __name__ == "__main__":

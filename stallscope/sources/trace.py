@@ -62,7 +62,8 @@ def read_comm(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
     if form != "csv":
         return _read(spark, path, form, COMM)
     listed = F.filter(F.split("members", " +"), lambda x: x != "")
-    return _read(spark, path, form, "comm_id long, members string").withColumn("members", F.transform(listed, lambda x: x.cast("long")))
+    # An empty field is a null string in csv, and here a communicator without members.
+    return _read(spark, path, form, "comm_id long, members string").na.fill("", ["members"]).withColumn("members", F.transform(listed, lambda x: x.cast("long")))
 
 
 def communicators(comm: DataFrame) -> DataFrame:

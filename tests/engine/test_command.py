@@ -54,6 +54,22 @@ def test_options(spark, tmp_path, capsys):
     assert "Events: 3\n" in capsys.readouterr().out
 
 
+def test_location_files_and_local_ranks(spark, tmp_path, capsys):
+    """The same events whose peers are places in a communicator that lists the processes backwards."""
+    from stallscope.sources.locations import write_locations
+
+    rows = [(*r[:4], None if r[4] is None else 1 - r[4], *r[5:]) for r in raw_rows()]
+    write_locations(spark.createDataFrame(rows, RAW), f"{tmp_path}/raw")
+    spark.createDataFrame([(0, [1, 0])], source.COMM).write.parquet(f"{tmp_path}/comm")
+    assert engine.main([f"{tmp_path}/raw", f"{tmp_path}/comm", "--form", "locations", "--local-ranks"]) == 0
+    out = capsys.readouterr().out
+    assert "Events: 6" in out and "Matched events: 4 (pairs: 2)" in out and "Groups: 1, members: 2" in out
+    assert "Counted events: 6 (unpaired ends: 0, unknown collectives: 0, calls on unknown communicators: 0)" in out
+    spark.createDataFrame([(0, [1, 0]), (0, [0])], source.COMM).write.parquet(f"{tmp_path}/wrong")
+    assert engine.main([f"{tmp_path}/raw", f"{tmp_path}/wrong", "--form", "locations"]) == 1
+    assert "1 ids of different members" in capsys.readouterr().err
+
+
 def test_what_cannot_be_read_is_told(spark, tmp_path, capsys):
     assert engine.main([]) == 1
     assert capsys.readouterr().err.startswith("Usage: ")

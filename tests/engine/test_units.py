@@ -184,15 +184,15 @@ def test_ordinals_and_pairs_in_blocks(spark, block_rows):
 
 
 def test_statistics(spark):
-    rows = [("a", int(x * 1e12)) for x in (1, 2, 3, 4)] + [("b", 5 * 10**12)]
-    rows += [(f"n{n}", k * 1000) for n in range(1, 10) for k in range(n)]
-    got = {r["metric"]: r for r in statistics.summarize(spark.createDataFrame([*rows, ("a", None), (None, 1)], "metric string, dur_ps long"), block_rows=3).collect()}
-    a, b = got["a"], got["b"]
-    assert [a[c] for c in ("count", "sum", "mean", "min", "max", "q25", "median", "q75", "variance")] == [4, 10, 2.5, 1, 4, 2, 3, 4, 1.25]
-    assert [b[c] for c in ("count", "sum", "min", "max", "q25", "median", "q75", "variance")] == [1, 5, 5, 5, 5, 5, 5, 0]
-    for n in range(1, 10):
-        r = got[f"n{n}"]
-        assert [round(r[c] * 1e9) for c in ("q25", "median", "q75")] == [n // 4, n // 2, n * 3 // 4]
+    rng = random.Random(11)
+    lists = {f"m{k}": [rng.randrange(1, 10**13) for _ in range(n)] for k, n in enumerate((*range(1, 14), 200))}
+    rows = [(m, v) for m, some in lists.items() for v in some] + [("m3", None), (None, 77)]
+    got = {r["metric"]: r for r in statistics.summarize(spark.createDataFrame(rows, "metric string, dur_ps long"), block_rows=9).collect()}
+    assert set(got) == set(lists)
+    for m, some in lists.items():
+        s, n = [x / 1e12 for x in sorted(some)], len(some)
+        expected = [n, sum(s), sum(s) / n, s[0], s[-1], s[n // 4], s[n // 2], s[n * 3 // 4], sum((x - sum(s) / n) ** 2 for x in s) / n]
+        assert [got[m][c] for c in ("count", "sum", "mean", "min", "max", "q25", "median", "q75", "variance")] == pytest.approx(expected)
 
 
 def test_report_of_nothing_and_something(spark):
