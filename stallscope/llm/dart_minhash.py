@@ -13,9 +13,12 @@ Texts that are equal are first reduced to one. Bands of the signature are joined
 band are a group; it is cut into blocks of bounded size and bytes, each of which also has the group's
 first text. Exact similarities are found inside a block, which sends a spanning forest of its links, not
 its pairs, and the links of all blocks are connected. That joins a group of near copies at the cost of its
-members alone. Where a group of several blocks is then still of more than one class, all its texts outside its
-largest class are compared with all its texts of other classes, in pairs of blocks, so that no link is lost.
-Only texts that met are read again and shuffled.
+members alone. Where a group of several blocks is then still of more than one class, its texts outside its
+largest class are compared with its texts of other classes, in pairs of blocks, so that no link is lost. But first
+those are left out that cannot link with another class: shingles are ordered from rare to common, and two similar texts
+share one among the first of both, up to the weight that similarity may leave out (``leading``). So pages that share
+a template and differ in a ninth of their shingles or more meet no more, however many they are. Only texts that met are
+read again and shuffled.
 
 Defined results: null texts and texts without a word link with nothing and stay (class_id = doc_id);
 rows with equal doc_id count as one document that has all of their texts; rows without a doc_id link
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, join_hot, shuffle_partitions, small, table, whole_runs, written
+from .common import connected_components, dropped, join_hot, shuffle_partitions, small, summed_arrays, table, whole_runs, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -211,6 +214,75 @@ def _links_of_units(texts: DataFrame, met: DataFrame, similarity: float, weighte
     return dealt.mapInArrow(linked, "a long, b long")
 
 
+# Buckets of shingles by which common ones are told, at least, at most, and one for so many shingles; a collision costs time and loses nothing.
+LEAST_COUNTED, MOST_COUNTED, SHINGLES_A_BUCKET = 1 << 12, 1 << 22, 16
+
+
+def leading(elements: np.ndarray, weights: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The shingles that come first, from rare to common, of which a text that is as similar and no longer has one, and how many of these a text that is no shorter has one of.
+
+    Of a longer text at least ``similarity`` of the weight is shared, and of a shorter one twice that by 1 + ``similarity``. What
+    comes behind the first shingles of either weighs less, so the two share one of the first of both: the earliest
+    that they share is among them in the one whose first ones end earlier, and so in the other as well.
+    """
+    order = np.lexsort((elements, counts[(elements % np.uint64(len(counts))).astype(np.int64)]))
+    behind = weights.sum() - np.cumsum(weights[order])
+    longer, shorter = (int(np.searchsorted(-behind, -(share * weights.sum() - 1e-6), side="right")) + 1 for share in (similarity, 2 * similarity / (1 + similarity)))
+    return elements[order][:longer], shorter
+
+
+def _may_link(texts: DataFrame, ids: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """The ids of ``ids`` (id, class) whose texts can be similar to one of another class."""
+    spark = texts.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                found = [weighted_set(t, weighted) for t in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["id", "class", "elements", "weights"])
+
+    held = texts.join(small(ids), "id").select("id", "class", "text").mapInArrow(sets, "id long, class long, elements binary, weights binary")
+    held = written(held, "near-sets")
+
+    n = (held.agg(F.sum(F.octet_length("elements").cast("long"))).first()[0] or 0) // 8
+    buckets = min(MOST_COUNTED, max(LEAST_COUNTED, 1 << (n // SHINGLES_A_BUCKET).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = np.concatenate([np.frombuffer(e.as_buffer(), np.uint64) for e in batch.column(0).slice(at, 500)])
+                total += np.bincount((some % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["chunk", "values"])
+
+    counts = summed_arrays(held.select("elements").mapInArrow(count, "chunk int, values binary")).get(0, np.zeros(buckets))
+    sent = spark.sparkContext.broadcast(counts.astype(np.float32))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, batch.num_rows, 500):
+                some = range(at, min(at + 500, batch.num_rows))
+                sets = [(np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[k].as_buffer(), np.float64)) for k in some]
+                found = [leading(e, w, sent.value, similarity) if len(e) else (e, 0) for e, w in sets]
+                sizes = [len(e) for e, _ in found]
+                lead = np.concatenate([np.arange(len(e)) < n for e, n in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e for e, _ in found]).view(np.int64)), pa.array(np.repeat(ids[some.start : some.stop], sizes)), pa.array(np.repeat(classes[some.start : some.stop], sizes)), pa.array(lead)], names=["element", "id", "class", "lead"])
+
+    rows = written(held.mapInArrow(first, "element long, id long, class long, lead boolean"), "near-leading")
+    own = F.when(F.col("lead"), F.col("class"))
+    by = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min(own).alias("lead_low"), F.max(own).alias("lead_high"))
+    # Where two classes meet at a shingle, one of them has it among those of a shorter text.
+    by = written(by.where("low <> high and lead_low is not null"), "near-meeting")
+    differ = (F.col("lead_low") != F.col("class")) | (F.col("lead_high") != F.col("class")) | F.col("lead")
+    out = written(join_hot(rows, by, ["element"], "n").where(differ).select("id").distinct(), "near-able")
+    sent.unpersist()
+    dropped(held, rows, by)
+    return out
+
+
 def near_duplicate_links(texts: DataFrame, members: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, weighted: bool = True) -> DataFrame:
     """Links (a, b) between the ids of ``members`` (id, size, band, hash), whose texts ``texts`` (id, text) holds."""
     group = ["band", "hash"]
@@ -232,13 +304,23 @@ def near_duplicate_links(texts: DataFrame, members: DataFrame, similarity: float
         return links
     classes = connected_components(links, "near-classes")
     wide = written(wide.join(classes, "id", "left").select("id", *group, F.coalesce("component_id", "id").alias("class")), "near-wide")
-    held = wide.groupBy(*group, "class").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy(*group).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("most"))
-    ways = held.where("classes > 1").select(*group, "n", F.ceil(F.col("n") / block).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("apart"), F.col("most.class").alias("main"))
-    ways = written(ways, "near-ways")
+
+    def ways_of(some: DataFrame) -> DataFrame:
+        """Groups of several classes, with the largest class and the blocks of all their texts and of those outside it."""
+        held = some.groupBy(*group, "class").agg(F.count(F.lit(1)).alias("n"))
+        held = held.groupBy(*group).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("most"))
+        return written(held.where("classes > 1").select(*group, "n", F.ceil(F.col("n") / block).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("apart"), F.col("most.class").alias("main")), "near-ways")
+
+    ways = ways_of(wide)
+    if ways.isEmpty():
+        return links
+    able = _may_link(texts, written(join_hot(wide, ways, group, "n").select("id", "class").distinct(), "near-ids"), similarity, weighted)
+    left_open = written(wide.join(small(able), "id", "left_semi"), "near-open")
+    dropped(ways)
+    ways = ways_of(left_open)
     if ways.isEmpty():
         return links
-    left_open = join_hot(wide, ways, group, "n")
+    left_open = join_hot(left_open, ways, group, "n")
     among = F.pmod(F.xxhash64("id", "hash"), F.col("all")).cast("int")
     aside = F.pmod(F.xxhash64("hash", "id"), F.col("apart")).cast("int")
     unit = F.xxhash64(*group, "i", "j").alias("unit")

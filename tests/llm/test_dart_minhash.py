@@ -3,7 +3,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stallscope.llm.dart_minhash import near_duplicate_links, near_duplicates, op6_dart_minhash, shingles, signature
+from stallscope.llm import dart_minhash
+from stallscope.llm.dart_minhash import leading, near_duplicate_links, near_duplicates, op6_dart_minhash, shingles, signature
 from tests.llm import edges
 
 
@@ -90,6 +91,51 @@ def test_wide_groups_that_stay_open_are_compared_in_full(spark):
     assert {i: root(i) for i in parent} == brute(rows)
 
 
+def test_pages_of_one_template_do_not_meet_each_other(spark, monkeypatch):
+    """Pages of one band group that share five sixths of their words and are no duplicates, with some that are: the first meet nobody, the others are all found."""
+    rng = np.random.default_rng(3)
+    common = [f"t{j}" for j in range(300)]
+    rows = []
+    for k in range(1500):
+        own = [f"p{k}w{j}" for j in range(int(rng.integers(50, 80)))]
+        rows.append((k, " ".join([*common, *own])))
+        if k % 150 == 0:
+            rows.append((10_000 + k, " ".join([*common, *own[:-1], "changed"])))
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    members = texts.selectExpr("id", "cast(length(text) as long) size", "0 band", "0L hash")
+    held, whole = {}, dart_minhash.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dart_minhash, "written", counted)
+    links = {(min(r), max(r)) for r in map(tuple, near_duplicate_links(texts, members).collect())}
+    assert links == {(k, 10_000 + k) for k in range(0, 1500, 150)}
+    # A page leads with less than a third of its shingles; none but the ten pairs may go on.
+    assert held["near-able"] <= 20 and held.get("near-pairs", 0) <= 100
+    assert held["near-leading"] <= 120 * len(rows) and held["near-sets"] == len(rows)
+
+
+def test_leading_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        pool = rng.integers(0, 1 << 62, int(rng.integers(2, 60))).astype(np.uint64)
+        counts = rng.integers(0, 4, 16).astype(np.float32)
+        sets = []
+        for _ in range(2):
+            kept = np.unique(pool[rng.random(len(pool)) < 0.95])
+            sets.append((kept, rng.choice([1.0, 1.0, 1.0, 2.0, 5.0], len(kept)) if rng.random() < 0.3 else np.ones(len(kept))))
+        (a, v), (b, w) = sorted(sets, key=lambda x: x[1].sum())
+        if not len(a) or not len(b):
+            continue
+        shared = sum(min(v[list(a).index(e)], w[list(b).index(e)]) for e in set(a.tolist()) & set(b.tolist()))
+        if shared >= 0.8 * (v.sum() + w.sum() - shared) - 1e-9:
+            (first, n), (other, _) = leading(a, v, counts, 0.8), leading(b, w, counts, 0.8)
+            assert set(first[:n].tolist()) & set(other.tolist())
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose similarity is 0.8 to 0.83: at least 97 of 100 are found."""
     rng = np.random.default_rng(5)
