@@ -1,8 +1,9 @@
 """Benchmark items inside documents (operator 7), by functions of Spark SQL alone.
 
 Items and documents are sets of shingles of five words (lower case; white space separates words; a
-shorter text is one shingle, so an item of one to four words is found only in documents that are as short). An item of q shingles is contained in a document to the degree of the
-share of its shingles that the document has.
+shorter text is one shingle). Where items of one to four words exist, documents also have the shingles of just these lengths, so
+that such an item is found wherever its words stand in a row. An item of q shingles is contained in a document to the
+degree of the share of its shingles that the document has.
 
 Items are partitioned by size: class c holds those of 2^c to 2^(c+1) - 1 shingles. The signature of an
 item is its k least shingle hashes (bottom-k MinHash), k being set by its class: one more than the most
@@ -47,6 +48,20 @@ def with_shingles(df: DataFrame, text: str, words: int, hashed: bool) -> DataFra
     return rows.select(*kept, s.alias("s"))
 
 
+def short_lengths(items: DataFrame, words: int) -> list[int]:
+    """The numbers of words, below ``words``, that items have."""
+    n = F.size(words_of(F.col("text")))
+    return sorted(r[0] for r in items.select(n.alias("n")).where(F.col("n").between(1, words - 1)).distinct().collect())
+
+
+def document_shingles(docs: DataFrame, words: int, short: list[int], hashed: bool) -> DataFrame:
+    """(doc_id, s): shingles of ``words`` words and of the lengths ``short``."""
+    rows = with_shingles(docs, "text", words, hashed)
+    for n in short:
+        rows = rows.unionByName(with_shingles(docs, "text", n, hashed))
+    return rows
+
+
 def signatures(items: DataFrame, containment: float = CONTAINMENT, words: int = WORDS) -> DataFrame:
     """(item_id, q, size_class, s): the least hashes of each item's shingles."""
     hashes = with_shingles(items.select("item_id", "text"), "text", words, hashed=True).distinct()
@@ -63,13 +78,14 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     items = items.select("item_id", "text").where("item_id is not null")
     signed = written(signatures(items, containment, words), "items-signed")
-    places = with_shingles(docs, "text", words, hashed=True)
+    short = short_lengths(items, words)
+    places = document_shingles(docs, words, short, hashed=True)
     met = places.join(small(signed.select("item_id", "s")), "s").select("doc_id", "item_id").distinct()
     met = written(met, "items-met")
     # Verification reads again the documents that were met, and no others.
     ids = met.select("doc_id").distinct()
     again = docs.join(small(ids), "doc_id", "left_semi")
-    in_docs = with_shingles(again, "text", words, hashed=False).distinct()
+    in_docs = document_shingles(again, words, short, hashed=False).distinct()
     in_items = written(with_shingles(items, "text", words, hashed=False).distinct(), "items-shingles")
     sizes = in_items.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     shared = in_docs.join(small(in_items), "s").join(met, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
@@ -96,8 +112,15 @@ def shingles_sql(source: str, key: str, words: int = WORDS) -> str:
 from (select {key}, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) i from (select {key}, {_LIST} w from {source} where {key} is not null and text is not null) where len(w) > 0)"""
 
 
+def short_shingles_sql(source: str, key: str, words: int = WORDS) -> str:
+    """Distinct (key, s) of the runs of each number of words, below ``words``, that an item has."""
+    return f"""select distinct {key}, array_to_string(w[i : i + n - 1], ' ') s
+from (select {key}, w, n, unnest(range(1, len(w) - n + 2)) i from (select {key}, {_LIST} w from {source} where {key} is not null and text is not null) join
+  (select distinct len({_LIST}) n from benchmark where item_id is not null and text is not null) on len(w) >= n and n between 1 and {words - 1})"""
+
+
 def oracle(docs: str = "documents") -> str:
-    return f"""with d as ({shingles_sql(docs, 'doc_id')}), q as ({shingles_sql('benchmark', 'item_id')}),
+    return f"""with d as ({shingles_sql(docs, 'doc_id')} union {short_shingles_sql(docs, 'doc_id')}), q as ({shingles_sql('benchmark', 'item_id')}),
 sizes as (select item_id, count(*) n_shingles from q group by item_id),
 shared as (select doc_id, item_id, count(*) n_shared from d join q using (s) group by doc_id, item_id)
 select doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles containment from shared join sizes using (item_id) where n_shared >= n_shingles * {CONTAINMENT} - 1e-9"""

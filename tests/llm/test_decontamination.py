@@ -1,3 +1,5 @@
+import pyarrow.parquet as pq
+
 from stallscope.llm import common
 from stallscope.llm import decontamination as d
 from tests.llm import edges
@@ -31,6 +33,21 @@ def test_changed_items_down_to_the_threshold(spark):
     assert len(expected) > 20
 
 
+def test_short_items_are_found_inside_long_documents(spark, tmp_path):
+    around = " ".join(f"w{k}" for k in range(200))
+    docs = [(1, f"{around} Alpha beta {around}"), (2, f"{around} beta alpha {around}"), (3, "alpha beta"), (4, "gamma"), (5, f"{around}\tgamma"), (6, "alpha beta gamma delta"), (7, "x alpha beta"), (8, None), (9, f"{around} one two three four five {around}")]
+    items = [(1, "alpha beta"), (2, "Gamma"), (3, "alpha beta gamma delta"), (4, "one two three four five"), (5, "two three four"), (6, "absent")]
+    folder = edges.saved(spark.createDataFrame(docs, "doc_id long, text string"), tmp_path)
+    edges.saved(spark.createDataFrame(items, "item_id long, text string"), tmp_path, "benchmark")
+    got = {(r.doc_id, r.item_id) for r in d.op7_contained_items(spark, folder).collect()}
+    assert got == {(1, 1), (3, 1), (6, 1), (7, 1), (4, 2), (5, 2), (6, 2), (6, 3), (9, 4), (9, 5)}
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for name in ("documents", "benchmark"):
+        pq.write_table(pq.read_table(f"{folder}/{name}.parquet"), f"{flat}/{name}.parquet")
+    assert assert_same(d.op7_contained_items(spark, str(flat)), d.oracle(), str(flat)) == len(got)
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = edges.documents(spark)
     folder = edges.saved(docs, tmp_path)
