@@ -7,13 +7,15 @@ repetitions give nothing back, and a match starts only where a run of its charac
 Bootstrapping: instances are the base spans and, elsewhere, tokens (between white space) that hold a
 digit or an @, of which what is left of the last run of letters, digits and ``._@+-`` is the label. Base spans are seeds
 of their kind. A fifth kind, ``secret`` (keys, passwords, access tokens), has no base spans; its seeds are runs of
-16 to 512 letters and digits that change between the two at least three times, or twice without a small letter. What stands around an
+16 letters and digits or more that change between the two at least three times, or twice without a small letter. Such a
+run may as well be a digest or the number of a model, so by itself it is no span: like any other instance it becomes one
+where a pattern around it is sure. What stands around an
 instance are its lexical patterns: the word before, two words before, the words on both sides, the label,
 and the first four letters with the length. Digits in them count as equal and words of any length count. Instances and
 patterns are a graph on which scores are iterated, kind by kind, over the instances of a form that the kind can
 have: a pattern's confidence is the mean score of its distinct instances, damped so that it needs
-several; an instance that is not a seed scores the best confidence among its patterns. Secret seeds, and instances
-of patterns of high confidence, become spans of that kind, unless they overlap a base span.
+several; an instance that is not a seed scores the best confidence among its patterns. Instances
+of patterns of high confidence become spans of that kind, unless they overlap a base span.
 
 Spans are in code points, the end exclusive. Defined results: null texts count as empty and have no
 span; every row gives one row, whatever its doc_id; an empty table gives no row; other columns are not
@@ -121,7 +123,7 @@ def _forms(kind: str, hit: Column) -> Column:
         "ip": hit.rlike(r"^[0-9]++(?:[.:-][0-9]++){3}"),
         "card": (letters == 0) & digits.between(12, 19),
         "phone": (letters == 0) & digits.between(7, 15),
-        "secret": hit.rlike("^[A-Za-z0-9_-]++$") & (letters > 0) & (digits > 0) & F.length(hit).between(8, 512),
+        "secret": hit.rlike("^[A-Za-z0-9_-]++$") & (letters > 0) & (digits > 0) & (F.length(hit) >= 8),
     }[kind]
 
 
@@ -142,7 +144,7 @@ def _instances(found: DataFrame) -> DataFrame:
     label = F.when(~is_base, F.expr("substring(hit, 1, length(hit) - tail - length(run))"))
     seen = seen.withColumn("value", value).withColumn("label", label).withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).where("value <> ''")
     changes = F.length(F.regexp_replace("value", "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", " ")) - F.length("value")
-    secret = F.col("value").rlike("^[A-Za-z0-9_-]{16,512}$") & ((changes >= 3) | (changes == 2) & ~F.col("value").rlike("[a-z]"))
+    secret = F.col("value").rlike("^[A-Za-z0-9_-]{16,}+$") & ((changes >= 3) | (changes == 2) & ~F.col("value").rlike("[a-z]"))
     seed = F.when(is_base, F.col("kind")).when(secret, "secret")
     kinds = F.filter(F.array(*[F.when(_forms(k, F.col("value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
     kinds = F.when(seed.isNotNull(), F.array(seed)).otherwise(kinds)
@@ -185,10 +187,9 @@ def find_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
     found = written(matches.where(ok), "pii-matches")
     base = found.where(F.col("kind") != "token").select("row", "kind", "start", "end", F.lit(True).alias("is_base"))
     instances = written(_instances(found), "pii-instances")
-    secrets = instances.where("seed = 'secret'").select("row", F.col("seed").alias("kind"), "start", "end", F.lit(False).alias("is_base"))
-    unseen = instances.where("seed is null").select("row", "start", "end", F.explode("kinds").alias("kind"), "patterns").select("row", "start", "end", "kind", F.explode("patterns").alias("pattern"))
+    unseen = instances.where("seed is null or seed = 'secret'").select("row", "start", "end", F.explode("kinds").alias("kind"), "patterns").select("row", "start", "end", "kind", F.explode("patterns").alias("pattern"))
     new = unseen.join(small(induced(instances)), ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-    spans = base.unionByName(secrets).unionByName(new.select("row", "best.kind", "start", "end", F.lit(False).alias("is_base")))
+    spans = base.unionByName(new.select("row", "best.kind", "start", "end", F.lit(False).alias("is_base")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     spans = spans.select("row", F.struct("start", rank.alias("rank"), "kind", "end", "is_base").alias("span"), *[F.lit(None).cast(found.schema[k].dataType).alias(k) for k in keys])
     # Every row of ``docs`` has a match or the row of nulls, and so its keys, here.

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from stallscope.llm import personal_data as pii
 from stallscope.llm.personal_data import find_spans, op8_personal_data, redact
 from tests.llm import edges
 
@@ -117,6 +120,35 @@ def test_secrets_that_only_their_context_tells(spark):
     assert got[202] == [] and got[203] == [("secret", 70_010, 70_410)]
 
 
+def test_long_mixed_runs_without_a_context_are_no_secrets(spark):
+    rng = random.Random(9)
+    digest = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(k, f"text {k} says nothing of it") for k in range(50)]
+    rows += [(100, f"fixed in {digest} last week"), (101, "the model A1B2C3D4E5F6G7H8 came out"), (102, "id 550e8400-e29b-41d4-a716-446655440000 was given"), (103, "of covid19-b117-c37-variant2 they wrote")]
+    assert all(not r.spans for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect())
+    # In a context that seeds have made sure of, the same run is one, whatever its length.
+    rows += [(200 + k, f"a{k} password={''.join(rng.choice('0123456789abcdef') for _ in range(30))} b") for k in range(30)]
+    rows += [(300, f"x password={digest} y"), (301, "x password=" + "q7z" * 400 + " y")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got[300] == [("secret", 11, 51)] and got[301] == [("secret", 11, 1211)]
+    assert not any(got[k] for k in (100, 101, 102, 103))
+
+
+def test_hidden_seeds_come_back_through_patterns(spark):
+    """An eighth of the secrets of the table are hidden from the seeds: patterns of the others find them, and of instances that are no secrets few."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = pii._matches(docs, ["doc_id"])
+    found = pii.written(found.where(F.coalesce(pii._valid(F.col("kind"), F.col("hit")), F.lit(True))), "test-matches")
+    instances = pii._instances(found)
+    hidden = F.coalesce((F.col("seed") == "secret") & (F.pmod(F.xxhash64("instance"), F.lit(8)) == 0), F.lit(False))
+    shown = pii.written(instances.withColumn("hidden", hidden).withColumn("seed", F.when(~hidden, F.col("seed"))), "test-instances")
+    patterns = pii.induced(shown).where("kind = 'secret'").select("pattern")
+    back = shown.where("seed is null and array_contains(kinds, 'secret')").select("row", "start", "hidden", F.explode("patterns").alias("pattern")).join(F.broadcast(patterns), "pattern").select("row", "start", "hidden").distinct()
+    n = shown.where("hidden").count()
+    recalled, others = back.where("hidden").count(), back.where("not hidden").count()
+    assert n > 10 and recalled >= 0.95 * n and recalled >= 0.95 * (recalled + others)
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd now", 1), (1, "none here", 2), (2, None, 3), (3, "\U0001f600 10.0.0.1, 4111 1111 1111 1111", 4), (None, "x@y.zz", 5), (None, "x@y.zz", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans long")
