@@ -11,7 +11,9 @@ the text, and neither they nor their tags score, so that the text goes on behind
 and the title are not even read, and a tag that never ends takes what follows with it, as in a browser. An element ends where a browser ends it: at its end tag, at its parent's, or at a
 start tag that implies its end (``p``, ``li``, ``td`` and the like); the head needs no end. A class, id or role tells an element without
 content only if it names the element itself (``site-header``, ``cookie-bar``), not a layout (``no-sidebar``, ``with-nav``),
-a part of the content (``article-header``) or a heading, and ids of common words inside the content are anchors. The labels only weigh; the scan alone decides where the text begins and ends.
+a part of the content (``article-header``) or a heading, and ids of common words inside the content are anchors. A form outside
+the content that holds paragraphs, headings or the like and more than ``WORDS_A_FIELD`` words for each field is a frame around the page. An article inside an element without content belongs to that,
+unless its end tag is missing. The labels only weigh; the scan alone decides where the text begins and ends.
 
 The text's character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one space. Inline tags do not part words; line breaks and all other tags do.
@@ -97,9 +99,15 @@ _PIECE = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-_MARKED = re.compile(r"\b(?:class|id|role|aria-label|hidden|style)\b", re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++)))?", re.IGNORECASE)
+_MARKED = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+_FIELD = re.compile(r"<(?:select|textarea|button|input(?!(?=[^>]*+)[^>]*?\btype\s*=\s*[\"']?hidden))(?=[\s/>])", re.IGNORECASE)
+_BARE = re.compile(r"<(script|style|select|textarea|button)(?=[\s/>]).*?</\1(?=[\s/>])[^>]*+>|<[^>]*+>", re.IGNORECASE | re.DOTALL)
+_END_OF_FORM = re.compile(r"</form(?=[\s/>])|\Z", re.IGNORECASE)
+_PART = re.compile(r"<(?:p|h[1-6]|article|main|nav|section)(?=[\s/>])", re.IGNORECASE)
+_TAG = re.compile(r"<(/?)([a-z][^\s/>]*+)", re.IGNORECASE)
+WORDS_A_FIELD = 20  # a form with more words for each of its fields holds a page, not questions
 _BREAK = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -117,6 +125,24 @@ def _named(words: list[str], anchor: bool) -> bool:
     return words[last - 1] not in _PLACED or all(w in _PAGE or w in _MARKS for w in words[: last - 1])
 
 
+def _attributes(attributes: str) -> dict[str, str]:
+    """Values by name, the first of each; of class, id, role and what hides elements."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name in ("class", "id", "role", "hidden", "style", "aria-hidden"):
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(said: dict[str, str]) -> bool:
+    """Whether an element is not shown; a class that hides it only on some screens does not."""
+    if "hidden" in said and said["hidden"].lower() != "false" or said.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(said.get("style", "")):
+        return True
+    classes = said.get("class", "").lower().split()
+    return "hidden" in classes and not any(":" in c for c in classes)
+
+
 def _no_content(name: str, attributes: str, in_content: bool) -> bool:
     if name in _ASIDE:
         return True
@@ -124,18 +150,41 @@ def _no_content(name: str, attributes: str, in_content: bool) -> bool:
         return True
     if name in _NEVER or not attributes or not _MARKED.search(attributes):
         return False
-    if _UNSEEN.search(attributes):
+    said = _attributes(attributes)
+    if _hidden(said):
         return True
     found = False
-    for m in _ATTRIBUTE.finditer(attributes):
-        anchor = m[1].lower() == "id" and (in_content or name == "section")
-        for value in (m[2] or m[3] or m[4] or "").split():
+    for kind in ("class", "id", "role"):
+        anchor = kind == "id" and (in_content or name == "section")
+        for value in said.get(kind, "").split():
             if value.lower() in _CONTENT:
                 return False
             found = found or _named([w for w in _BREAK.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()) if w], anchor)
     return found
 
 
+def _holds_page(page: str, start: int) -> bool:
+    """Whether the form that begins before ``start`` is a frame around content: it has parts of a page in it, and few fields for its words."""
+    inner = page[start : _END_OF_FORM.search(page, start).start()]
+    if not _PART.search(inner):
+        return False
+    fields = len(_FIELD.findall(inner))
+    return len(_BARE.sub(" ", inner).split()) > WORDS_A_FIELD * fields
+
+
+def _ended(page: str) -> set[int]:
+    """Where the start tags stand that have an end tag of their own: each end tag takes the last open one of its name."""
+    open_: dict[str, list[int]] = {}
+    out = set()
+    for m in _TAG.finditer(page):
+        held = open_.setdefault(m[2].lower(), [])
+        if not m[1]:
+            held.append(m.start())
+        elif held:
+            out.add(held.pop())
+    return out
+
+
 class _Open:
     """The open elements of a page, outermost first."""
 
@@ -186,6 +235,8 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     at = 0
     tree = _Open()
     articles, mains = tree.at.setdefault("article", []), tree.at.setdefault("main", [])
+    ended: set[int] | None = None
+    began = -1  # where the tag of the open element without content stands
     out, out_content, unread = -1, False, False  # place of the open element without content, whether that is in content, and whether it is embedded
     for m in _PIECE.finditer(page):
         if m.start() > at and not unread:
@@ -207,10 +258,14 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             if name in FOREIGN and attributes.endswith("/"):
                 continue
             if name in ("article", "main"):
-                if not out_content:
-                    out, unread = -1, False  # the end of what was open is missing: content begins
-            elif out < 0 and name not in _VOID and (name in _EMBEDDED or _no_content(name, attributes, content)):
-                out, out_content, unread = len(tree.names), content, name in _EMBEDDED
+                if out >= 0 and not out_content:
+                    ended = _ended(page) if ended is None else ended
+                    if began not in ended:
+                        out, unread = -1, False  # the end of what was open is missing: content begins
+            elif name == "form" and tree.at.get("form"):
+                continue  # forms do not nest
+            elif out < 0 and name not in _VOID and (name in _EMBEDDED or _no_content(name, attributes, content)) and not (name == "form" and not content and _holds_page(page, m.end())):
+                out, out_content, unread, began = len(tree.names), content, name in _EMBEDDED, m.start()
             if name not in _VOID:
                 tree.start(name)
             outside = out >= 0

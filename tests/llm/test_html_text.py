@@ -81,6 +81,34 @@ def test_elements_without_end_tags():
     assert extract("<section><td>" + "<div><b>" * 60_000 + "</section></i>" * 60_000 + text, WEIGHTS) == text
 
 
+def test_forms_around_pages_and_attributes_that_only_look_like_marks():
+    text = "Words of the content that must not be lost, " * 5
+    text = " ".join(text.split())
+    page = f"<nav>menu here</nav><div class=content><h1>Title</h1><p>{text}</p></div><footer>the foot</footer>"
+    for form in ("<form id=aspnetForm method=post action='./'><input type=hidden name=__VIEWSTATE value='x'>", "<form>", "<form><input type='text' name=q>"):
+        assert extract(f"<body>{form}{page}</form></body>", WEIGHTS) in (text, f"Title {text}"), form  # as the scan weighs the heading
+        assert extract(f"<body>{form}<p>{text}</p>", WEIGHTS) == text
+    questions = "<form>Your name <input name=a> your mail <input name=b> what you say <textarea>none</textarea><button>Send it off</button></form>"
+    assert extract(f"<article><p>{text}</p>{questions}<p>{text}</p></article>", WEIGHTS) == f"{text} {text}"
+    for start in ("a title='a hidden gem'", "p title='the hidden valley'", "p data-id='comments'", "p data-role=banner", "div class='flex hidden lg:flex'", "p aria-label='style: hidden; display:none'", "p hidden=false", "p data-hidden"):
+        tag = start.split()[0]
+        assert extract(f"<p>{text}</p><{start}>kept as well</{tag}>", WEIGHTS).endswith("kept as well"), start
+    for start in ("p hidden", "div style='color:red; display : none'", "div aria-hidden=true", "div class=hidden", "p HIDDEN=''", "div id='comments"):
+        tag = start.split()[0]
+        assert "gone" not in extract(f"<p>{text}</p><{start}>gone</{tag}>", WEIGHTS), start
+
+
+def test_articles_inside_what_is_no_content_belong_to_it():
+    text = " ".join("Words of the content that must not be lost" for _ in range(4))
+    teaser = "<article><h3>Read this too</h3><p>a teaser</p></article>"
+    for start, end in (("<aside>", "</aside>"), ("<div class=sidebar><div>", "</div></div>"), ("<footer>", "</footer>"), ("<section class=comments>", "</section>")):
+        assert extract(f"<main><p>{text}</p></main>{start}{teaser}{teaser}{end}", WEIGHTS) == text, start
+        assert extract(f"<p>{text}</p>{start}{teaser}{end}<p>{text}</p>", WEIGHTS) == f"{text} {text}", start
+    assert extract(f"<aside>never closed <article><p>{text}</p></article>", WEIGHTS) == text
+    assert extract("<aside><article>" * 20_000 + "</aside>" + text, WEIGHTS) == ""  # in the second aside, which has no end
+    assert extract("<form>" * 40_000 + "<p>" + text, WEIGHTS) == text
+
+
 def test_broken_markup():
     assert extract(None, WEIGHTS) == extract("", WEIGHTS) == extract("<p></p>", WEIGHTS) == ""
     assert extract("just text", WEIGHTS) == "just text"
