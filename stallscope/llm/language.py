@@ -9,27 +9,31 @@ the distinct words and sends one vector of piece counts per language.
 Probabilities of words too long for plain floating point are kept as one factor per place, so no word is cut.
 
 Words are runs of letters (what Unicode calls so: no digits, fractions or other signs), in lower case. A
-text that is null or has no letter is ``und`` with score 0. Of more than ``MOST_LANGUAGES`` languages those with the most
-training texts are learned, which bounds the table of piece probabilities that every task gets.
+text that is null or has no letter is ``und`` with score 0. Languages are learned and scored ``TOGETHER`` at a
+time, which bounds the table of piece probabilities that a task gets; with more of them texts pass by one table after the
+other and keep the best language and the sum so far, so the result is that of one table of all.
 Ties go to the language that sorts first. Without any training text all texts are ``und``. Rows with
 equal doc_id are predicted each on its own. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, vocabulary, written
+from .common import dropped, id_remainder, table, vocabulary, written
 
-MOST_LANGUAGES = 256
+TOGETHER = 256  # languages
+WORD_BYTES = 64 << 20  # of scores of words that a worker keeps
 SPAN = 4096  # places of a long word that are worked on at a time
 FLOOR = 0.1  # added to each expected count
 ROUNDS = 2
@@ -217,19 +221,24 @@ def _segment_long(pieces: Pieces, words: np.ndarray, n: int, probability: np.nda
     return logs
 
 
-def train(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and log of piece probabilities (piece x language), from all rows of (text, lang).
+def languages(docs: DataFrame) -> list[str]:
+    """All languages, in order; the driver holds their names."""
+    return sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
+
+
+def train(docs: DataFrame, path: str, rounds: int = ROUNDS, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or some) and log of piece probabilities (piece x language), from all rows of (text, lang).
 
     What reaches the driver is one number per piece and language.
     """
-    common = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    langs = sorted(r["lang"] for r in common.collect())
+    langs = languages(docs) if langs is None else langs
     size = Pieces(path).size
     probability = np.full((size, max(1, len(langs))), 1 / size)
     if langs:
         words = written(_word_counts(docs, langs), "language-words")
         for _ in range(rounds):
             probability = _round(words, path, probability)
+        dropped(words)
     return langs, probability
 
 
@@ -295,8 +304,14 @@ def _round(words: DataFrame, path: str, probability: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str) -> DataFrame:
     """Adds lang_pred and score, the posterior of that language, to every row of (doc_id, text, ...)."""
+    return _scored(docs, langs, probability, path).withColumn("score", F.when(F.col("_sum") == -math.inf, 0.0).otherwise(F.exp(F.col("_best") - F.col("_sum")))).drop("text", "_best", "_sum")
+
+
+def _scored(docs: DataFrame, langs: list[str], probability: np.ndarray, path: str) -> DataFrame:
+    """Adds lang_pred, the logarithm of its probability (_best) and of the sum of all (_sum), or improves those that are there by more languages."""
     sent = docs.sparkSession.sparkContext.broadcast(probability)
-    model = uuid.uuid4().hex
+    model, again = uuid.uuid4().hex, "lang_pred" in docs.columns
+    added = ["lang_pred", "_best", "_sum"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.shared(path)
@@ -309,7 +324,7 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: st
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 split = [words_of(t) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
-                if len(known) > 1_000_000 or letters > _LETTERS:
+                if len(known) > 1_000_000 or logs.nbytes > WORD_BYTES or letters > _LETTERS:
                     known, logs, letters = {}, logs[:0], 0
                 fresh = list(set().union(*split).difference(known))
                 letters += sum(map(len, fresh))
@@ -317,26 +332,37 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, path: st
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     logs = np.concatenate([logs, segment(pieces, fresh, sent.value)[0]])
                 _seen_words[model] = known, logs
-                names, scores = [], []
-                for words in split:
-                    if not words or not langs:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    s = logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                    best = int(s.argmax())
-                    names.append(langs[best])
-                    scores.append(float(1 / np.exp(s - s[best]).sum()))
-                out = some.drop_columns(["text"])
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*out.schema.names, "lang_pred", "score"])
-
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(label, f"{rest}, lang_pred string, score double")
+                before = zip(*(some.column(some.schema.get_field_index(c)).to_pylist() for c in added), strict=True) if again else repeat((UNKNOWN, -math.inf, -math.inf))
+                names, bests, sums = [], [], []
+                for words, (name, best, total) in zip(split, before, strict=False):
+                    if words and langs:
+                        s = logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                        at_best = int(s.argmax())
+                        total = float(np.logaddexp(total, s[at_best] + np.log(np.exp(s - s[at_best]).sum())))
+                        if s[at_best] > best:  # of equal ones the earlier language stays
+                            name, best = langs[at_best], float(s[at_best])
+                    names.append(name)
+                    bests.append(best)
+                    sums.append(total)
+                out = some.drop_columns(added) if again else some
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names, pa.string()), pa.array(bests, pa.float64()), pa.array(sums, pa.float64())], names=[*out.schema.names, *added])
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in added)
+    return docs.mapInArrow(label, f"{rest}, lang_pred string, _best double, _sum double")
+
+
+def identify(docs: DataFrame, learned: DataFrame, path: str, together: int = TOGETHER) -> DataFrame:
+    """Rows of (doc_id, text, ...) with lang_pred and score by the languages of ``learned`` (text, lang), so many at a time."""
+    langs = languages(learned)
+    if len(langs) <= together:
+        return predict(docs, *train(learned, path, langs=langs), path)
+    for at in range(0, len(langs), together):
+        docs = written(_scored(docs, *train(learned, path, langs=langs[at : at + together]), path), "language-scored")
+    return docs.withColumn("score", F.when(F.col("_sum") == -math.inf, 0.0).otherwise(F.exp(F.col("_best") - F.col("_sum")))).drop("text", "_best", "_sum")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
-    langs, probability = train(docs.where(~held_out).select("text", "lang"), path)
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), langs, probability, path)
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), docs.where(~held_out).select("text", "lang"), path)

@@ -3,10 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stallscope.llm.common import vocabulary
 from stallscope.llm import language
-from stallscope.llm.language import Pieces, op2_language, segment, train, words_of
+from stallscope.llm.language import Pieces, identify, op2_language, segment, train, words_of
 from tests.llm import edges
 
 PATH = vocabulary("piece_bpe_32k.model")
@@ -125,6 +126,16 @@ def test_query_is_that_of_plain_loops(spark):
             assert got[i].lang_pred == langs[int(posterior.argmax())] and abs(got[i].score - posterior.max()) < 1e-6
 
 
+def test_languages_in_several_blocks_are_those_of_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    # Many languages: the words of the four, and of a dozen made of a part of their texts.
+    learned = docs.select("text", F.when(F.col("doc_id") % 3 == 0, F.concat("lang", (F.col("doc_id") % 5).cast("string"))).otherwise(F.col("lang")).alias("lang"))
+    one, several = ({r.doc_id: r for r in identify(docs.select("doc_id", "text"), learned, PATH, together=n).collect()} for n in (256, 3))
+    assert one.keys() == several.keys() and len({r.lang_pred for r in one.values()}) > 4
+    for k, r in one.items():
+        assert several[k].lang_pred == r.lang_pred and abs(several[k].score - r.score) < 1e-9
+
+
 def test_awkward_rows(spark, tmp_path):
     got = op2_language(spark, edges.saved(edges.documents(spark), tmp_path)).collect()
     assert len(got) == 12
