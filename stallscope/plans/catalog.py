@@ -321,7 +321,6 @@ def oracle_sql() -> dict[str, str]:
     both = trace + _PAIRS + _GROUPS + _DURATIONS
     names = ", ".join(f"({k}::int, '{name}', '{kind}')" for k, name, kind in _op_rows())
     many = f"with {_MANY}"
-    mates = trace + _PAIRS.split("pairs as (")[0].rstrip().rstrip(",")
     out = {
         "trace_scan": f"{trace} select * from trace",
         "trace_counts_by_op": f"{trace}, dim(op, name, class) as (values {names}) select op, name, class, count(*) n from trace join dim using (op) group by all",
@@ -335,7 +334,7 @@ def oracle_sql() -> dict[str, str]:
         "p2p_unmatched_sends": f"{pairs} select idx, op, ts, pid, src, dst, tag from trace where op in (3,5) and idx not in (select send_idx from pairs)",
         "p2p_unmatched_recvs": f"{pairs} select idx, op, ts, pid, src, dst, tag from trace where op in (4,6) and idx not in (select recv_idx from pairs)",
         "p2p_match_summary": f"{pairs} select count(*) * 2 matched_events, count(*) pairs from pairs",
-        "p2p_match_partner": f"{mates} select idx, case when count(*) over w = 2 then (sum(idx) over w)::bigint - idx else -1 end match_partner from ordered window w as (partition by src, dst, tag, k) union all select idx, -1 from trace where op not in (3,4,5,6)",
+        "p2p_match_partner": f"{pairs} select t.idx, coalesce(a.recv_idx, b.send_idx, -1)::bigint match_partner from trace t left join pairs a on t.idx = a.send_idx left join pairs b on t.idx = b.recv_idx",
         "collective_filter_sorted": f"{trace} select idx, op, ts, pid, root from trace where op between 7 and 19 order by ts, idx",
         "group_expected_size": f"{trace} select idx, op, root, pid, 8::int expected from trace where op between 7 and 19",
         "collective_groups_slot": f"{groups} select op, root, g, idx, pid, ts, end_ts, comm_size, n from groups",
