@@ -37,27 +37,28 @@ def test_whole_query_against_sql(spark):
     assert n == 600 * spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("lang", F.lit(""))).distinct().count()
 
 
-def test_orders_by_hand(spark):
+def test_orders_by_hand(spark, monkeypatch):
+    """All orders, of parts with and without survivors; each set of filters is made once, and nothing stays persisted."""
+    made, edges = [], filter_audit.counted_edges
+
+    def noted(rows, filters, marks):
+        whole = filter_audit._name
+        with monkeypatch.context() as m:
+            m.setattr(filter_audit, "_name", lambda state: made.append(state) or whole(state))
+            return edges(rows, filters, marks)
+
+    monkeypatch.setattr(filter_audit, "counted_edges", noted)
     rng = random.Random(1)
     rows = [(rng.choice(["x", "y", "z"]), {f: rng.random() < 0.4 for f in FILTERS}, rng.random() < 0.5, rng.random() < 0.2) for _ in range(300)]
     rows += [("only", dict.fromkeys(FILTERS, True), True, True)] * 3  # a part without survivors after any step
     df = spark.createDataFrame([(p, *fs.values(), g, t) for p, fs, g, t in rows], "part string, A boolean, B boolean, C boolean, D boolean, E boolean, good boolean, toxic boolean")
     got = audit(df, FILTERS, ("good", "toxic"))
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == by_hand(rows)
+    assert len(made) == len(set(made)) == 2**5 - 1 and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
     one = audit(df.drop("good", "toxic"), ["C"]).collect()
     assert {(r.part, r.step, r.removed, r.unique_fails, r.shapley) for r in one} == {(p, 1, *[sum(fs["C"] for q, fs, *_ in rows if q == p)] * 3) for p in "x y z only".split()}
 
 
-def test_each_set_of_filters_is_made_once_and_nothing_stays_persisted(spark, monkeypatch):
-    made = []
-    monkeypatch.setattr(filter_audit, "_name", lambda state, name=filter_audit._name: made.append(state) or name(state))
-    df = spark.range(50).selectExpr("'p' part", *[f"id % {k + 2} = 0 {f}" for k, f in enumerate(FILTERS)])
-    edges = filter_audit.counted_edges(df, FILTERS, ())
-    assert len(made) == len(set(made)) == 2**5 - 1
-    assert edges.count() == 5 * 2**4
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
-
-
 def test_awkward_rows(spark, tmp_path):
     docs = documents(spark)
     labels = [(5, 1, 0), (5, 0, 1), (6, None, None), (None, 1, 1), (7, 1, 1), (99, 1, 1)]
