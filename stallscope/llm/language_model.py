@@ -1,8 +1,9 @@
 """Scores of whole documents by a gated recurrent language model (operator 9).
 
 Tokens: words between ASCII white space with A-Z in lower case, and one end after each text. Counts of all
-training tokens are gathered over the corpus. The frequent ones (at most ``HEAD``, by a power of two as
-least count) reach the tasks as a table; the others meet their counts in a join.
+training tokens are gathered over the corpus. The ``HEAD`` most frequent ones (of equal counts those first in the order
+of their bytes) reach the tasks as a table; the others, and words of more than ``LONGEST_HEAD_WORD`` bytes, meet their
+counts in a join.
 
 The model is a gated recurrent unit with a class-factored softmax: the most frequent tokens, as many as
 half the root of the number of training tokens and ``MODELLED`` at least, are cut into classes of about
@@ -33,9 +34,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.selection import select_places
 from .common import id_remainder, summed_arrays, table, written
 
 END = b"\n"  # no word holds white space
@@ -106,18 +108,37 @@ class Vocabulary:
         return {w: k for k, w in enumerate(self.words)}
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` words of the greatest counts, of equal counts those first in the order of bytes.
+
+    A border is found by counts of rows in narrowing ranges, first of counts, then, inside the count that is cut, of
+    ever later bytes of the words; so many words of one count cost no task more than others.
+    """
+    taken, left = [], most
+    for key in (-F.col("c"), *(_seven_bytes("word", at) for at in range(1, LONGEST_HEAD_WORD + 1, 7))):
+        if counts.limit(left + 1).count() <= left:
+            break
+        keyed = counts.select(F.lit("all").alias("of"), key.alias("key"))
+        places = keyed.groupBy("of").agg(F.lit("last").alias("name"), F.lit(left - 1).cast("long").alias("place"), F.min("key").alias("low"), F.max("key").alias("high"))
+        border = select_places(keyed, places, "of", "key").first()["key"]
+        taken.append(counts.where(key < border))
+        left -= taken[-1].count()
+        counts = counts.where(key == border)
+    for before in taken:
+        counts = counts.unionByName(before)
+    return counts
+
+
+def _seven_bytes(word: str, at: int) -> Column:
+    """Bytes from the 1-based place on as a number in whose order words are that agree before the place."""
+    some = F.substring(word, at, 7)
+    return F.conv(F.hex(F.rpad(some, 7, b"\0")), 16, 10).cast("long") * 8 + F.octet_length(some)
+
+
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     """From written counts; what reaches the driver is bounded by ``HEAD``."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    sized = counts.where(F.length("word") <= LONGEST_HEAD_WORD)
-    by_power = {r[0]: r[1] for r in sized.groupBy(F.floor(F.log2("c")).cast("int")).count().collect()}
-    least, held = 63, 0
-    for power in sorted(by_power, reverse=True):
-        held += by_power[power]
-        if held > HEAD:
-            break
-        least = power
-    rows = sized.where(F.floor(F.log2("c")).cast("int") >= least).collect()
+    rows = most_frequent(counts.where(F.length("word") <= LONGEST_HEAD_WORD), HEAD).collect()
     rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     return Vocabulary([bytes(r["word"]) for r in rows], [r["c"] for r in rows], total or 0, distinct)
 

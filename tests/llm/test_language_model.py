@@ -159,6 +159,22 @@ def test_small_head_and_rare_words(spark, monkeypatch):
     assert order([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got]) == order(brute(rows))
 
 
+def test_head_is_exact_however_counts_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    flat = [(b"long common prefix %d" % k, 1) for k in range(500)]
+    ties = [(b"a" * n, 3) for n in range(1, 40)] + [(b"a" * n + b"\0", 3) for n in range(40)] + [(b"\xff" * n, 3) for n in range(1, 9)]
+    mixed = [(b"w%d" % k, int(c)) for k, c in enumerate(rng.integers(1, 1 << 40, 200))]
+    monkeypatch.setattr(lm, "LONGEST_HEAD_WORD", 60)
+    for rows in (flat, ties, mixed, flat + ties + mixed, [(b"x" * 61, 9), (b"y" * 60, 1)], []):
+        df = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, c long").repartition(5)
+        fit = sorted(((w, c) for w, c in rows if len(w) <= 60), key=lambda r: (-r[1], r[0]))
+        for most in (1, 37, 300, 5000):
+            monkeypatch.setattr(lm, "HEAD", most)
+            v = lm.vocabulary_of(df)
+            assert list(zip(v.words, v.counts, strict=True)) == fit[:most]
+            assert (v.total, v.distinct) == (sum(c for _, c in rows), len(rows))
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = edges.documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
