@@ -11,8 +11,8 @@ of bounded size, a bucket of several blocks in pairs of blocks. What is shuffled
 vector, the signs of ``SKETCH`` random projections: two vectors go on only if no more signs differ than those of a
 pair at the threshold ever do (in one of some 10,000 such pairs more do). Those left in a block that hang together are a
 cluster, and clusters of equal members that several tables give are compared once. Only then do vectors leave their
-place, once for each cluster, for their exact cosines. A pair counts in the first table that joins it,
-so each link counts once. A cluster sends one count per vector and a spanning forest of its links, never its pairs.
+place, once for each cluster, for their exact cosines. Pairs whose own sketches differ by more are no links there either,
+so that a third vector changes no count, and a pair counts in the first table that it shares, so each link counts once. A cluster sends one count per vector and a spanning forest of its links, never its pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing (n_links 0, component_id = vec_id), and so do rows without a vec_id; vectors of different
@@ -149,9 +149,13 @@ def _clusters(signs: np.ndarray, side: np.ndarray, most: int) -> Iterator[np.nda
         yield left[mine]
 
 
-def _compare(x: np.ndarray, h: np.ndarray, band: int, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Symmetric matrices: links, and those of them that this table and no earlier one has joined."""
-    link = x @ x.T >= cosine
+def _compare(x: np.ndarray, h: np.ndarray, signs: np.ndarray, most: int, band: int, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric matrices: links, and those of them that this table and no earlier one has joined.
+
+    A pair's sketches decide alike in all tables, so one that is a link here was also left by the first table it shares.
+    """
+    s = np.where(np.unpackbits(signs, axis=1), np.float32(1), np.float32(-1))
+    link = (x @ x.T >= cosine) & (s @ s.T >= SKETCH - 2 * most)
     if side[0]:
         link &= side[:, None] != side[None, :]
     np.fill_diagonal(link, False)
@@ -247,7 +251,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
                     continue
                 flat = vector.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 x, _ = unit(flat.reshape(b - a, -1))
-                link, new = _compare(x, buckets(x, cells, tables), int(bands[a]), side[a:b], cosine)
+                link, new = _compare(x, buckets(x, cells, tables), sketch(x), most, int(bands[a]), side[a:b], cosine)
                 links = new @ copies[a:b]
                 out += [(ids[a + k], k1[a + k], k2[a + k], None, int(links[k])) for k in np.flatnonzero(links)]
                 out += [(ids[a + i], None, None, ids[a + j], 0) for i, j in _forest(link)]

@@ -82,6 +82,29 @@ def test_lengths_that_clash_in_a_bucket(spark, monkeypatch):
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=block).collect()} == brute(rows)[0]
 
 
+def test_counts_and_components_agree_when_sketches_part_pairs(spark, monkeypatch):
+    """With few signs allowed to differ many pairs are cut; a vector is in a component of several if and only if it has a link."""
+    monkeypatch.setattr(embeddings, "most_differing", lambda cosine: 9)
+    rng = np.random.default_rng(12)
+    rows = []
+    for group in range(40):
+        base = rng.standard_normal(64)
+        rows += [(20 * group + k, (base + 0.3 * rng.standard_normal(64)).tolist()) for k in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = [i for i, _ in rows], embeddings.unit([v for _, v in rows])[0]
+    s = np.where(np.unpackbits(embeddings.sketch(x), axis=1), 1, -1)
+    link = (x @ x.T >= 0.9) & (s @ s.T >= embeddings.SKETCH - 18)
+    np.fill_diagonal(link, False)
+    assert 0 < link.sum() < 0.5 * ((x @ x.T >= 0.9).sum() - len(x))
+    for block in (8, 2048):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, block=block, recall=0.9999).collect()}
+        assert {i: got[i][0] for i in ids} == dict(zip(ids, link.sum(axis=1).tolist(), strict=True))
+        members = {}
+        for i, (_, c) in got.items():
+            members.setdefault(c, []).append(i)
+        assert all((len(m) > 1) == (got[i][0] > 0) for m in members.values() for i in m)
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(8)
     rows = []
