@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.selection import select_places
-from .common import id_remainder, summed_arrays, table, written
+from .common import dropped, id_remainder, summed_arrays, table, written
 
 END = b"\n"  # no word holds white space
 SMOOTHING = 0.1
@@ -115,15 +115,22 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     ever later bytes of the words; so many words of one count cost no task more than others.
     """
     taken, left = [], most
-    for key in (-F.col("c"), *(_seven_bytes("word", at) for at in range(1, LONGEST_HEAD_WORD + 1, 7))):
+    for at in (0, *range(1, LONGEST_HEAD_WORD + 1, 7)):
         if counts.limit(left + 1).count() <= left:
             break
-        keyed = counts.select(F.lit("all").alias("of"), key.alias("key"))
+        # Numbers in the order wanted, written once where it takes time to make them of words.
+        keyed = counts.select(F.lit("all").alias("of"), (_seven_bytes("word", at) if at else -F.col("c")).alias("key"))
+        keyed = written(keyed, "lm-keys") if at else keyed
         places = keyed.groupBy("of").agg(F.lit("last").alias("name"), F.lit(left - 1).cast("long").alias("place"), F.min("key").alias("low"), F.max("key").alias("high"))
         border = select_places(keyed, places, "of", "key").first()["key"]
-        taken.append(counts.where(key < border))
-        left -= taken[-1].count()
-        counts = counts.where(key == border)
+        dropped(keyed)
+        if at:
+            here, border = F.substring("word", at, 7), F.lit((border >> 3).to_bytes(7, "big")[: border & 7])
+            before, counts = counts.where(here < border), counts.where(here == border)
+        else:
+            before, counts = counts.where(F.col("c") > -border), counts.where(F.col("c") == -border)
+        taken.append(before)
+        left -= before.count()
     for before in taken:
         counts = counts.unionByName(before)
     return counts
