@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import lookup
 from ..functions.names import is_collective
 from ..functions.ranks import BLOCK_ROWS, in_blocks, numbered, ranked
 from ..functions.tables import written
@@ -38,9 +39,9 @@ def collectives(trace: DataFrame) -> DataFrame:
 
 
 def with_expected_size(trace: DataFrame, comm: DataFrame) -> DataFrame:
-    """Collective calls with comm_size, 0 where the communicator is unknown."""
-    sizes = communicators(comm).select("comm_id", F.size("members").alias("comm_size"))
-    return collectives(trace).join(sizes, "comm_id", "left").withColumn("comm_size", F.coalesce("comm_size", F.lit(0)))
+    """Collective calls with comm_size, 0 where the communicator is unknown; calls stay where they are, however many are on one communicator."""
+    sizes = written(communicators(comm).select(F.col("comm_id").alias("_comm"), F.size("members").alias("comm_size")), "comm-sizes")
+    return lookup(collectives(trace), {"comm_id": "_comm"}, sizes, "comm_size").withColumn("comm_size", F.coalesce("comm_size", F.lit(0)))
 
 
 def group_slots(trace: DataFrame, comm: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -182,9 +182,11 @@ def resolve_roots(calls: DataFrame, comm: DataFrame) -> DataFrame:
 
     Unknown communicators have a null size; the sentinel then becomes the process itself.
     """
-    known = communicators(comm).select("comm_id", F.array_min("members").alias("_least"), F.size("members").alias("comm_size"))
-    root = F.when(F.col("root") == NO_ROOT, F.least("pid", F.coalesce("_least", "pid"))).otherwise(F.col("root"))
-    return calls.join(known, "comm_id", "left").withColumn("root", root).drop("_least")
+    of_comm = F.struct(F.array_min("members").alias("least"), F.size("members").alias("comm_size"))
+    known = written(communicators(comm).select(F.col("comm_id").alias("_comm"), of_comm.alias("_of_comm")), "comm-roots")
+    root = F.when(F.col("root") == NO_ROOT, F.least("pid", F.coalesce("_of_comm.least", "pid"))).otherwise(F.col("root"))
+    found = lookup(calls, {"comm_id": "_comm"}, known, "_of_comm")
+    return found.withColumn("root", root).withColumn("comm_size", F.col("_of_comm.comm_size")).drop("_of_comm")
 
 
 def _messages(raw: DataFrame) -> DataFrame:

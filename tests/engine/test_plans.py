@@ -113,6 +113,15 @@ def test_repeated_communicators_do_not_double_calls(spark):
     assert source.decode(raw, comm).count() == 1
 
 
+def test_calls_on_one_communicator_stay_where_they_are(spark):
+    trace, comm = source.derived_trace(spark, SF), source.derived_comm(spark)
+    raw = source.derived_raw(spark, SF)
+    sized, resolved = collectives.with_expected_size(trace, comm), source.resolve_roots(source.pair_collectives(raw), comm)
+    for df in (sized, resolved):
+        assert "hashpartitioning(comm_id" not in plan(df)
+        assert df.where("comm_size = 8").count() == df.count() > 0
+
+
 def distributions():
     rng = random.Random(6)
     yield "ties", [5] * 400 + [7] * 3
