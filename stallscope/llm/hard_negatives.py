@@ -1,20 +1,20 @@
 """Hard negatives by a two-dimensional block product of integer vectors (operator 12).
 
 Vectors become integers and are cut twice: rows into blocks and dimensions into chunks. So are those of the
-anchors. A task that has a block of anchors and a block of rows of one chunk multiplies them to a partial tile
-of int64 scores; the partial tiles of a pair of blocks are shuffled to one task, which adds them as they come
-and keeps of the full tile only what its anchors can need. Blocks are of one label where a label has enough
-rows, so that there is one pass over the pairs of the same label, for positives, and one over the others,
-for negatives: no pair of blocks of such labels is multiplied twice. Labels with few rows share blocks, which
-are in both passes.
-
-The first pass keeps of each tile the first rows of each anchor's label, and of those of all tiles the first
-again: the positives. With them an anchor has one window of scores for each; the second pass keeps of each
-tile the first rows inside each window, and of those of all tiles the first again.
-
-A block has about ``ROWS`` rows and a tile ``ROWS`` x ``ANCHORS`` scores, whatever the input; a label with any
-share of the rows has as many blocks as it needs. Anchors meet all rows, as is asked, but only blocks of them,
-and what is shuffled besides the tiles are the blocks themselves, once for each block that they meet. The
+anchors. The tiles of blocks of anchors and blocks of rows are dealt to cells: a cell has a group of blocks of
+anchors and a share of the blocks of rows that these meet. It holds the anchors, takes rows block by block, adds the
+partial products of the chunks to a tile of scores and keeps of all its tiles only the first rows of each anchor, by which
+later tiles are narrowed. So no score of a tile leaves its task, and what is shuffled are rows, anchors and first rows.
+
+The first pass is over pairs of the same label and gives the positives. With them an anchor has one window of scores for
+each; the second pass, over pairs of different labels, keeps the first rows inside each window. In both the first rows of
+an anchor's cells meet once more. Blocks of rows are of one label where a label has enough rows, labels with few rows
+share blocks; the first pass leaves out blocks of other groups of labels, the second the anchors of a block's own label.
+
+A block has about ``ROWS`` rows and a tile ``ROWS`` x ``ANCHORS`` scores; a group of anchors takes about ``GROUP_BYTES``
+and its rows are dealt to at most ``CELLS`` cells, whatever the input. So rows are sent once in a pass for each group of
+anchors (65,536 of 64 dimensions, of 3.3 million rows), anchors and first rows at most ``CELLS`` times; products
+remain as many as anchors times rows, as is asked. A label with any share of the rows has as many blocks as it needs. The
 driver knows the counts of labels that have a block of their own (at most one for ``ROWS`` rows), no rows.
 
 Sums are exact: floating point multiplies only tiles whose bound is below what it holds exactly, others are
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, shuffle_partitions, table, written
 
-ROWS, ANCHORS, DIMENSIONS = 2048, 128, 32
+ROWS, ANCHORS, DIMENSIONS = 2048, 512, 32
+GROUP_BYTES, CELLS = 32 << 20, 24
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95  # hundredths of the positive's score between which a negative's lies
 SCALE = 256
@@ -116,12 +117,21 @@ def _matrix(data: bytes, n: int, chunk: int) -> np.ndarray:
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a times b transposed, exactly, as int64."""
-    bound = int(np.abs(a, dtype=np.int64).max(initial=0)) * int(np.abs(b, dtype=np.int64).max(initial=0)) * a.shape[1]
-    if bound < 1 << 24:
-        return np.rint(a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    if bound < 1 << 53:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    return _whole(_tile([(a, b)], a.shape[0], b.shape[0]))
+
+
+def _whole(scores: np.ndarray) -> np.ndarray:
+    return scores if scores.dtype == np.int64 else np.rint(scores).astype(np.int64)
+
+
+def _tile(chunks: list[tuple[np.ndarray, np.ndarray]], n: int, m: int) -> np.ndarray:
+    """The sum of the products of chunks (n rows of anchors, m rows), whole numbers in a type that holds them and all sums exactly."""
+    bound = sum(int(np.abs(a, dtype=np.int64).max(initial=0)) * int(np.abs(b, dtype=np.int64).max(initial=0)) * a.shape[1] for a, b in chunks)
+    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+    total = np.zeros((n, m), kind)
+    for a, b in chunks:
+        total += a.astype(kind, copy=False) @ b.astype(kind, copy=False).T
+    return total
 
 
 def first_of(scores: np.ndarray, able: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,90 +149,155 @@ def first_of(scores: np.ndarray, able: np.ndarray, most: int) -> tuple[np.ndarra
     return row[kept], column[kept]
 
 
-def _tiles(rows: DataFrame, anchors: DataFrame, pairs: DataFrame, chunk: int, tasks: int) -> DataFrame:
-    """(a, r, chunk, scores, and of the first chunk the ids, labels and windows): partial tiles of the pairs of blocks (a, r)."""
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                n, m = len(r["a_ids"]) // 8, len(r["r_ids"]) // 8
-                tile = product(_matrix(r["a_vectors"], n, chunk), _matrix(r["r_vectors"], m, chunk)).astype("<i8")
-                meta = [r[c] if r["chunk"] == 0 else b"" for c in META]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[c]], pa.int32()) for c in ("a", "r", "chunk")), *(pa.array([x], pa.binary()) for x in (tile.tobytes(), *meta))], names=["a", "r", "chunk", "scores", *META])
-
-    left = anchors.select(F.col("bid").alias("a"), "chunk", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "vectors", "windows")])
-    right = rows.select(F.col("bid").alias("r"), "chunk", *[F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "vectors")])
-    # Each block goes to the tasks of the pairs that it is in, and no row of the join is of more than two blocks.
-    met = pairs.join(left, "a").join(right, ["r", "chunk"]).repartition(tasks, "a", "r", "chunk")
-    cells = met.select("a", "r", "chunk", *META, "a_vectors", "r_vectors")
-    return cells.mapInArrow(multiply, "a int, r int, chunk int, scores binary, " + ", ".join(f"{c} binary" for c in META))
-
-
-META = ("a_ids", "a_labels", "a_windows", "r_ids", "r_labels")
-
-
-def _reduced(tiles: DataFrame, tasks: int, keep, schema: str) -> DataFrame:
-    """What ``keep`` makes of every full tile, the sum of its chunks, which are added one by one."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, meta = None, None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                now = batch.column("a")[k].as_py(), batch.column("r")[k].as_py()
-                part = np.frombuffer(batch.column("scores")[k].as_buffer(), "<i8")
-                if now != key:
-                    if key is not None:
-                        yield keep(total, *meta)
-                    # Chunks arrive in order, so the first of a tile brings what it is about.
-                    key, total, meta = now, part.copy(), [np.frombuffer(batch.column(c)[k].as_py(), "<i8") for c in META]
-                else:
-                    total += part
-        if key is not None:
-            yield keep(total, *meta)
-
-    dealt = tiles.repartition(tasks, "a", "r").sortWithinPartitions("a", "r", "chunk")
-    return dealt.mapInArrow(add, schema)
-
-
-FOUND = "anchor_id long, anchor_label long, rank int, id long, label long, score long"
-
-
-def _found(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int32() if c == "rank" else pa.int64()) for c in ("anchor_id", "anchor_label", "rank", "id", "label", "score")], names=["anchor_id", "anchor_label", "rank", "id", "label", "score"])
-
-
-def _keep_positives(most: int):
-    def keep(scores, a_ids, a_labels, _, r_ids, r_labels) -> pa.RecordBatch:
-        scores = scores.reshape(len(a_ids), len(r_ids))
-        able = (a_labels[:, None] == r_labels) & (a_ids[:, None] != r_ids)
-        i, j = first_of(scores, able, most)
-        return _found(anchor_id=a_ids[i], anchor_label=a_labels[i], rank=np.zeros(len(i), np.int32), id=r_ids[j], label=r_labels[j], score=scores[i, j])
-
-    return keep
-
-
 def _hundredths(x: np.ndarray, n: int) -> np.ndarray:
     """n x / 100, rounded down, without a product that could overflow."""
     return x // 100 * n + x % 100 * n // 100
 
 
-def _keep_negatives(most: int, positives: int):
-    def keep(scores, a_ids, a_labels, windows, r_ids, r_labels) -> pa.RecordBatch:
-        """``windows``: for each anchor so many positive scores, those that are not there marked by a 0 in the second half."""
-        scores = scores.reshape(len(a_ids), len(r_ids))
-        windows = windows.reshape(len(a_ids), 2, positives)
-        other = (a_labels[:, None] != r_labels) & (a_ids[:, None] != r_ids)
-        parts = []
-        for k in range(positives):
-            low, high = -_hundredths(-windows[:, :1, k], LOW), _hundredths(windows[:, :1, k], HIGH)
-            able = other & (scores >= low) & (scores <= high) & (windows[:, 1, k] > 0)[:, None]
-            i, j = first_of(scores, able, most)
-            parts.append((i, j, np.full(len(i), k + 1, np.int32)))
-        i, j, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return _found(anchor_id=a_ids[i], anchor_label=a_labels[i], rank=rank, id=r_ids[j], label=r_labels[j], score=scores[i, j])
+META = ("ids", "labels", "windows")
+FOUND = "anchor_id long, anchor_label long, window int, id long, label long, score long"
+
+
+class _First:
+    """The ``most`` first rows (highest scores, then least ids, then least labels) of each slot, of rows that come in any order."""
+
+    def __init__(self, slots: int, most: int):
+        self.n = np.zeros(slots, np.int64)
+        self.score, self.id, self.label = (np.zeros((slots, most), np.int64) for _ in range(3))
+        self.most = most
+
+    def bars(self, low: np.ndarray) -> np.ndarray:
+        """The least score of each slot that can still count: that of its last row, or ``low`` while there is room."""
+        return np.where(self.n == self.most, self.score[:, -1], low)
+
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        last = self.score[slot, -1], self.id[slot, -1], self.label[slot, -1]
+        behind = (ids > last[1]) | ((ids == last[1]) & (labels > last[2]))
+        able = (self.n[slot] < self.most) | (score > last[0]) | ((score == last[0]) & ~behind)
+        slot, score, ids, labels = slot[able], score[able], ids[able], labels[able]
+        met = np.unique(slot)
+        of, place = np.nonzero(np.arange(self.most) < self.n[met][:, None])
+        held = met[of], place
+        slot = np.concatenate([slot, held[0]])
+        score, ids, labels = (np.concatenate([new, old[held]]) for new, old in ((score, self.score), (ids, self.id), (labels, self.label)))
+        order = np.lexsort((labels, ids, ~score, slot))  # not the negative, which the least number lacks
+        slot, score, ids, labels = slot[order], score[order], ids[order], labels[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        kept = place < self.most
+        at = slot[kept], place[kept]
+        self.score[at], self.id[at], self.label[at] = score[kept], ids[kept], labels[kept]
+        self.n[met] = np.minimum(np.bincount(slot, minlength=len(self.n))[met], self.most)
+
+
+class _Cell:
+    """A group of anchors and the first rows of each, by windows of scores where ``positives`` is not 0, else of its own label."""
+
+    def __init__(self, blocks: list[dict], size: int, positives: int, most: int):
+        """``blocks`` by their metadata and chunks; ``windows`` hold for each anchor so many positive scores, those that are not there marked by a 0 in the second half."""
+        ids, labels, windows = (np.concatenate([np.frombuffer(b[c], "<i8") for b in blocks]) for c in META)
+        by_label = np.argsort(labels, kind="stable")
+        self.ids, self.labels, self.size, self.same = ids[by_label], labels[by_label], size, not positives
+        self.windows = max(1, positives)
+        chunks = sorted({k for b in blocks for k in b["chunks"]})
+        sizes = [len(b["ids"]) // 8 for b in blocks]
+        width = next(iter(blocks[0]["chunks"].values())).shape[1]
+        self.chunks = {k: np.concatenate([b["chunks"].get(k, np.zeros((n, width), np.int16)) for b, n in zip(blocks, sizes, strict=True)])[by_label] for k in chunks}
+        n, limit = len(ids), np.iinfo(np.int64)
+        if self.same:
+            self.low, self.high, self.open = np.full((n, 1), limit.min), np.full((n, 1), limit.max), np.ones((n, 1), bool)
+        else:
+            windows = windows.reshape(n, 2, positives)[by_label]
+            self.low, self.high, self.open = -_hundredths(-windows[:, 0], LOW), _hundredths(windows[:, 0], HIGH), windows[:, 1] > 0
+        self.first = _First(n * self.windows, most)
+
+    def take(self, ids: np.ndarray, labels: np.ndarray, chunks: dict[int, np.ndarray]) -> None:
+        """Goes through the tiles of a block of rows."""
+        spans = [(0, len(self.ids))]
+        if labels[0] == labels[-1] and (labels == labels[0]).all():
+            own = tuple(np.searchsorted(self.labels, labels[0], side).item() for side in ("left", "right"))
+            spans = [own] if self.same else [(0, own[0]), (own[1], len(self.ids))]
+        for low, high in spans:
+            for at in range(low, high, self.size):
+                self._tile(slice(at, min(high, at + self.size)), ids, labels, chunks)
+
+    def _tile(self, some: slice, ids: np.ndarray, labels: np.ndarray, chunks: dict[int, np.ndarray]) -> None:
+        a_ids, a_labels = self.ids[some], self.labels[some]
+        tile = _tile([(self.chunks[k][some], b) for k, b in chunks.items() if k in self.chunks], len(a_ids), len(ids))
+        bars = np.maximum(self.first.bars(np.iinfo(np.int64).min).reshape(-1, self.windows)[some], self.low[some])
+        tops, is_open = self.high[some], self.open[some] & (bars <= self.high[some])
+        limit = np.iinfo(np.int64)
+        if tile.dtype == np.int64:
+            least, most = limit.min, limit.max
+        else:  # no score is beyond, and the type holds these exactly
+            most = (1 << 24) if tile.dtype == np.float32 else (1 << 53)
+            least = -most
+        lows, highs = np.where(is_open, bars, limit.max).min(axis=1, keepdims=True), np.where(is_open, tops, limit.min).max(axis=1, keepdims=True)
+        able = (tile >= np.clip(lows, least, most).astype(tile.dtype)) & (tile <= np.clip(highs, least, most).astype(tile.dtype))
+        able &= is_open.any(axis=1, keepdims=True)
+        if not able.any():
+            return
+        able &= a_ids[:, None] != ids
+        able &= (a_labels[:, None] == labels) == self.same
+        dense = np.count_nonzero(able) * 8 > able.size
+        if not dense:
+            i, j = np.nonzero(able)
+            scores = _whole(tile[i, j])
+        else:
+            whole = _whole(tile)
+        for k in range(self.windows):
+            low, high = bars[:, k], tops[:, k]
+            if dense:
+                x, y = first_of(whole, able & (whole >= low[:, None]) & (whole <= high[:, None]) & is_open[:, k, None], self.first.most)
+                s = whole[x, y]
+            else:
+                inside = (scores >= low[i]) & (scores <= high[i]) & is_open[i, k]
+                x, y, s = i[inside], j[inside], scores[inside]
+            if len(x):
+                self.first.add((x + some.start) * self.windows + k, s, ids[y], labels[y])
+
+    def found(self) -> pa.RecordBatch:
+        slot, place = np.nonzero(np.arange(self.first.most) < self.first.n[:, None])
+        of = slot // self.windows
+        columns = self.ids[of], self.labels[of], (slot % self.windows + 1).astype(np.int32), self.first.id[slot, place], self.first.label[slot, place], self.first.score[slot, place]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _met(asking: DataFrame, blocks: DataFrame, tasks: int, size: int, chunk: int, positives: int, most: int) -> DataFrame:
+    """(schema ``FOUND``) the first rows that each cell has for its anchors: blocks of anchors and of rows, as ``_packed`` gives them, each with its ``cell``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In each cell anchors come first, then rows, both block by block and of these chunk by chunk.
+        cell, now, held, block = None, None, [], None
+
+        def take() -> None:
+            nonlocal now
+            if block and not block["is_row"]:
+                held.append(block)
+            elif block and held:
+                now = now or _Cell(held, size, positives, most)
+                now.take(*(np.frombuffer(block[c], "<i8") for c in ("ids", "labels")), block["chunks"])
 
-    return keep
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                key = r["cell"], r["is_row"], r["bid"]
+                if block is None or key != block["key"]:
+                    take()
+                    if cell != r["cell"]:
+                        if now:
+                            yield now.found()
+                        cell, now, held = r["cell"], None, []
+                    block = {"key": key, "is_row": r["is_row"], "chunks": {}, **{c: r[c] for c in META}}
+                block["chunks"][r["chunk"]] = _matrix(r["vectors"], len(r["ids"]) // 8, chunk)
+        take()
+        if now:
+            yield now.found()
+
+    columns = ["cell", "is_row", "bid", "chunk", "vectors", *META]
+    both = asking.withColumn("is_row", F.lit(False)).select(*columns).unionByName(blocks.withColumn("is_row", F.lit(True)).select(*columns))
+    # Cells are numbered in a row, so every task has as many of them as others.
+    dealt = both.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "is_row", "bid", "chunk")
+    return dealt.mapInArrow(find, FOUND)
 
 
 def _first(found: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
@@ -230,44 +305,62 @@ def _first(found: DataFrame, keys: list[str], most: int, name: str) -> DataFrame
     return found.withColumn(name, F.row_number().over(order)).where(F.col(name) <= most)
 
 
-def hard_negatives(embeddings: DataFrame, is_anchor: Column | None = None, rows: int = ROWS, anchors: int = ANCHORS, chunk: int = DIMENSIONS) -> DataFrame:
+def _cells(spark: SparkSession, groups: list[tuple[int, int, int, int]], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of groups (first and last block of anchors, first and last block of rows, lasts excluded) the cells: (bid, cell) of anchors, (bid, cell) of rows, and their number."""
+    spans, n = [], 0
+    for a_low, a_high, low, high in groups:
+        cells = min(high - low, most)
+        spans.append((a_low, a_high, low, high, n, cells))
+        n += cells
+    spans = spark.createDataFrame(spans, "a_low int, a_high int, low int, high int, first int, cells int")
+    asked = spans.select(F.explode(F.sequence("a_low", F.col("a_high") - 1)).alias("bid"), "first", "cells").select("bid", F.explode(F.sequence("first", F.col("first") + F.col("cells") - 1)).alias("cell"))
+    met = spans.select(F.explode(F.sequence("low", F.col("high") - 1)).alias("bid"), "first", "cells").select("bid", (F.col("first") + F.col("bid") % F.col("cells")).alias("cell"))
+    return asked, met, n
+
+
+def hard_negatives(embeddings: DataFrame, is_anchor: Column | None = None, rows: int = ROWS, anchors: int = ANCHORS, chunk: int = DIMENSIONS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of rows (vec_id, embedding, label)."""
     spark = embeddings.sparkSession
     is_anchor = F.col("vec_id") % 50 == 0 if is_anchor is None else is_anchor
     known = written(integer_vectors(embeddings), "negatives-vectors")
     groups = Directory(known, rows)
-    if groups.first[-1] == 0:
+    placed = groups.grouped(known)
+    chosen = placed.where(is_anchor)
+    held = {r["grp"]: (r["n"], r["width"]) for r in chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).collect()}
+    if not held:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     tasks = max(shuffle_partitions(spark), groups.first[-1] // 16)
-    placed = groups.grouped(known)
     salt = F.pmod(F.xxhash64("vec_id", "label"), F.col("blocks")).cast("int")
     blocks = written(_packed(placed.withColumn("bid", F.col("first") + salt), chunk, tasks), "negatives-blocks")
 
-    chosen = placed.where(is_anchor)
-    held = {r["grp"]: r["n"] for r in chosen.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {g: -(-n // anchors) for g, n in sorted(held.items())}
+    sizes = {g: -(-n // anchors) for g, (n, _) in sorted(held.items())}
     firsts = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
     own = spark.createDataFrame([(g, firsts[g], n) for g, n in sizes.items()], "grp int, a_first int, a_blocks int")
     a_salt = F.pmod(F.xxhash64("vec_id", "label", F.lit(1)), F.col("a_blocks")).cast("int")
     chosen = written(chosen.join(F.broadcast(own), "grp").withColumn("bid", F.col("a_first") + a_salt).select("bid", "vec_id", "label", "v"), "negatives-anchors")
-    # For each block of anchors the blocks of its group, and all others; those that labels share are both.
-    first, pure = groups.first, len(groups.labels)
-    spans = [(a, first[g], first[g + 1], g < pure) for g, n in sizes.items() for a in range(firsts[g], firsts[g] + n)]
-    spans = spark.createDataFrame(spans, "a int, low int, high int, pure boolean")
-    same = spans.select("a", F.explode(F.sequence("low", F.col("high") - 1)).alias("r"))
-    every = spans.select("a", "low", "high", "pure", F.explode(F.sequence(F.lit(0), F.lit(first[-1] - 1))).alias("r"))
-    apart = every.where(~(F.col("pure") & (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high")))).select("a", "r")
+    # Blocks of anchors in a group, of the longest vectors as longs.
+    together = max(1, group_bytes // (8 * anchors * max(1, *(w for _, w in held.values()))))
+    most = min(shuffle_partitions(spark), CELLS)
+
+    def first_rows(asking: DataFrame, spans: list[tuple[int, int, int, int]], positives: int, kept: int) -> DataFrame:
+        groups = [(a, min(a + together, a_high), low, high) for a_low, a_high, low, high in spans for a in range(a_low, a_high, together)]
+        asked, met, n = _cells(spark, groups, most)
+        return _met(asking.join(F.broadcast(asked), "bid"), blocks.join(F.broadcast(met), "bid"), min(n, tasks), anchors, chunk, positives, kept)
 
+    first = groups.first
     asking = written(_packed(chosen, chunk, tasks), "negatives-asking")
-    found = _reduced(_tiles(blocks, asking, same, chunk, tasks), tasks, _keep_positives(POSITIVES), FOUND).drop("rank")
+    found = first_rows(asking, [(firsts[g], firsts[g] + n, first[g], first[g + 1]) for g, n in sizes.items()], 0, POSITIVES).drop("window")
     positives = written(_first(found, ["anchor_id", "anchor_label"], POSITIVES, "rank"), "negatives-positives")
 
     scores = F.array(*[F.coalesce(F.max(F.when(F.col("rank") == k + 1, F.col("score"))), F.lit(0)) for k in range(POSITIVES)], *[F.count_if(F.col("rank") == k + 1) for k in range(POSITIVES)])
     windows = positives.groupBy("anchor_id", "anchor_label").agg(_bytes(scores).alias("windows"))
     windowed = chosen.join(windows.withColumnsRenamed({"anchor_id": "vec_id", "anchor_label": "label"}), ["vec_id", "label"])
+    # Anchors of all labels share blocks here, so that rows meet few groups.
+    mixed = -(-sum(n for n, _ in held.values()) // anchors)
+    windowed = windowed.withColumn("bid", F.pmod(F.xxhash64("vec_id", "label", F.lit(2)), F.lit(mixed)).cast("int"))
     again = written(_packed(windowed, chunk, tasks, True), "negatives-again")
-    found = _reduced(_tiles(blocks, again, apart, chunk, tasks), tasks, _keep_negatives(NEGATIVES, POSITIVES), FOUND)
-    negatives = _first(found.withColumnRenamed("rank", "window"), ["anchor_id", "anchor_label", "window"], NEGATIVES, "rank")
+    found = first_rows(again, [(0, mixed, 0, first[-1])], POSITIVES, NEGATIVES)
+    negatives = _first(found, ["anchor_id", "anchor_label", "window"], NEGATIVES, "rank")
     mates = positives.select("anchor_id", "anchor_label", F.col("rank").alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = negatives.join(mates, ["anchor_id", "anchor_label", "window"])
     out = written(out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives-result")

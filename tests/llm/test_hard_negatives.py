@@ -81,3 +81,30 @@ def test_products_and_first_columns():
         i, j = first_of(scores, able, 3)
         expected = [(r, c) for r in range(4) for c in sorted((c for c in range(scores.shape[1]) if able[r, c]), key=lambda c: (-scores[r, c], c))[:3]]
         assert list(zip(i.tolist(), j.tolist(), strict=True)) == expected
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_scores_of_tiles_are_not_shuffled(spark):
+    """1500 anchors and 6000 rows have 72 MB of scores, which take more than 15 MB compressed."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=4).tolist(), k % 3) for k in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    before = shuffled(spark)
+    assert hard_negatives(df, F.col("vec_id") % 4 == 0).count() > 10_000
+    assert 0 < shuffled(spark) - before < 8 << 20
+
+
+def test_groups_of_anchors_and_ties_give_the_same(spark):
+    """Groups of one block of anchors, tiles of which many rows tie, against one group."""
+    rng = random.Random(4)
+    rows = [(k, [rng.choice([0.5, 1.0]) for _ in range(5)], rng.randrange(3)) for k in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    few, one = (sorted(map(tuple, hard_negatives(df, F.col("vec_id") % 4 == 0, rows=50, anchors=a, chunk=2, group_bytes=g).collect())) for a, g in ((7, 1), (512, 1 << 25)))
+    assert few == one and len(few) > 1000
