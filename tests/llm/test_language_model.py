@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from stallscope.llm import language_model as lm
 from tests.llm import edges
@@ -185,3 +186,24 @@ def test_awkward_rows(spark, tmp_path):
     untrained = spark.createDataFrame([(k, "a b") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0], "doc_id long, text string")
     got = lm.op9_language_model(spark, edges.saved(untrained, tmp_path / "untrained")).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, round(r.score, 6)) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+def test_words_are_cut_and_looked_up_many_at_a_time(monkeypatch):
+    """Every ASCII character, white space of other kinds, and texts without words, in cuts of a few bytes and in one; one look-up for all texts of a cut."""
+    texts = ["".join(f"{chr(k)}a" for k in range(128)), " \tA\u00a0b \x1c C\x85d\u2028 ", "", None, "\n", "b " * 50, "\u0130 \u00c9X c"]
+    known = pa.array([b"a", b"c", lm.END], pa.large_binary())
+    get = {b"a": 0, b"c": 1, lm.END: 2}.get
+    looked, look = [], lm.pc.index_in
+    monkeypatch.setattr(lm.pc, "index_in", lambda *a, **k: looked.append(1) or look(*a, **k))
+    for most in (1, 40, 1 << 20):
+        monkeypatch.setattr(lm, "TOGETHER_BYTES", most)
+        looked.clear()
+        ids, absent, counted = [], [], 0
+        for some, words, others in lm._ids_of_all(pa.array(texts), known):
+            ids += [x.tolist() for x in some]
+            absent += words.to_pylist()
+            counted += int(others[-1])
+        assert ids == [lm._ids(t, get, 3).tolist() for t in texts]
+        assert absent == [w for t in texts for w in lm.words_of(t) if w not in (b"a", b"c")] and counted == len(absent)
+        assert len(looked) == 2 or most < 1 << 20
+    assert [x for x in lm._ids_of_all(pa.array([], pa.string()), known)] == []
