@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,13 @@ def test_tables_are_dropped(spark):
     _, system = tables._on_disk(spark, df._written_to)
     assert not system.exists(spark._jvm.org.apache.hadoop.fs.Path(df._written_to))
     tables.dropped(spark.range(1))
+
+
+def test_the_table_of_the_memory_is_built_once_for_texts_of_three_megabytes(monkeypatch):
+    tokens = common.ChunkedTokenizer(common.vocabulary("byte_bpe_50k.json"), True)
+    texts = [" ".join(f"w{k * j % 997}" for j in range(500)) for k in range(1250)]
+    assert 3 << 20 > sum(map(len, texts)) > 5 << 19
+    seen, gather = [], tokens.chunks.gather
+    monkeypatch.setattr(tokens.chunks, "gather", lambda *a: seen.append(1) or gather(*a))
+    found = tokens.encode(pa.array(texts))
+    assert len(seen) == 1 and found[7].tolist() == tokens.tokenizer.encode(texts[7], add_special_tokens=False).ids
